@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .packing import op1_packing
 from .secrets import op10_secrets
 from .sharding import op5_sharding
 from .simhash import op6_simhash
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
     "op10_secrets": op10_secrets,
