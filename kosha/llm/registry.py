@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from .bpe import op8_bpe
 from .packing import op1_packing
 from .secrets import op10_secrets
 from .sharding import op5_sharding
 from .simhash import op6_simhash
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
+    "op8_bpe": op8_bpe,
     "op10_secrets": op10_secrets,
 }
 
