@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .ann import op3_ann
 from .bpe import op8_bpe
+from .html import op7_html
+from .media import op9_media
 from .packing import op1_packing
 from .secrets import op10_secrets
 from .sharding import op5_sharding
@@ -11,10 +14,13 @@ from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_ann": op3_ann,
     "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
+    "op7_html": op7_html,
     "op8_bpe": op8_bpe,
+    "op9_media": op9_media,
     "op10_secrets": op10_secrets,
 }
 
