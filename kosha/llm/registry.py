@@ -7,6 +7,7 @@ from .bpe import op8_bpe
 from .html import op7_html
 from .media import op9_media
 from .packing import op1_packing
+from .quality import op2_quality
 from .secrets import op10_secrets
 from .sharding import op5_sharding
 from .simhash import op6_simhash
@@ -14,6 +15,7 @@ from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_quality": op2_quality,
     "op3_ann": op3_ann,
     "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
