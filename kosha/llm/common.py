@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,20 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(docs: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    """docs with a column `name` that tells its rows apart, also when lost tasks are computed again.
+
+    Rows of a file scan are named by file and place in it; any other frame is written to a table first.
+    """
+    try:
+        place = F.concat(F.hex(F.xxhash64("_metadata.file_path")), F.lit(":"), F.col("_metadata.row_index"))
+        out = docs.select("*", place.alias(name))
+        assert out.columns  # resolving the metadata column raises where there is none
+        return out
+    except AnalysisException:
+        return scratch.keep(docs.withColumn(name, F.monotonically_increasing_id().cast("string")))
+
+
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b), longs: one row (node, root) per node, root the smallest node.
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, numbered
 
 # The patterns of the findings. The first three are the base kinds, in the order of their ranks.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -158,8 +158,8 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataF
     """
     scratch = Scratch(docs.sparkSession, "redact")
     rid = "__kosha_rid"
-    numbered = scratch.keep(docs.withColumn(rid, F.monotonically_increasing_id()))
-    spans, _ = find_spans(numbered, key=rid, text=text)
+    rows = numbered(docs, rid, scratch)
+    spans, _ = find_spans(rows, key=rid, text=text)
     spans = spans.where(F.size("spans") > 0).select(F.col("doc_id").alias(rid), F.col("spans").alias("__kosha_spans"))
     t = F.col(text)
     cut = F.aggregate(
@@ -176,7 +176,7 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataF
         ),
         lambda acc: F.concat(acc["out"], F.substring(t, (acc["at"] + 1).cast("int"), F.length(t))),
     )
-    out = numbered.join(spans, rid, "left").withColumn(text, F.when(F.col("__kosha_spans").isNull(), t).otherwise(cut))
+    out = rows.join(spans, rid, "left").withColumn(text, F.when(F.col("__kosha_spans").isNull(), t).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__kosha_spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
     return out.select(*docs.columns)
