@@ -22,3 +22,8 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def load() -> None:
+    """Import every module of queries; each registers its own."""
+    from . import all_queries  # noqa: F401
