@@ -1,3 +1,3 @@
 """Importing this module registers every query of the reference's operators."""
 
-from . import sources  # noqa: F401
+from . import sources, text  # noqa: F401
