@@ -1,3 +1,3 @@
 """Importing this module registers every query of the reference's operators."""
 
-from . import facts, retrieval, sources, text  # noqa: F401
+from . import facts, graph, packages, retrieval, sources, text  # noqa: F401
