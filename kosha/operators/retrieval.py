@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,12 +83,21 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, most_queries: int = 10
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, k: int, seed: int = 7, tables: int = 12, bits: int = 6) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, k: int, recall: float = 0.99, seed: int = 7, bucket: int = 64) -> DataFrame:
     """(a, b, score): pairs of vectors (vec_id, v) of a cosine of at least threshold, at most k kept from either side.
 
-    Vectors meet in buckets of random hyperplane signs, `tables` times; candidates are scored exactly.
+    Vectors meet in buckets of random hyperplane signs: as many bits as keep a bucket near `bucket` vectors, as many
+    tables as find a pair at the threshold with probability `recall`; candidates are scored exactly. Rows of one vector
+    are one entry: each is tied to the smallest id among them, so a vector that many rows share makes no pairs.
     """
-    width = len(vectors.select("v").first().v)
+    copies = vectors.groupBy("v").agg(F.min("vec_id").alias("least"))
+    n = copies.count()
+    if not n:
+        return vectors.sparkSession.createDataFrame([], "a long, b long, score double")
+    width = len(copies.first().v)
+    bits = min(24, max(3, math.ceil(math.log2(max(1, n / bucket)))))
+    agree = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
+    tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree))) if agree < 1 else 1
     planes = np.random.default_rng(seed).standard_normal((tables, width, bits))
     weights = 1 << np.arange(bits)
 
@@ -96,14 +106,16 @@ def similar_pairs(vectors: DataFrame, threshold: float, k: int, seed: int = 7, t
             if len(pdf):
                 x = np.stack(pdf["v"].to_numpy()).astype(float)
                 keys = ((np.einsum("nd,tdb->ntb", x, planes) > 0) * weights).sum(axis=2)
-                yield pdf.assign(keys=list(keys.astype(np.int32)))
+                yield pdf.assign(keys=list(keys.astype(np.int32)))[["vec_id", "keys"]]
 
-    keyed = vectors.select("vec_id", "v").mapInPandas(sign, "vec_id long, v array<float>, keys array<int>")
+    base = copies.select(F.col("least").alias("vec_id"), "v")
+    keyed = base.mapInPandas(sign, "vec_id long, keys array<int>")
     rows = keyed.select("vec_id", F.posexplode("keys").alias("t", "key"))
     pairs = rows.withColumnRenamed("vec_id", "a").join(rows.withColumnRenamed("vec_id", "b"), ["t", "key"]).where("a < b").select("a", "b").distinct()
-    v = vectors.select("vec_id", "v")
-    scored = pairs.join(v.withColumnsRenamed({"vec_id": "a", "v": "va"}), "a").join(v.withColumnsRenamed({"vec_id": "b", "v": "vb"}), "b")
-    return strongest(scored.select("a", "b", cosine("va", "vb").alias("score")).where(F.col("score") >= threshold), k)
+    scored = pairs.join(base.withColumnsRenamed({"vec_id": "a", "v": "va"}), "a").join(base.withColumnsRenamed({"vec_id": "b", "v": "vb"}), "b")
+    found = strongest(scored.select("a", "b", cosine("va", "vb").alias("score")).where(F.col("score") >= threshold), k)
+    same = vectors.join(copies, "v").where("vec_id <> least").select(F.col("least").alias("a"), F.col("vec_id").alias("b"), F.lit(1.0).alias("score"))
+    return found.unionByName(same)
 
 
 def strongest(pairs: DataFrame, k: int) -> DataFrame:
@@ -135,3 +147,21 @@ def fuse(left: DataFrame, right: DataFrame, k: int = 60) -> DataFrame:
     each = lambda c: F.coalesce(1 / (k + F.col(c)), F.lit(0.0))
     both = left.withColumnRenamed("rank", "l").join(right.withColumnRenamed("rank", "r"), ["query_id", "doc_id"], "full")
     return both.select("query_id", "doc_id", (each("l") + each("r")).alias("score"))
+
+
+def containing(texts: DataFrame, key: str, body: str, marks: DataFrame, mark_id: str, mark: str) -> DataFrame:
+    """(mark_id, key, body, mark): texts that contain a mark as a substring.
+
+    A mark's longest inner word (whole in any text that contains the mark) is an equality key, so texts meet only the
+    marks that share it; marks of fewer than three words have no inner word and are tried on all texts.
+    """
+    words = F.split(F.col(mark), r"\s+")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = marks.select(mark_id, mark, longest.alias("__w"))
+    met = texts.select(key, F.explode(F.array_distinct(F.split(body, r"\s+"))).alias("__w")).join(keyed.where("__w is not null"), "__w")
+    pairs = met.select(key, mark_id, mark)
+    found = texts.select(key, body).join(pairs, key).where(F.contains(body, mark))
+    short = keyed.where("__w is null").select(mark_id, mark)
+    rest = texts.select(key, body).join(short, F.contains(body, mark))
+    return found.select(mark_id, key, body, mark).unionByName(rest.select(mark_id, key, body, mark))

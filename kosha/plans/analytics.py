@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import collapse
 from ..operators import analytics as A
+from ..operators import retrieval as R
 from .registry import query
 from .retrieval import _TOP, hits, vectors
 from .tables import LINES, lines, table
@@ -207,9 +208,9 @@ _BODY = r"(SELECT doc_id, length(text) AS len, trim(regexp_replace(lower(text),
 
 
 def located(spark, sf):
-    """(item_id, doc_id): snippets whose head a text contains; the snippet table is a fixed list of passages."""
+    """(item_id, doc_id): snippets whose head a text contains."""
     body = docs(spark, sf).select("doc_id", collapse(F.lower("text")).alias("body"))
-    return body.join(snippets(spark, sf), F.contains("body", "head")).select("item_id", "doc_id")
+    return R.containing(body, "doc_id", "body", snippets(spark, sf), "item_id", "head").select("item_id", "doc_id")
 
 
 @query("j5_coverage", f"SELECT item_id, count(doc_id) > 0 AS hit, count(doc_id) AS found FROM {_HEADS} LEFT JOIN {_BODY} ON contains(body, head) GROUP BY 1")

@@ -133,7 +133,7 @@ _PAIRS = """(WITH v AS (SELECT vec_id, embedding::DOUBLE[64] AS v FROM embedding
 
 def same_as(spark, sf, threshold=0.42):
     v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("v"))
-    return R.similar_pairs(v, threshold, 5, tables=48, bits=4)
+    return R.similar_pairs(v, threshold, 5, recall=0.999999)
 
 
 @query("g10_same_as", f"SELECT a, b, score FROM {_PAIRS}")
