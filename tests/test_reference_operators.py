@@ -1,5 +1,6 @@
 """Every registered query of the reference's operators against its SQL, and the parts that SQL cannot say."""
 
+import time
 import uuid as uuid_module
 
 import pytest
@@ -164,13 +165,22 @@ def test_keyset_pages_meet(spark):
     assert seen == [6, 5, 4, 3, 2, 1, 0]
 
 
-def _run_stream(spark, tmp_path, rows, schema, make):
+def _run_stream(spark, tmp_path, rows, schema, make, timers=False):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     name = f"t{uuid_module.uuid4().hex}"
-    query = make(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = make(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "state")).outputMode("append")
+    if timers:  # a query with processing-time timers runs on, so it is stopped once its rows are there
+        query = writer.start()
+        for _ in range(120):
+            if query.exception() or spark.sql(f"select * from {name}").count():
+                break
+            time.sleep(0.5)
+        query.stop()
+    else:
+        query = writer.trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
     return spark.sql(f"select * from {name}").collect()
 
 
@@ -192,3 +202,19 @@ def test_lockouts(spark):
     rows = [(1, i, start + datetime.timedelta(minutes=i), i != 5) for i in range(13)]
     df = spark.createDataFrame(rows, "user_id int, event_id int, ts timestamp, failed boolean")
     assert [r.ts.minute for r in M.streaks(df, "user_id", ["ts", "event_id"], "failed").orderBy("ts").collect()] == [4, 10]
+
+
+def test_stateful_streams_equal_batch(spark, tmp_path):
+    import datetime
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(j, start + datetime.timedelta(minutes=i), i, float(i // 3)) for j in (1, 2) for i in range(9)]
+    schema = "job long, ts timestamp, event_id long, progress double"
+    got = _run_stream(spark, tmp_path / "p", rows, schema, M.progress_stream)
+    want = M.progress_changes(spark.createDataFrame(rows, schema), "job", ["ts", "event_id"], "progress").select("job", "progress").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    rows = [(1, start + datetime.timedelta(minutes=i), i, i != 5) for i in range(13)]
+    schema = "user_id long, ts timestamp, event_id long, failed boolean"
+    got = _run_stream(spark, tmp_path / "l", rows, schema, M.lockout_stream, timers=True)
+    want = M.streaks(spark.createDataFrame(rows, schema), "user_id", ["ts", "event_id"], "failed").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
