@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -19,3 +22,18 @@ def local_session(name: str = "kosha", cpus: int | None = None, memory: str = "8
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers of a session, once, unless their path holds it already."""
+    root = Path(__file__).resolve().parent.parent
+    known = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p} | {Path.cwd()}
+    context = spark.sparkContext
+    if root in known or getattr(context, "_kosha_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="kosha-code-")
+    with zipfile.ZipFile(f"{folder}/kosha.zip", "w") as out:
+        for file in sorted((root / "kosha").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    context.addPyFile(f"{folder}/kosha.zip")
+    context._kosha_shipped = True
