@@ -390,11 +390,13 @@ def test_align_counts_matches():
 
 
 def test_template_is_left_out(spark):
-    pages = [(i, f"https://h.example/{i}", f"<body><article><p>Story {i} tells</p><p>Subscribe to us</p></article></body>") for i in range(5)]
+    pages = [(i, f"https://h.example/{i}", f"<body><div><p>Story {i} tells</p><p>Subscribe to us</p></div></body>") for i in range(5)]
     pages += [(9, "https://other.example/", pages[0][2]), (10, None, "<p>x</p>"), (11, "https://h.example/z", None)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html.extract(df).collect()}
     assert got[1] == "Story 1 tells" and got[9] == "Story 0 tells\nSubscribe to us" and got[10] == "x" and got[11] == ""
+    shared = [(i, f"https://h.example/{i}", f"<body><p>Top</p><article><p>Story {i}</p><p>The same line</p></article></body>") for i in range(5)]
+    assert {r.text for r in html.extract(spark.createDataFrame(shared, df.schema)).collect()} == {f"Story {i}\nThe same line" for i in range(5)}
     assert html.extract(df.limit(0)).count() == 0
 
 
