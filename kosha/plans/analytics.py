@@ -188,9 +188,9 @@ def j2(spark, sf):
         n AS (SELECT query_id, count(*) AS n_true FROM {_TRUTH} GROUP BY 1) SELECT round(avg(good / n_true), 6) AS baseline, round(avg(good5 / n_true), 6) AS current, avg(good / n_true) - avg(good5 / n_true) > 0.05 AS failed FROM h JOIN n USING (query_id)""",
 )
 def j3(spark, sf):
-    base = metrics(spark, sf).agg(F.avg("recall").alias("b"))
-    now = metrics(spark, sf, 5).agg(F.avg("recall").alias("c"))
-    return base.join(F.broadcast(now)).select(F.round("b", 6).alias("baseline"), F.round("c", 6).alias("current"), (F.col("b") - F.col("c") > 0.05).alias("failed"))
+    runs = metrics(spark, sf).select(F.lit("base").alias("run"), "recall").unionByName(metrics(spark, sf, 5).select(F.lit("now").alias("run"), "recall"))
+    b, c = (F.avg(F.when(F.col("run") == r, F.col("recall"))) for r in ("base", "now"))
+    return runs.agg(F.round(b, 6).alias("baseline"), F.round(c, 6).alias("current"), (b - c > 0.05).alias("failed"))
 
 
 @query("j4_bootstrap", f"SELECT query_id, string_agg(vec_id::VARCHAR, ',' ORDER BY rank) AS expected FROM {_TOP} GROUP BY 1")

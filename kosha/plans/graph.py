@@ -186,8 +186,9 @@ def g15(spark, sf):
     e = graph(spark, sf)
     known = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node")).union(table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey"))).distinct()
     linked = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("linked", F.lit(1))
-    told = known.join(linked, "node", "left").agg(F.count("*").alias("nodes"), F.round(F.avg(F.col("linked").isNull().cast("int")), 6).alias("orphan_rate"))
-    return told.join(F.broadcast(e.agg(F.count("*").alias("edges"))))
+    rows = known.join(linked, "node", "left").select(F.lit(1).alias("node"), F.lit(0).alias("edge"), F.col("linked").isNull().cast("int").alias("orphan"))
+    rows = rows.unionByName(e.select(F.lit(0).alias("node"), F.lit(1).alias("edge"), F.lit(None).cast("int").alias("orphan")))
+    return rows.agg(F.sum("node").alias("nodes"), F.sum("edge").alias("edges"), F.round(F.avg("orphan"), 6).alias("orphan_rate"))
 
 
 @query("g16_orphans", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN (SELECT l_suppkey FROM lineitem)")

@@ -119,8 +119,8 @@ def rolling_latency(events: DataFrame, value: str, failed: str, length: str = "1
 
 def recent(events: DataFrame, hours: int = 10, most: int = 20) -> DataFrame:
     """The newest `most` events of the last `hours` before the newest one."""
-    end = events.agg(F.max("ts").alias("end"))
-    kept = events.join(F.broadcast(end)).where(F.col("ts") >= F.col("end") - F.expr(f"interval {hours} hours")).drop("end")
+    end = events.agg(F.max("ts")).first()[0]
+    kept = events.where(F.col("ts") >= F.lit(end) - F.expr(f"interval {hours} hours"))
     return kept.orderBy(F.desc("ts"), F.desc("event_id")).limit(most)
 
 
