@@ -1,6 +1,6 @@
 """Media columns: content-addressed payloads in tar shards.
 
-A text's bytes, padded to whole rows of 24 samples, become an 8-bit grey image (PNG, lossless). Each task packs the
+A text's bytes, padded to whole rows of 576 samples, become an 8-bit grey image (PNG, lossless). Each task packs the
 images of its rows into tar shards in the shared folder, one member per distinct digest, and emits where each row's
 image lies: shard, offset, length. A row never carries the payload. Metadata columns come from range reads of the
 image header alone; the payload is read back by its range for checks and features.
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 BLOCK = 576
-WIDTH = 24
+#: Samples of an image row: one block, so that a row's filter byte costs little.
+WIDTH = BLOCK
 FILL = b"\xff"
 #: A shard is closed when it holds so many bytes.
 SHARD_BYTES = 64 << 20
@@ -52,7 +53,7 @@ def to_png(samples: bytes) -> bytes:
     filtered = np.zeros((len(rows), WIDTH + 1), np.uint8)
     filtered[:, 1:] = rows
     head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(filtered.tobytes(), 2)) + _chunk(b"IEND", b"")
+    return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(filtered.tobytes(), 4)) + _chunk(b"IEND", b"")
 
 
 def png_size(head: bytes) -> tuple[int, int]:
