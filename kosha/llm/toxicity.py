@@ -4,8 +4,8 @@ Training: on labelled rows, the presence of words and word beginnings in toxic a
 informative Dirichlet prior; features with a significant z-score form a lexicon. Scoring: a text's tokens carry their
 log-odds, all others a small negative drift; one linear scan finds every maximal scoring segment; extreme-value
 statistics of the null (other texts) give each segment its expected number of equals by chance, and significant ones
-are passages. A text's evidence is the negative log of its best segment's chance, which a logistic curve fitted on
-the training rows turns into a score from 0 to 1.
+are passages. A text's evidence is the negative log of the chance of its best segments together, which a logistic
+curve fitted on the training rows turns into a score from 0 to 1.
 
 The lexicon is fitted on at most MOST_TRAINED labelled rows, chosen by a hash of their id, and holds at most
 MOST_FEATURES features, so both bound what is broadcast. Every row is scored over its whole text.
@@ -80,6 +80,21 @@ class Model:
         """Natural log of the expected number of segments of at least this score in a null text of n tokens."""
         return math.log(max(n, 1)) - self.decay * score
 
+    def evidence(self, found: list[tuple[int, int, float]], n: int) -> float:
+        """Negative log of the chance of a text's best segments, at least 0.
+
+        By the Poisson law of high-scoring segments, r of them reach the r-th best score with a chance near E**r / r!,
+        where E is the expected number of that score; the r that is least likely counts.
+        """
+        best, log_factorial = 0.0, 0.0
+        for r, score in enumerate(sorted((s for _, _, s in found), reverse=True), 1):
+            log_factorial += math.log(r)
+            log_e = self.log_chance(score, n)
+            if log_e >= 0:
+                break
+            best = max(best, log_factorial - r * log_e)
+        return best
+
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.bias + self.slope * evidence))))
 
@@ -196,10 +211,9 @@ def _evidence(rows: DataFrame, model: Model, keep: list[str], passages: bool = F
                 tokens = _WORD.findall((cell.as_py() or "").lower())
                 found = model.passages(tokens, known)
                 best = max((s for _, _, s in found), default=0.0)
-                log_e = model.log_chance(best, len(tokens)) if found else 0.0
                 limit = math.log(SIGNIFICANT)
                 kept = [{"first": a, "end": b, "score": s} for a, b, s in found if model.log_chance(s, len(tokens)) <= limit] if passages else None
-                evidence = max(0.0, -log_e)
+                evidence = model.evidence(found, len(tokens))
                 hits = sum(known[w] > 0 for w in tokens) if found else 0
                 out.append((len(tokens), hits, best, evidence, model.score(evidence), kept))
             columns = list(zip(*out)) or [()] * 6
@@ -243,8 +257,7 @@ def keep_civil(docs: DataFrame, model: Model, text: str = "text", threshold: flo
             keep = []
             for cell in batch.column(batch.schema.get_field_index(text)):
                 tokens = _WORD.findall((cell.as_py() or "").lower())
-                best = max((s for _, _, s in model.passages(tokens, known)), default=None)
-                evidence = 0.0 if best is None else max(0.0, -model.log_chance(best, len(tokens)))
+                evidence = model.evidence(model.passages(tokens, known), len(tokens))
                 keep.append(model.score(evidence) < threshold)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
