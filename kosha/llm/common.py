@@ -40,6 +40,17 @@ class Scratch:
         out._kosha_path = path
         return out
 
+    def keep_bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        """Keep df dealt out by key: later joins and groupings by key read it without a shuffle of its rows."""
+        n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        name = f"kosha_{uuid.uuid4().hex}"
+        writer = df.repartition(n, key).write.option("compression", "zstd").option("path", self.path())
+        writer.bucketBy(n, key).sortBy(key).saveAsTable(name)
+        out = self.spark.table(name)
+        assert out.columns == df.columns
+        self.spark.sql(f"DROP TABLE {name}")  # the files stay, and the frame knows them
+        return out
+
     def drop(self, df: DataFrame) -> None:
         """Delete a kept table that nothing reads any more."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._kosha_path)

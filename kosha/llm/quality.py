@@ -1,9 +1,9 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of character trigrams, trained on trusted text.
 
-Texts are read once, in slices of documents. A slice emits one row per distinct trigram with the documents that hold
-it and how often, so a trigram that every text holds is one row per slice. Trusted documents (labelled good) add
+Texts are read once, in slices of documents. A slice keeps, packed, its distinct trigrams with the documents that hold
+them and how often, so a trigram that every text holds is one entry per slice. Trusted documents (labelled good) add
 their counts to the training table; continuation counts, context sums and discounts come from joins and aggregates
-sharded by trigram, context and suffix; every trigram of the corpus gets its log-probability from those joins, by a
+sharded by trigram, context and suffix; every trigram of the corpus gets its log-probability from those joins, a
 further sharded join returns it to the slices, and sums by document give perplexities. The tables of trigrams grow
 with the corpus and are never broadcast by request or collected.
 
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,8 +44,8 @@ def trigrams(text: str) -> np.ndarray:
     return (c[:-2] << 2 * _BITS) | (c[1:-1] << _BITS) | c[2:]
 
 
-def _postings(grams: list[np.ndarray]) -> tuple[np.ndarray, list[bytes], list[bytes]]:
-    """Distinct trigrams of a slice with steps between document numbers and counts, as 16-bit numbers."""
+def _postings(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct trigrams of a slice, how many entries each has, and the entries: steps between documents, and counts."""
     sizes = [len(g) for g in grams]
     distinct, at = np.unique(np.concatenate(grams), return_inverse=True)
     pair, count = np.unique(at * np.int64(len(grams)) + np.repeat(np.arange(len(grams)), sizes), return_counts=True)
@@ -58,13 +59,19 @@ def _postings(grams: list[np.ndarray]) -> tuple[np.ndarray, list[bytes], list[by
     starts = np.searchsorted(gram, np.arange(len(distinct) + 1))
     step = np.diff(doc, prepend=0)
     step[starts[:-1]] = doc[starts[:-1]]
-    steps, counts = step.astype("<u2").tobytes(), count.astype("<u2").tobytes()
-    cut = lambda b: [b[2 * x : 2 * y] for x, y in zip(starts[:-1], starts[1:])]
-    return distinct, cut(steps), cut(counts)
+    return distinct, np.diff(starts), step, count
+
+
+def _pack(values: np.ndarray, kind: str) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values.astype(kind)).tobytes())
+
+
+def _unpack(blob: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind).astype(np.int64)
 
 
 def sliced(docs: DataFrame, key: str, text: str, lang: str, mark: Column) -> DataFrame:
-    """Rows (slice, gram, steps, counts) of every slice, and one row (slice, keys) that names its documents."""
+    """One row per slice: its distinct trigrams, their entries by document, packed, and the keys of its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId() << 32, 0
@@ -73,21 +80,12 @@ def sliced(docs: DataFrame, key: str, text: str, lang: str, mark: Column) -> Dat
         size = 0
 
         def flush() -> pa.RecordBatch:
-            slice_id = task | number
-            some = [g for g in grams if len(g)]
-            distinct, steps, counts = _postings(grams) if some else (np.zeros(0, np.int64), [], [])
-            n = len(distinct)
-            keys = [None] * n + [[{"doc_id": d, "lang": x, "mark": m, "n": len(g)} for (d, x, m), g in zip(held, grams)]]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n + 1, slice_id)),
-                    pa.array([*distinct.tolist(), None], pa.int64()),
-                    pa.array([*steps, None], pa.binary()),
-                    pa.array([*counts, None], pa.binary()),
-                    pa.array(keys, kinds),
-                ],
-                ["slice", "gram", "steps", "counts", "keys"],
-            )
+            none = np.zeros(0, np.int64)
+            found = _postings(grams) if any(len(g) for g in grams) else (none, none, none, none)
+            blobs = [_pack(np.diff(found[0], prepend=0), "<i8"), _pack(found[1], "<u4"), _pack(found[2], "<u2"), _pack(found[3], "<u2")]
+            keys = [{"doc_id": d, "lang": x, "mark": m, "n": len(g)} for (d, x, m), g in zip(held, grams)]
+            arrays = [pa.array([task | number], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs), pa.array([keys], kinds)]
+            return pa.RecordBatch.from_arrays(arrays, ["slice", "grams", "entries", "steps", "counts", "keys"])
 
         for batch in batches:
             for d, t, x, m in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
@@ -103,42 +101,48 @@ def sliced(docs: DataFrame, key: str, text: str, lang: str, mark: Column) -> Dat
 
     kinds = pa.list_(pa.struct([("doc_id", pa.int64()), ("lang", pa.string()), ("mark", pa.string()), ("n", pa.int64())]))
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), mark.cast("string").alias("mark"))
-    return narrow.mapInArrow(run, "slice long, gram long, steps binary, counts binary, keys array<struct<doc_id:long,lang:string,mark:string,n:long>>")
+    return narrow.mapInArrow(run, "slice long, grams binary, entries binary, steps binary, counts binary, keys array<struct<doc_id:long,lang:string,mark:string,n:long>>")
+
+
+def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slice, ix, gram) of slices (slice, grams)."""
+    for batch in batches:
+        for number, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            grams = np.cumsum(_unpack(blob.as_py(), "<i8"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(grams), number)), pa.array(np.arange(len(grams), dtype=np.int32)), pa.array(grams)], ["slice", "ix", "gram"]
+            )
+
+
+def _entries(entries: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Document of every entry: steps add up within a trigram."""
+    total, ends = np.cumsum(steps), np.cumsum(entries)
+    return total - np.repeat(np.concatenate([[0], total[ends[:-1] - 1]]), entries)
 
 
 def _trusted_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, n): occurrences in the trusted documents of the slice; column 3 numbers them."""
+    """(gram, n) in the trusted documents of slices (grams, entries, steps, counts, who)."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            grams, entries, steps, counts = (_unpack(row[c], k) for c, k in (("grams", "<i8"), ("entries", "<u4"), ("steps", "<u2"), ("counts", "<u2")))
+            if len(grams):
+                mask = np.zeros(65536, np.int64)
+                mask[row["who"]] = 1
+                n = np.add.reduceat(counts * mask[_entries(entries, steps)], np.concatenate([[0], np.cumsum(entries)[:-1]]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(grams)[n > 0]), pa.array(n[n > 0])], ["gram", "n"])
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slice, pos, logsum, squares) of slices (slice, entries, steps, counts, logp array in the order of trigrams)."""
     for batch in batches:
-        grams, steps, counts, trusted = batch.columns
-        masks: dict[int, np.ndarray] = {}
-        out = []
-        for s, c, t in zip(steps, counts, trusted.to_pylist()):
-            key = hash(tuple(t))
-            mask = masks.get(key)
-            if mask is None:
-                masks.clear()
-                mask = masks[key] = np.zeros(65536, bool)
-                mask[t] = True
-            doc = np.cumsum(np.frombuffer(s.as_py(), "<u2"), dtype=np.int64)
-            out.append(int(np.frombuffer(c.as_py(), "<u2")[mask[doc]].sum(dtype=np.int64)))
-        yield pa.RecordBatch.from_arrays([grams, pa.array(out, pa.int64())], ["gram", "n"])
-
-
-def _sums(table: pa.Table) -> pa.Table:
-    """(slice, pos, logsum, squares) over all rows (slice, steps, counts, logp) of one slice."""
-    steps, counts = table.column("steps").to_pylist(), table.column("counts").to_pylist()
-    lengths = np.array([len(s) // 2 for s in steps])
-    step = np.frombuffer(b"".join(steps), "<u2").astype(np.int64)
-    ends = np.cumsum(lengths)
-    total = np.cumsum(step)
-    before = np.repeat(np.concatenate([[0], total[ends[:-1] - 1]]), lengths)
-    doc = total - before
-    n = np.frombuffer(b"".join(counts), "<u2").astype(float)
-    logp = np.repeat(table.column("logp").to_numpy(), lengths)
-    size = int(doc.max()) + 1
-    sums, squares = np.bincount(doc, n * logp, size), np.bincount(doc, n * logp * logp, size)
-    slices = np.full(size, table.column("slice")[0].as_py())
-    return pa.table({"slice": slices, "pos": np.arange(size, dtype=np.int32), "logsum": sums, "squares": squares})
+        for row in batch.to_pylist():
+            entries, steps, counts = (_unpack(row[c], k) for c, k in (("entries", "<u4"), ("steps", "<u2"), ("counts", "<u2")))
+            doc, logp = _entries(entries, steps), np.repeat(np.array(row["logp"]), entries)
+            size = int(doc.max()) + 1
+            sums, squares = np.bincount(doc, counts * logp, size), np.bincount(doc, counts * logp * logp, size)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(size, row["slice"])), pa.array(np.arange(size, dtype=np.int32)), pa.array(sums), pa.array(squares)], ["slice", "pos", "logsum", "squares"]
+            )
 
 
 class KneserNey:
@@ -210,25 +214,22 @@ def perplexities(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     spread: its standard error. Null keys, null languages and repeated rows stay.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    parts = scratch.keep(sliced(docs, key, text, lang, F.lit(None) if mark is None else mark))
-    names = parts.where("gram is null").select("slice", F.posexplode("keys").alias("pos", "k")).select("slice", "pos", "k.*")
+    parts = scratch.keep_bucketed(sliced(docs, key, text, lang, F.lit(None) if mark is None else mark), "slice")
+    names = parts.select("slice", F.posexplode("keys").alias("pos", "k")).select("slice", "pos", "k.*")
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(True))
     names = scratch.keep(names.join(good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))).select("slice", "pos", "doc_id", "lang", "mark", "n", "trusted"))
     trusted = names.where("trusted and n > 0").groupBy("slice").agg(F.sort_array(F.collect_list("pos")).alias("who"))
-    postings = parts.where("gram is not null").select("slice", "gram", "steps", "counts")
     training = (
-        postings.join(trusted, "slice").select("gram", "steps", "counts", "who").mapInArrow(_trusted_counts, "gram long, n long").where("n > 0").groupBy("gram").agg(F.sum("n").alias("n"))
+        parts.select("slice", "grams", "entries", "steps", "counts").join(trusted, "slice").drop("slice").mapInArrow(_trusted_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     )
     training = scratch.keep(training)
     if training.isEmpty():
         return names.select("doc_id", "lang", "mark", "n", F.lit(None).cast("double").alias("log_ppl"), F.lit(None).cast("double").alias("spread"), "trusted")
-    table = scratch.keep(KneserNey(training).log_probabilities(postings.select("gram").distinct()))
-    sums = (
-        postings.join(table, "gram")
-        .select("slice", "steps", "counts", "logp")
-        .groupBy("slice")
-        .applyInArrow(_sums, "slice long, pos int, logsum double, squares double")
-    )
+    grams = parts.select("slice", "grams").mapInArrow(_grams_of, "slice long, ix int, gram long")
+    table = scratch.keep(KneserNey(training).log_probabilities(grams.select("gram").distinct()))
+    back = F.transform(F.sort_array(F.collect_list(F.struct("ix", "logp"))), lambda x: x["logp"])
+    told = grams.join(table, "gram").groupBy("slice").agg(back.alias("logp"))
+    sums = parts.select("slice", "entries", "steps", "counts").join(told, "slice").mapInArrow(_sums, "slice long, pos int, logsum double, squares double")
     mean = -F.col("logsum") / F.col("n")
     spread = F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0)) / F.col("n"))
     some = F.col("n") > 0
@@ -243,6 +244,7 @@ def judged(found: DataFrame, scratch: Scratch, quantile: float = QUANTILE, margi
     good = found.where("trusted and log_ppl is not null")
     at = F.percentile_approx("log_ppl", quantile, 10_000)
     by_lang = good.where("lang is not null").groupBy("lang").agg(at.alias("threshold"), F.count("*").alias("held")).where(F.col("held") >= LEAST_TRUSTED)
+    by_lang = scratch.keep(by_lang)  # of known size, so a few languages are broadcast and a hot one is no hot task
     pooled = good.agg(at.alias("t")).first().t
     limit = F.coalesce("threshold", F.lit(pooled).cast("double"))
     out = found.join(by_lang.select("lang", "threshold"), "lang", "left").withColumn("threshold", limit)
@@ -268,4 +270,5 @@ def keep_fluent(docs: DataFrame, labels: DataFrame, text: str = "text", lang: st
     bad = judged(perplexities(docs, labels, text=text, lang=lang, mark=mark), scratch).where(~F.col("keep"))
     bad = scratch.keep(bad.select(F.col("mark").alias("__kosha_mark")).distinct())
     marked = docs.withColumn("__kosha_mark", mark)
-    return marked.join(bad, "__kosha_mark", "left_anti").select(*docs.columns)
+    # rejects grow with the corpus, so they are never broadcast, however small a table is
+    return marked.join(bad.hint("merge"), "__kosha_mark", "left_anti").select(*docs.columns)
