@@ -59,7 +59,24 @@ def _spans(text: Column, pattern: str, seen: Column, keep=None) -> Column:
     return F.when(seen, step).otherwise(F.array().cast(_SPANS))
 
 
-def _ranked(kind: str, rank: int) -> Column:
+def _findings(t: Column) -> list[Column]:
+    """Spans of each kind in a text that is not null."""
+    return [
+        _spans(t, ASSIGN, t.rlike(ASSIGN), _long_value).alias("assign"),
+        _spans(t, ACCESS, F.contains(t, F.lit("AKIA"))).alias("access"),
+        _spans(t, HEX, t.rlike(HEX)).alias("hex"),
+        _spans(t, BARE, t.rlike(BARE)).alias("bare"),
+        _spans(t, ENDPOINT, F.contains(t, F.lit("://"))).alias("endpoint"),
+    ]
+
+
+def _in_order(spans: Column) -> Column:
+    """Spans by start, then kind."""
+    first = lambda a, b: F.when(a["s"] != b["s"], F.signum(a["s"] - b["s"])).otherwise(F.signum(a["kind"] - b["kind"])).cast("int")
+    return F.array_sort(spans, first)
+
+
+def _ranked(kind: Column, rank: int) -> Column:
     return F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(rank).alias("kind")))
 
 
@@ -76,16 +93,8 @@ def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tupl
     scratch = Scratch(docs.sparkSession, "secrets")
     body = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("doc_id"), body.alias("t"))
-    found = base.select(
-        "rid",
-        "doc_id",
-        _spans(F.col("t"), ASSIGN, F.col("t").rlike(ASSIGN), _long_value).alias("assign"),
-        _spans(F.col("t"), ACCESS, F.contains("t", F.lit("AKIA"))).alias("access"),
-        _spans(F.col("t"), HEX, F.col("t").rlike(HEX)).alias("hex"),
-        _spans(F.col("t"), BARE, F.col("t").rlike(BARE)).alias("bare"),
-        _spans(F.col("t"), ENDPOINT, F.contains("t", F.lit("://"))).alias("endpoint"),
-    )
-    every = F.flatten(F.array(*[_ranked(kind, rank) for rank, kind in enumerate(KINDS)]))
+    found = base.select("rid", "doc_id", *_findings(F.col("t")))
+    every = F.flatten(F.array(*[_ranked(F.col(kind), rank) for rank, kind in enumerate(KINDS)]))
     parts = scratch.keep(found.select("rid", "doc_id", every.alias("parts")))
 
     # only texts that hold a weak candidate and a complement of it need the join
@@ -121,10 +130,7 @@ def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tupl
         .agg(F.collect_list(F.struct("s", "e", "kind")).alias("linked"))
     )
     strong = F.filter("parts", lambda p: p["kind"] < 3)
-    spans = F.array_sort(
-        F.concat(strong, F.coalesce("linked", F.array().cast("array<struct<s:long,e:long,kind:int>>"))),
-        lambda a, b: F.when(a["s"] != b["s"], F.signum(a["s"] - b["s"])).otherwise(F.signum(a["kind"] - b["kind"])).cast("int"),
-    )
+    spans = _in_order(F.concat(strong, F.coalesce("linked", F.array().cast("array<struct<s:long,e:long,kind:int>>"))))
     return parts.join(linked, "rid", "left").select("rid", "doc_id", spans.alias("spans")), scratch
 
 
@@ -156,14 +162,19 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataF
 
     Overlapping findings are masked together. Texts without findings are returned as they are, null stays null.
     """
-    scratch = Scratch(docs.sparkSession, "redact")
+    t, cells = F.col(text), "__kosha_spans"
+    body = F.coalesce(t, F.lit(""))
+    # only texts that may hold a weak candidate and its complement need the linking join; the others stay in place
+    weak, strong = body.rlike(BARE) | F.contains(body, F.lit("://")), body.rlike(ASSIGN) | F.contains(body, F.lit("AKIA"))
+    base = F.flatten(F.array(*[_ranked(found, rank) for rank, found in enumerate(_findings(body)[:3])]))
+    alone = docs.where(~(weak & strong)).withColumn(cells, _in_order(base))
     rid = "__kosha_rid"
-    rows = numbered(docs, rid, scratch)
+    rows = numbered(docs, rid, Scratch(docs.sparkSession, "redact")).where(weak & strong)
     spans, _ = find_spans(rows, key=rid, text=text)
-    spans = spans.where(F.size("spans") > 0).select(F.col("doc_id").alias(rid), F.col("spans").alias("__kosha_spans"))
-    t = F.col(text)
+    mixed = rows.join(spans.select(F.col("doc_id").alias(rid), F.col("spans").alias(cells)), rid).drop(rid)
+    out = alone.unionByName(mixed)
     cut = F.aggregate(
-        "__kosha_spans",
+        cells,
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
         lambda acc, p: F.struct(
             F.greatest(acc["at"], p["e"]).alias("at"),
@@ -176,7 +187,9 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataF
         ),
         lambda acc: F.concat(acc["out"], F.substring(t, (acc["at"] + 1).cast("int"), F.length(t))),
     )
-    out = rows.join(spans, rid, "left").withColumn(text, F.when(F.col("__kosha_spans").isNull(), t).otherwise(cut))
+    found = F.size(cells) > 0
+    out = out.withColumn("__kosha_new", F.when(found, cut).otherwise(t))
+    changed = {text: F.col("__kosha_new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__kosha_spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(found, F.length("__kosha_new").cast("long")).otherwise(F.col("n_chars"))
+    return out.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
