@@ -12,6 +12,7 @@ exact for a radius of 2 and linear in the bucket. Work is done on distinct finge
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,9 @@ BLOCK = 1 << 16
 VIEWS = 16
 SAMPLE = 3
 MOST_MATED = 24
+#: Slots that shingles are counted in to tell rare from common ones (a power of two), and the sides of a block of pairs.
+SLOTS = 1 << 18
+BLOCK_SIDES = 256, 2048
 
 
 def fingerprint(text: str | None, words: int) -> int:
@@ -215,14 +219,85 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, f"rid string, doc_id {kind}, set_id long, fp long, views array<long>")
 
 
+def _sets_of(wanted: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(set_id, h array of shingle hashes) of wanted (set_id), read from one text of each set."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_shingle_hashes(t.as_py(), words).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["set_id", "h"])
+
+    named = sets.join(wanted, "set_id").select("set_id", F.col("best.rid").alias("rid"))
+    return rows.join(named, "rid").select("set_id", "text").mapInArrow(hashes, "set_id long, h array<long>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose whole sets of shingles are similar enough."""
+    pairs = scratch.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # the check needs the sets of candidates alone
+    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    texts = scratch.keep(_sets_of(wanted, sets, rows, words))
+    both = pairs.join(texts.select(F.col("set_id").alias("a"), F.col("h").alias("ha")), "a").join(texts.select(F.col("set_id").alias("b"), F.col("h").alias("hb")), "b")
+    common = F.size(F.array_intersect("ha", "hb"))
+    similar = common / F.greatest(F.size("ha") + F.size("hb") - common, F.lit(1)) >= similarity
+    return scratch.keep(both.where(similar).select("a", "b"))
+
+
+def rare_mates(texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Candidates (a, b) among texts (set_id, root, h), none missed: pairs of different roots that may be similar.
+
+    Prefix filter: with shingles in one order for all, two similar sets share one of their first
+    n - ceil(similarity n) + 1, and the first shared one leaves room for the overlap that similarity needs. Rare
+    shingles come first. A shingle's members are dealt out in blocks of pairs; those of its largest group so far need
+    no pairs among themselves.
+    """
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            held += np.bincount(batch.column(0).flatten().to_numpy() & (SLOTS - 1), minlength=SLOTS)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], ["slot", "n"])
+
+    told = texts.select("h").mapInArrow(slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(SLOTS, np.int64)
+    often[told.column("slot").to_numpy()] = told.column("n").to_numpy()
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, root, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                h = cell.values.to_numpy()
+                n = len(h)
+                k = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+                first = h[np.lexsort((h, often[h & (SLOTS - 1)]))[:k]]
+                arrays = [pa.array(np.full(len(first), x)) for x in (name, root)]
+                arrays += [pa.array(np.full(len(first), n, np.int32)), pa.array(np.arange(len(first), dtype=np.int32)), pa.array(first)]
+                yield pa.RecordBatch.from_arrays(arrays, ["set_id", "root", "n", "at", "h"])
+
+    keyed = scratch.keep(texts.select("set_id", "root", "h").mapInArrow(prefixes, "set_id long, root long, n int, at int, h long"))
+    groups = keyed.groupBy("h", "root").agg(F.count("*").alias("n"))
+    groups = groups.groupBy("h").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
+    sides = [F.ceil(x / F.lit(most)).cast("int") for x, most in zip((F.col("all") - F.col("most.n"), F.col("all")), BLOCK_SIDES)]
+    keyed = scratch.keep(keyed.join(groups.select("h", F.col("most.root").alias("most"), sides[0].alias("down"), sides[1].alias("across")), "h"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("set_id"), F.col(n)).cast("int")
+    left = keyed.where("root <> most").withColumns({"i": own("down"), "j": every("across")})
+    right = keyed.withColumns({"i": every("down"), "j": own("across")})
+    left, right = (t.select("h", "i", "j", *[F.col(c).alias(f"{c}_{x}") for c in ("set_id", "root", "n", "at")]) for t, x in ((left, "a"), (right, "b")))
+    room = 1 + F.least(F.expr("n_a - at_a - 1"), F.expr("n_b - at_b - 1"))
+    near = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
+    near = near & (room >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6) & F.expr("root_a <> root_b")
+    return left.join(right, ["h", "i", "j"]).where(near).select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))
+
+
 def near_copies(docs: DataFrame, rid: str, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(rid, doc_id, group, keep) per row of docs: groups of texts linked by a Jaccard similarity of word shingles.
 
     Candidates are pairs of distinct shingle sets whose fingerprints differ in 2 bits at most (found by the pigeonring
     filter) or one of whose views agrees; every candidate is then checked on its whole sets. keep marks one row of
     each group: the smallest key that is not null, then the smallest rid. Texts without words are one group. In a
-    bucket of more than MOST_MATED sets each is checked against the least and the greatest of it, in each view and in
-    each pair of neighbouring views.
+    bucket of more than MOST_MATED sets each is first checked against the least, the greatest and the most central of
+    it; the sets of a bucket that this does not make one group are joined by their rarest shingles, which is exact.
     """
     scratch = Scratch(docs.sparkSession, "copies")
     rows = docs.select(F.col(rid).alias("rid"), F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -237,31 +312,25 @@ def near_copies(docs: DataFrame, rid: str, words: int = 5, similarity: float = 0
     ends = near.join(fps.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
     # candidates by views
     seen = sets.select("set_id", F.posexplode("views").alias("view", "value"))
-    after = sets.select("set_id", F.posexplode(F.zip_with("views", F.expr("concat(slice(views, 2, size(views)), slice(views, 1, 1))"), lambda x, y: F.xxhash64(x, y))).alias("view", "value"))
-    seen = seen.unionByName(after.withColumn("view", F.col("view") + VIEWS))
     shared = seen.groupBy("view", "value").agg(F.count("*").alias("held"), F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("held > 1")
     held = scratch.keep(seen.join(shared, ["view", "value"]))
-    few = held.where((F.col("held") <= MOST_MATED) & (F.col("view") < VIEWS))
+    few, many = held.where(F.col("held") <= MOST_MATED), held.where(F.col("held") > MOST_MATED)
     mates = few.select("view", "value", F.col("set_id").alias("a")).join(few.select("view", "value", F.col("set_id").alias("b")), ["view", "value"]).where("a < b").select("a", "b")
-    many = held.where(F.col("held") > MOST_MATED).select(F.col("set_id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
-    pairs = same.unionByName(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).unionByName(mates).unionByName(many)
-    pairs = scratch.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    # the check needs the sets of candidates alone
-    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    wanted = sets.join(wanted, "set_id").select("set_id", F.col("best.rid").alias("rid"))
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_shingle_hashes(t.as_py(), words).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["set_id", "h"])
-
-    texts = rows.join(wanted, "rid").select("set_id", "text").mapInArrow(hashes, "set_id long, h array<long>")
-    texts = scratch.keep(texts)
-    both = pairs.join(texts.select(F.col("set_id").alias("a"), F.col("h").alias("ha")), "a").join(texts.select(F.col("set_id").alias("b"), F.col("h").alias("hb")), "b")
-    common = F.size(F.array_intersect("ha", "hb"))
-    similar = common / F.greatest(F.size("ha") + F.size("hb") - common, F.lit(1)) >= similarity
-    roots = components(scratch.keep(both.where(similar).select("a", "b")), scratch)
+    # what a bucket's texts are edits of lies in more of the large buckets than the edits do
+    busy = many.join(many.groupBy("set_id").agg(F.count("*").alias("large")), "set_id")
+    central = busy.groupBy("view", "value").agg(F.max(F.struct("large", "set_id"))["set_id"].alias("mid"))
+    tied = many.join(central, ["view", "value"]).select(F.col("set_id").alias("a"), F.explode(F.array("low", "high", "mid")).alias("b")).where("a <> b")
+    pairs = same.unionByName(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).unionByName(mates).unionByName(tied)
+    edges = _alike(pairs, sets, rows, words, similarity, scratch)
+    roots = components(edges, scratch)
+    # large buckets of more than one group so far
+    members = many.join(roots, F.col("set_id") == F.col("node"), "left").select("view", "value", "set_id", F.coalesce("root", "set_id").alias("root"))
+    apart = members.groupBy("view", "value").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last")
+    loose = scratch.keep(members.join(apart, ["view", "value"]).select("set_id", "root").distinct())
+    if not loose.isEmpty():
+        texts = scratch.keep(_sets_of(loose.select("set_id"), sets, rows, words).join(loose, "set_id").select("set_id", "root", "h"))
+        more = _alike(rare_mates(texts, similarity, scratch), sets, rows, words, similarity, scratch)
+        roots = components(edges.unionByName(more), scratch)
     named = sets.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "best", F.coalesce("root", "set_id").alias("group"))
     leads = named.groupBy("group").agg(F.min("best").alias("lead"))
     of = scratch.keep(named.join(leads, "group").select("set_id", "group", F.col("lead.rid").alias("lead")))

@@ -368,6 +368,49 @@ def test_near_copies_keep_one(spark, odd, empty):
     assert simhash.drop_near_copies(empty).count() == 0
 
 
+def edited(rng, words, cuts):
+    """words with `cuts` words replaced, at least 5 apart and from the ends, so each changes 5 shingles."""
+    out = list(words)
+    for at in rng.sample(range(1, len(words) // 6 - 1), cuts):
+        out[6 * at] = f"e{rng.random()}"
+    return out
+
+
+def brute_groups(texts):
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if root[i] != root[j] and len(a & b) >= 0.8 * len(a | b):
+                root = [root[j] if r == root[i] else r for r in root]
+    return collections.Counter(root)
+
+
+@pytest.mark.parametrize("originals, edits", [(1, 300), (4, 60)])
+def test_near_copies_of_large_buckets(spark, originals, edits):
+    rng = random.Random(originals)
+    base = [f"w{i}" for i in range(124)]
+    texts = []
+    for _ in range(originals):
+        middle = edited(rng, base, 3) if originals > 1 else base
+        texts += [middle] + [edited(rng, middle, 2) for _ in range(edits)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    groups = brute_groups(texts)
+    assert max(groups.values()) > edits
+    assert simhash.drop_near_copies(df).count() == len(groups)
+
+
+def test_rare_mates_miss_no_pair(spark):
+    rng = random.Random(5)
+    common = list(range(1000, 1080))
+    sets = [set(rng.sample(common, rng.randint(60, 80))) | {rng.getrandbits(62) for _ in range(rng.choice([0, 3, 40]))} for _ in range(300)]
+    df = spark.createDataFrame([(i, i % 7, sorted(s)) for i, s in enumerate(sets)], "set_id long, root long, h array<long>")
+    want = {(i, j) for i in range(300) for j in range(i) if i % 7 != j % 7 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    found = {(max(r.a, r.b), min(r.a, r.b)) for r in simhash.rare_mates(df, 0.8, Scratch(spark, "t")).collect()}
+    assert want and want <= found and all(i % 7 != j % 7 for i, j in found)
+
+
 # pages
 
 
