@@ -8,7 +8,9 @@ further sharded join returns it to the slices, and sums by document give perplex
 with the corpus and are never broadcast by request or collected.
 
 A document is rejected when its perplexity lies above the quantile of the trusted documents of its language, by more
-than its own length lets chance explain.
+than its length lets chance explain, going by how much characters vary in trusted text. The other tail needs a measure
+of its own, since repeated words are made of common characters: a document is also rejected when the entropy of its own
+trigrams lies below the low quantile of trusted documents of its language and length.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from .common import Scratch
 SLICE_DOCS = 2048
 SLICE_CHARS = 4_000_000
 QUANTILE = 0.99
-#: Standard errors of its mean that a text must lie above the quantile.
+LOW_QUANTILE = 0.01
+#: Standard errors of its mean that a text must lie above the quantile, or below the low one.
 MARGIN = 3.0
+LOW_MARGIN = 3.0
 #: Trusted documents that a language needs for a quantile of its own.
 LEAST_TRUSTED = 30
 _BITS = 21
@@ -44,11 +48,18 @@ def trigrams(text: str) -> np.ndarray:
     return (c[:-2] << 2 * _BITS) | (c[1:-1] << _BITS) | c[2:]
 
 
-def _postings(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct trigrams of a slice, how many entries each has, and the entries: steps between documents, and counts."""
+def _postings(grams: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Distinct trigrams of a slice, how many entries each has, and the entries: steps between documents, and counts.
+
+    Last, by document, the entropy of its own trigrams and the standard error of it.
+    """
     sizes = [len(g) for g in grams]
     distinct, at = np.unique(np.concatenate(grams), return_inverse=True)
     pair, count = np.unique(at * np.int64(len(grams)) + np.repeat(np.arange(len(grams)), sizes), return_counts=True)
+    at, log = pair % len(grams), np.log(count)
+    n = np.maximum(sizes, 1)
+    mean, square = (np.bincount(at, count * x, len(grams)) / n for x in (log, log * log))
+    own, spread = np.log(n) - mean, np.sqrt(np.maximum(square - mean * mean, 0) / n)
     full = count > 65535
     while full.any():  # a count too large for 16 bits is several entries
         pair, count = np.concatenate([pair, pair[full]]), np.concatenate([np.where(full, 65535, count), count[full] - 65535])
@@ -59,7 +70,7 @@ def _postings(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     starts = np.searchsorted(gram, np.arange(len(distinct) + 1))
     step = np.diff(doc, prepend=0)
     step[starts[:-1]] = doc[starts[:-1]]
-    return distinct, np.diff(starts), step, count
+    return distinct, np.diff(starts), step, count, own, spread
 
 
 def _pack(values: np.ndarray, kind: str) -> bytes:
@@ -81,9 +92,11 @@ def sliced(docs: DataFrame, key: str, text: str, lang: str, mark: Column) -> Dat
 
         def flush() -> pa.RecordBatch:
             none = np.zeros(0, np.int64)
-            found = _postings(grams) if any(len(g) for g in grams) else (none, none, none, none)
+            zeros = np.zeros(len(grams))
+            found = _postings(grams) if any(len(g) for g in grams) else (none, none, none, none, zeros, zeros)
             blobs = [_pack(np.diff(found[0], prepend=0), "<i8"), _pack(found[1], "<u4"), _pack(found[2], "<u2"), _pack(found[3], "<u2")]
-            keys = [{"doc_id": d, "lang": x, "mark": m, "n": len(g)} for (d, x, m), g in zip(held, grams)]
+            owns = zip(held, grams, found[4].tolist(), found[5].tolist())
+            keys = [{"doc_id": d, "lang": x, "mark": m, "n": len(g), "own": own, "own_spread": spread} for (d, x, m), g, own, spread in owns]
             arrays = [pa.array([task | number], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs), pa.array([keys], kinds)]
             return pa.RecordBatch.from_arrays(arrays, ["slice", "grams", "entries", "steps", "counts", "keys"])
 
@@ -99,9 +112,9 @@ def sliced(docs: DataFrame, key: str, text: str, lang: str, mark: Column) -> Dat
         if held:
             yield flush()
 
-    kinds = pa.list_(pa.struct([("doc_id", pa.int64()), ("lang", pa.string()), ("mark", pa.string()), ("n", pa.int64())]))
+    kinds = pa.list_(pa.struct([("doc_id", pa.int64()), ("lang", pa.string()), ("mark", pa.string()), ("n", pa.int64()), ("own", pa.float64()), ("own_spread", pa.float64())]))
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), mark.cast("string").alias("mark"))
-    return narrow.mapInArrow(run, "slice long, grams binary, entries binary, steps binary, counts binary, keys array<struct<doc_id:long,lang:string,mark:string,n:long>>")
+    return narrow.mapInArrow(run, "slice long, grams binary, entries binary, steps binary, counts binary, keys array<struct<doc_id:long,lang:string,mark:string,n:long,own:double,own_spread:double>>")
 
 
 def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,23 +221,23 @@ class KneserNey:
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", mark: Column | None = None) -> DataFrame:
-    """(doc_id, lang, mark, n, log_ppl, spread, trusted) of every row of docs.
+    """(doc_id, lang, mark, n, own, own_spread, log_ppl, spread, trusted) of every row of docs.
 
-    n: trigrams; log_ppl: mean negative log-probability, null for null and empty texts and where nothing is trusted;
-    spread: its standard error. Null keys, null languages and repeated rows stay.
+    n: trigrams; own: entropy of the document's own trigrams; log_ppl: mean negative log-probability, null for null and
+    empty texts and where nothing is trusted; the spreads: their standard errors. Null keys, null languages and repeated rows stay.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     parts = scratch.keep_bucketed(sliced(docs, key, text, lang, F.lit(None) if mark is None else mark), "slice")
     names = parts.select("slice", F.posexplode("keys").alias("pos", "k")).select("slice", "pos", "k.*")
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    names = scratch.keep(names.join(good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))).select("slice", "pos", "doc_id", "lang", "mark", "n", "trusted"))
+    names = scratch.keep(names.join(good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))).select("slice", "pos", "doc_id", "lang", "mark", "n", "own", "own_spread", "trusted"))
     trusted = names.where("trusted and n > 0").groupBy("slice").agg(F.sort_array(F.collect_list("pos")).alias("who"))
     training = (
         parts.select("slice", "grams", "entries", "steps", "counts").join(trusted, "slice").drop("slice").mapInArrow(_trusted_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     )
     training = scratch.keep(training)
     if training.isEmpty():
-        return names.select("doc_id", "lang", "mark", "n", F.lit(None).cast("double").alias("log_ppl"), F.lit(None).cast("double").alias("spread"), "trusted")
+        return names.select("doc_id", "lang", "mark", "n", "own", "own_spread", F.lit(None).cast("double").alias("log_ppl"), F.lit(None).cast("double").alias("spread"), "trusted")
     grams = parts.select("slice", "grams").mapInArrow(_grams_of, "slice long, ix int, gram long")
     table = scratch.keep(KneserNey(training).log_probabilities(grams.select("gram").distinct()))
     back = F.transform(F.sort_array(F.collect_list(F.struct("ix", "logp"))), lambda x: x["logp"])
@@ -234,22 +247,40 @@ def perplexities(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     spread = F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0)) / F.col("n"))
     some = F.col("n") > 0
     return names.join(sums, ["slice", "pos"], "left").select(
-        "doc_id", "lang", "mark", "n", F.when(some, mean).alias("log_ppl"), F.when(some, spread).alias("spread"), "trusted"
+        "doc_id", "lang", "mark", "n", "own", "own_spread", F.when(some, mean).alias("log_ppl"), F.when(some, spread).alias("spread"), "trusted"
     )
 
 
 def judged(found: DataFrame, scratch: Scratch, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """found (of perplexities) with threshold and keep; texts without a perplexity are kept."""
-    found = scratch.keep(found)
-    good = found.where("trusted and log_ppl is not null")
+    """found (of perplexities) with threshold, floor and keep.
+
+    Texts without a perplexity are kept, and so are those of languages without a trusted document, which other languages
+    say nothing about; languages with fewer than LEAST_TRUSTED go by the trusted documents of all. floor: the low quantile of own in the class of trusted documents of equal
+    binary length; own grows with length, so a class with too few documents goes by the best shorter one.
+    """
+    found = scratch.keep(found.withColumn("length", F.when(F.col("n") > 0, F.floor(F.log2("n")).cast("int"))))
+    good = found.where("trusted and log_ppl is not null and lang is not null")
     at = F.percentile_approx("log_ppl", quantile, 10_000)
-    by_lang = good.where("lang is not null").groupBy("lang").agg(at.alias("threshold"), F.count("*").alias("held")).where(F.col("held") >= LEAST_TRUSTED)
-    by_lang = scratch.keep(by_lang)  # of known size, so a few languages are broadcast and a hot one is no hot task
-    pooled = good.agg(at.alias("t")).first().t
-    limit = F.coalesce("threshold", F.lit(pooled).cast("double"))
-    out = found.join(by_lang.select("lang", "threshold"), "lang", "left").withColumn("threshold", limit)
-    bad = F.col("log_ppl") - margin * F.col("spread") > F.col("threshold")
-    return out.withColumn("keep", ~F.coalesce(bad, F.lit(False)))
+    # deviation of one character: a text's own would let texts pass for being uneven
+    deviation = F.sqrt(F.sum(F.col("spread") * F.col("spread") * F.col("n") * F.col("n")) / F.sum("n"))
+    told = [at.alias("threshold"), deviation.alias("deviation"), F.count("*").alias("held")]
+    enough = F.col("held") >= LEAST_TRUSTED
+
+    def floors_of(*by: str) -> DataFrame:
+        classes = good.groupBy(*by, "length").agg(F.percentile_approx("own", LOW_QUANTILE, 10_000).alias("floor"), F.count("*").alias("held")).where(enough)
+        return classes.groupBy(*by).agg(F.collect_list(F.struct("length", "floor")).alias("floors"))
+
+    every = good.agg(*told[:2]).crossJoin(floors_of()).select(*[F.col(c).alias(f"all_{c}") for c in ("threshold", "deviation", "floors")])
+    by_lang = good.groupBy("lang").agg(*told).join(floors_of("lang"), "lang", "left").crossJoin(F.broadcast(every))
+    own = [F.when(enough, F.col(c)).otherwise(F.col(f"all_{c}")).alias(c) for c in ("threshold", "deviation", "floors")]
+    # of known size, so a few languages are broadcast and a hot one is no hot task
+    by_lang = scratch.keep(by_lang.select("lang", *own))
+    shorter = F.filter("floors", lambda x: x["length"] <= F.col("length"))
+    out = found.join(by_lang, "lang", "left").withColumn("floor", F.array_max(F.transform(shorter, lambda x: x["floor"])))
+    bad = F.col("log_ppl") - margin * F.col("deviation") / F.sqrt("n") > F.col("threshold")
+    dull = F.col("own") + LOW_MARGIN * F.col("own_spread") < F.col("floor")
+    verdict = F.coalesce(bad, F.lit(False)) | F.coalesce(dull & F.col("log_ppl").isNotNull(), F.lit(False))
+    return out.withColumn("keep", ~verdict).drop("deviation", "floors", "length")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,6 +179,19 @@ def test_quality_keeps_clean_documents(spark, docs):
     assert sum(d in kept for d in good) >= 0.97 * len(good) and sum(d in kept for d in bad) <= 0.5 * len(bad)
 
 
+def test_quality_low_tail_and_unknown_languages(spark):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("etaoinshr", k=rng.randint(2, 8))) for _ in range(400)]
+    prose = [" ".join(rng.choices(vocabulary, k=200)) for _ in range(60)]
+    rows = [(i, t, "en") for i, t in enumerate(prose)]
+    rows += [(100, " ".join(vocabulary[:1] * 300), "en"), (101, " ".join(vocabulary[:3] * 100), "en"), (102, " ".join(rng.choices(vocabulary, k=230)), "en")]
+    rows += [(103, "".join(rng.choices("абвгде ", k=1000)), "xx"), (104, "".join(rng.choices("абвгде ", k=1000)), "en")]
+    docs = spark.createDataFrame([(i, t, x, "s", len(t)) for i, t, x in rows], DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.keep_fluent(docs, labels).collect()}
+    assert kept >= {102, 103} and not kept & {100, 101, 104} and len(kept & set(range(60))) >= 58
+
+
 def test_quality_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(3, 1, 0), (5, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     rows = quality.perplexities(odd, labels).collect()
