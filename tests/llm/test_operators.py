@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kosha.llm import ann, bpe, html, media, packing, quality, secrets, sharding, simhash, toxicity
+from kosha.llm import ann, bpe, media, packing, quality, secrets, sharding, simhash, toxicity
 from kosha.llm.common import Scratch, components, numbered
 from kosha.llm.registry import QUERIES
 
@@ -424,38 +424,6 @@ def test_rare_mates_miss_no_pair(spark):
     assert want and want <= found and all(i % 7 != j % 7 for i, j in found)
 
 
-# pages
-
-
-def test_main_text():
-    page = (
-        "<html><head><title>T</title><script>var a='</p>';</script></head><body><header>Site</header><nav><a href=x>Menu</a></nav><div class='ad'>Buy</div>"
-        "<article><h1>Head &amp; tail</h1><p><b>One\n two<br>three<p>Four &eacute;</p><aside>Side</aside><div class='comments'><p>Reader</p></div><form>F</form></article><footer>Foot</footer>"
-    )
-    assert html.main_text(page) == "Head & tail\nOne two three\nFour é"
-    assert html.main_text(None) == html.main_text("") == html.main_text("<nav>x</nav>") == ""
-    assert html.main_text("<p>plain<p>text") == "plain\ntext"
-    assert html.main_text("<div>" * 3000 + "deep") == "deep"
-
-
-def test_align_counts_matches():
-    a = html._flat(html.parse("<div><p>a</p><p>b</p></div>"))
-    assert html.align(a, a)[0] == 6
-    b = html._flat(html.parse("<div><p>a</p><ul><li>x</li></ul><p>c</p></div>"))
-    assert html.align(a, b)[0] == 6
-
-
-def test_template_is_left_out(spark):
-    pages = [(i, f"https://h.example/{i}", f"<body><div><p>Story {i} tells</p><p>Subscribe to us</p></div></body>") for i in range(5)]
-    pages += [(9, "https://other.example/", pages[0][2]), (10, None, "<p>x</p>"), (11, "https://h.example/z", None)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in html.extract(df).collect()}
-    assert got[1] == "Story 1 tells" and got[9] == "Story 0 tells\nSubscribe to us" and got[10] == "x" and got[11] == ""
-    shared = [(i, f"https://h.example/{i}", f"<body><p>Top</p><article><p>Story {i}</p><p>The same line</p></article></body>") for i in range(5)]
-    assert {r.text for r in html.extract(spark.createDataFrame(shared, df.schema)).collect()} == {f"Story {i}\nThe same line" for i in range(5)}
-    assert html.extract(df.limit(0)).count() == 0
-
-
 # bytes and ids
 
 
