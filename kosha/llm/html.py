@@ -493,7 +493,9 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     told = told.withColumns({"inner": inner, "fixed": chars(F.filter(inner, fixed))})
     # a page that is template for the most part is one of many near copies, and keeps its lines
     drop = F.col("fixed") <= MOST_CONSTANT * chars(F.col("inner"))
-    chosen = F.filter("blocks", lambda b: (held(b) & ~(drop & fixed(b))) | (~b["out"] & F.array_contains("titles", b["slot"])))
+    title = lambda b: ~b["out"] & F.array_contains("titles", b["slot"])
+    varying = F.filter("blocks", lambda b: (held(b) & ~fixed(b)) | title(b))
+    chosen = F.when(drop, varying).otherwise(F.filter("blocks", lambda b: held(b) | title(b)))
     own = F.filter("blocks", lambda b: b["own"])
     kept = F.when(F.size("inner") > 0, chosen).otherwise(own)
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
