@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kosha.llm import ann, bpe, media, packing, quality, secrets, sharding, simhash, toxicity
+from kosha.llm import ann, bpe, media, packing, quality, secrets, sharding, simhash
 from kosha.llm.common import Scratch, components, numbered
 from kosha.llm.registry import QUERIES
 
@@ -236,40 +236,6 @@ def test_ann_odd_vectors(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
-# toxicity
-
-
-def test_segments_equal_definition():
-    model = toxicity.Model({"=x": 1.0, "=y": 0.5})
-    rng = random.Random(3)
-    for _ in range(200):
-        tokens = [rng.choice("xyzzzz") for _ in range(rng.randint(0, 25))]
-        score = [1.0 if t == "x" else 0.5 if t == "y" else toxicity.DRIFT for t in tokens]
-        best = max((sum(score[a:b]) for a in range(len(score)) for b in range(a + 1, len(score) + 1)), default=0)
-        found = model.passages(tokens, {})
-        assert max((s for _, _, s in found), default=0) == pytest.approx(max(best, 0), abs=1e-9)
-        assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
-        for a, b, s in found:
-            assert s == pytest.approx(sum(score[a:b]))
-
-
-def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.1"
-    rows = toxicity.op4_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
-    assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
-    bad, good = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
-    assert np.mean([r.predicted for r in bad]) > 0.75 and np.mean([r.predicted for r in good]) < 0.03
-
-
-def test_toxicity_odd_rows(spark, odd, empty):
-    labels = spark.createDataFrame([(3, 1, 1), (4, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
-    model = toxicity.train(odd, labels)
-    assert toxicity.scored(odd, model).count() == len(ODD)
-    assert toxicity.keep_civil(odd, toxicity.Model()).count() == len(ODD)
-    assert toxicity.train(odd, labels.limit(0)) == toxicity.Model()
-    assert toxicity.scored(empty, model).count() == 0
-
-
 # sharding
 
 
