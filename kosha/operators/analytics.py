@@ -55,12 +55,14 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("right")))
 
 
-def retrieval_metrics(hits: DataFrame, truth: DataFrame, least_share: float = 0.5) -> DataFrame:
+def retrieval_metrics(hits: DataFrame, truth: DataFrame, least_share: float = 0.5, n_true: DataFrame | None = None) -> DataFrame:
     """Per query of truth (query_id, vec_id): recall and precision of hits (query_id, vec_id, score) and their median.
 
-    A query without truth has recall 1; one without hits has precision 0.
+    A query without truth has recall 1; one without hits has precision 0. With n_true (query_id, n_true), truth needs to
+    hold the relevant hits only.
     """
-    n_true = truth.groupBy("query_id").agg(F.count("*").alias("n_true"))
+    if n_true is None:
+        n_true = truth.groupBy("query_id").agg(F.count("*").alias("n_true"))
     marked = hits.join(truth.withColumn("good", F.lit(1)), ["query_id", "vec_id"], "left")
     found = marked.groupBy("query_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.expr("percentile(score, 0.5)").alias("median_score"))
     both = found.join(n_true, "query_id", "full")

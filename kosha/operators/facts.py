@@ -100,22 +100,36 @@ def domain_type(c: Column) -> Column:
     return cascade(F.lower(c), DOMAIN_RULES, "general")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def statement(c: Column, kind: Column) -> Column:
     """struct(subject, predicate, object): split at the first marker of the list that lies past the second character."""
-    low = F.lower(c)
-    at, mark = F.lit(-1), F.lit(None).cast("string")
-    for m in reversed(MARKERS):
-        here = F.instr(low, m) - 1
-        at, mark = F.when(here > 1, here).otherwise(at), F.when(here > 1, F.lit(m.strip())).otherwise(mark)
-    words = F.split(F.trim(c), r"\s+")
-    none = mark.isNull()
-    subject = F.when(none, phrase(F.array_join(F.slice(words, 1, 4), " "), 90)).otherwise(phrase(F.substring(c, F.lit(1), at), 90))
-    subject = F.when(subject == "", phrase(F.element_at(words, 1), 90)).otherwise(subject)
-    tail = F.substring(c, at + F.length(mark) + 3, F.length(c))
-    rest = F.when(none, phrase(F.array_join(F.slice(words, 5, F.greatest(F.size(words), F.lit(1))), " "), 220)).otherwise(phrase(tail, 220))
-    rest = F.when(rest != "", rest)
-    what = F.when(kind.isin("definition", "observation", "principle"), F.lit(None)).when(kind.isin(NEED_BOTH), F.coalesce(rest, phrase(c, 220))).otherwise(rest)
-    return F.struct(subject.alias("subject"), F.coalesce(mark, F.lit("states")).alias("predicate"), what.alias("object"))
+    spaces = F.array(*map(F.lit, MARKERS))
+
+    def cut(x: Column) -> Column:
+        c, kind, words, at, mark = (x[n] for n in ("c", "kind", "words", "at", "mark"))
+        none = mark.isNull()
+        subject = F.when(none, phrase(F.array_join(F.slice(words, 1, 4), " "), 90)).otherwise(phrase(F.substring(c, F.lit(1), at), 90))
+        rest = F.when(none, phrase(F.array_join(F.slice(words, 5, F.greatest(F.size(words), F.lit(1))), " "), 220))
+        rest = rest.otherwise(phrase(F.substring(c, at + F.length(mark) + 3, F.length(c)), 220))
+        return F.struct(c.alias("c"), kind.alias("kind"), words.alias("words"), mark.alias("mark"), subject.alias("subject"), F.nullif(rest, F.lit("")).alias("rest"))
+
+    def told(x: Column) -> Column:
+        subject = F.when(x["subject"] == "", phrase(F.element_at(x["words"], 1), 90)).otherwise(x["subject"])
+        what = F.when(x["kind"].isin(NEED_BOTH), F.coalesce(x["rest"], phrase(x["c"], 220))).otherwise(x["rest"])
+        what = F.when(x["kind"].isin("definition", "observation", "principle"), F.lit(None)).otherwise(what)
+        return F.struct(subject.alias("subject"), F.coalesce(x["mark"], F.lit("states")).alias("predicate"), what.alias("object"))
+
+    def found(low: Column) -> Column:
+        places = F.transform(spaces, lambda m: F.struct((F.position(m, low) - 1).alias("at"), F.trim(m).alias("mark")))
+        return F.try_element_at(F.filter(places, lambda p: p["at"] > 1), F.lit(1))
+
+    hit = bound(F.lower(c), found)
+    first = bound(hit, lambda h: F.struct(c.alias("c"), kind.alias("kind"), F.split(F.trim(c), r"\s+").alias("words"), F.coalesce(h["at"], F.lit(-1)).alias("at"), h["mark"].alias("mark")))
+    return bound(bound(first, cut), told)
 
 
 def condition(c: Column) -> Column:

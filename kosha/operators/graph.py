@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.language import mapped
+from ..session import shared_folder
 
 # Predicates and their relation types, domains and their node labels, languages with a label of their own.
 RELATIONS = {
@@ -86,15 +87,19 @@ def both_ways(found: DataFrame, extra: list[str] | None = None) -> DataFrame:
 
 
 def neighbourhood(links: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """(node, hop): nodes within 1 to 4 undirected hops of seeds (node), each with the least number of hops."""
+    """(node, hop): nodes within 1 to 4 undirected hops of seeds (node), each with the least number of hops.
+
+    Each front is checkpointed, so a hop reads the fronts before it instead of making them again.
+    """
     if not 1 <= hops <= 4:
         raise ValueError("hops must be 1 to 4")
-    pairs = both_ways(links).distinct()
+    shared_folder(links.sparkSession)
+    pairs = both_ways(links).distinct().checkpoint()
     seen = seeds.select("node").distinct().withColumn("hop", F.lit(0))
     front = seen
     for hop in range(1, hops + 1):
         new = front.join(pairs, front.node == pairs.src).select(F.col("dst").alias("node")).distinct()
-        front = new.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
+        front = new.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)).checkpoint()
         seen = seen.unionByName(front)
     return seen
 
@@ -104,11 +109,7 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
 
     Each round is checkpointed, so lineage stays short; the number of rounds grows with the log of the longest chain.
     """
-    import tempfile
-
-    context = links.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(links.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kosha-"))
+    shared_folder(links.sparkSession)
     now = links.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct().checkpoint()
     mark = None
     for _ in range(most_rounds):

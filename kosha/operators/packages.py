@@ -12,11 +12,13 @@ def enforce(paragraphs: DataFrame, known: DataFrame, package: str, key: str, cit
     """paragraphs with only the ids that known (package, id) holds, and what becomes of those left without any.
 
     mode remove drops their text, label marks it, fail leaves it; supported tells which are backed. A package without
-    paragraphs has no rows; one without known ids supports nothing.
+    paragraphs has no rows; one without known ids supports nothing. (package, key) names one paragraph, so what is
+    gathered is never more than a paragraph cites.
     """
-    ids = known.groupBy(package).agg(F.collect_set("id").alias("__known"))
-    valid = F.array_intersect(F.col(cited), F.coalesce("__known", F.array().cast("array<string>")))
-    out = paragraphs.join(ids, package, "left").withColumn("valid", valid).withColumn("supported", F.size("valid") > 0)
+    asked = paragraphs.select(package, key, F.posexplode(F.array_distinct(cited)).alias("__at", "id"))
+    held = asked.join(known.select(package, "id"), [package, "id"], "left_semi")
+    valid = held.groupBy(package, key).agg(F.transform(F.sort_array(F.collect_list(F.struct("__at", "id"))), lambda x: x["id"]).alias("valid"))
+    out = paragraphs.join(valid, [package, key], "left").withColumn("valid", F.coalesce("valid", F.array().cast("array<string>"))).withColumn("supported", F.size("valid") > 0)
     changed = {"remove": F.lit(None).cast("string"), "label": F.concat(F.lit("[Interpretation] "), F.col(text)), "fail": F.col(text)}[mode]
     return out.select(package, key, "valid", "supported", F.when(F.col("supported"), F.col(text)).otherwise(changed).alias(text))
 

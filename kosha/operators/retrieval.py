@@ -49,71 +49,208 @@ def embed(rows: DataFrame, key: str, text: str, dims: int = 64, batch=None) -> D
     return kept.mapInArrow(run, f"{key} {kind}, vector array<float>, {text} string")
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
+def usable(rows: DataFrame, vector: str) -> DataFrame:
+    """The rows whose vector has a direction: not null, not empty, all finite, not all zero."""
+    v = F.col(vector)
+    good = F.size(v) > 0
+    good = good & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    return rows.where(v.isNotNull() & good)
+
+
+def filtered(rows: DataFrame, any_of: dict[str, list] | None = None, least: dict[str, float] | None = None, most: dict[str, float] | None = None) -> DataFrame:
+    """rows that pass every filter of a search: columns with one of some values, of at least, and of at most a value.
+
+    A filter comes before the ranking, so a search still gives k results where as many rows pass; None filters nothing.
+    """
+    for column, values in (any_of or {}).items():
+        rows = rows if values is None else rows.where(F.col(column).isin(list(values)))
+    for column, value in (least or {}).items():
+        rows = rows if value is None else rows.where(F.col(column) >= value)
+    for column, value in (most or {}).items():
+        rows = rows if value is None else rows.where(F.col(column) <= value)
+    return rows
+
+
+#: Queries that one task holds, and vectors that it compares with them at a time.
+QUERY_BLOCK = 4096
+VECTOR_BLOCK = 65_536
+
+
+def _unit(vectors) -> np.ndarray:
+    x = np.stack(list(vectors)).astype(float)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, least: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, id, score) of the k best of x by cosine for every row of q, ties to smaller ids."""
+    sims = q @ x.T
+    score = np.round(sims, 9)
+    near = np.ones(score.shape, bool) if least is None else sims >= least
+    if k < score.shape[1]:  # what reaches the k-th best score, ties and all, is then put in order
+        near &= score >= np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k, None]
+    rows, at = np.nonzero(near)
+    order = np.lexsort((ids[at], -score[rows, at], rows))
+    rows, at = rows[order], at[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(q)))[:-1]])
+    keep = np.arange(len(rows)) - first[rows] < k
+    rows, at = rows[keep], at[keep]
+    return rows, ids[at], sims[rows, at]
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, most_queries: int = QUERY_BLOCK, least: float | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): cosine, highest first; queries (query_id, q) and vectors (vec_id, v).
 
-    A query table of at most most_queries rows is broadcast and every partition keeps its own best k of each query
-    before rows are shuffled; more queries must come in several calls.
+    A query table of at most most_queries rows goes to every partition of vectors; a larger one is cut into blocks, and
+    each task compares one block of queries with one block of vectors. Either way a task keeps its own best k of each
+    query before rows are shuffled. least: scores below it do not count. Vectors without a direction take no part.
+    """
+    queries, vectors = usable(queries, "q").select("query_id", "q"), usable(vectors, "v").select("vec_id", "v")
+    held = queries.limit(most_queries + 1).collect()
+    answer = "query_id long, vec_id long, score double"
+    if not held:
+        return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if len(held) <= most_queries:
+        names, q = np.array([r.query_id for r in held]), _unit(r.q for r in held)
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            kept = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            for pdf in batches:
+                if len(pdf):
+                    rows, ids, score = _best(q, _unit(pdf["v"]), pdf["vec_id"].to_numpy(), k, least)
+                    both = pd.concat([kept, pd.DataFrame({"query_id": names[rows], "vec_id": ids, "score": score})]) if len(kept) else pd.DataFrame({"query_id": names[rows], "vec_id": ids, "score": score})
+                    both = both.assign(s=both["score"].round(9)).sort_values(["s", "vec_id"], ascending=[False, True])
+                    kept = both.groupby("query_id", sort=False).head(k)[["query_id", "vec_id", "score"]]
+            yield kept
+
+        found = vectors.mapInPandas(best, answer)
+    else:
+        found = _blocked(queries, vectors, k, least)
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _blocked(queries: DataFrame, vectors: DataFrame, k: int, least: float | None) -> DataFrame:
+    """(query_id, vec_id, score): the best k of each query in every block of vectors, a task a pair of blocks."""
+    across, down = (max(1, math.ceil(t.count() / n)) for t, n in ((queries, QUERY_BLOCK), (vectors, VECTOR_BLOCK)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = queries.withColumn("i", own("query_id", across)).withColumn("j", every(down))
+    right = vectors.withColumn("j", own("vec_id", down)).withColumn("i", every(across))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            q, names, x, ids = _unit(a["q"]), a["query_id"].to_numpy(), _unit(b["v"]), b["vec_id"].to_numpy()
+            for at in range(0, len(q), 256):
+                rows, found, score = _best(q[at : at + 256], x, ids, k, least)
+                out.append(pd.DataFrame({"query_id": names[at + rows], "vec_id": found, "score": score}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, "query_id long, vec_id long, score double")
+
+
+def near_k(queries: DataFrame, vectors: DataFrame, k: int, probes: float = 0.5, fitted: int = 20_000, seed: int = 7) -> DataFrame:
+    """Approximate top_k: vectors are dealt out to cells by their nearest centre, and a query searches its nearest cells.
+
+    Centres (one for about 256 rows, at most 4,096) are fitted by a few rounds of spherical k-means on at most `fitted`
+    rows chosen by a hash of their id, and every row is indexed. probes: share of the cells that a query searches; the
+    results' recall against top_k is the caller's to measure, as it depends on the vectors.
     """
-    n = queries.limit(most_queries + 1).count()
-    if n > most_queries:
-        raise ValueError(f"{n} or more queries; search in blocks of {most_queries}")
-    held = queries.select("query_id", "q").collect()
-    ids, q = [r.query_id for r in held], np.array([r.q for r in held], dtype=float)
-    q = q / np.linalg.norm(q, axis=1, keepdims=True) if len(held) else q
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, scores = [np.zeros(0, np.int64)] * len(ids), [np.zeros(0)] * len(ids)
-        for pdf in batches:
-            if not len(pdf) or not ids:
-                continue
-            x = np.stack(pdf["v"].to_numpy()).astype(float)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            sims = x @ q.T
-            own = pdf["vec_id"].to_numpy()
-            for i in range(len(ids)):
-                s, n = np.concatenate([scores[i], sims[:, i]]), np.concatenate([names[i], own])
-                keep = np.lexsort((n, -np.round(s, 9)))[:k]
-                scores[i], names[i] = s[keep], n[keep]
-        for i, query in enumerate(ids):
-            yield pd.DataFrame({"query_id": query, "vec_id": names[i], "score": scores[i]})
-
-    found = vectors.select("vec_id", "v").mapInPandas(best, "query_id long, vec_id long, score double")
+    queries, vectors = usable(queries, "q").select("query_id", "q"), usable(vectors, "v").select("vec_id", "v")
+    n = vectors.count()
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fitted).select("v").collect()
+    if not sample:
+        return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    points = _unit(r.v for r in sample)
+    cells = max(1, min(4096, len(points), round(n / 256)))
+    centres = points[np.random.default_rng(seed).permutation(len(points))[:cells]]
+    for _ in range(8):
+        own = (points @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, points)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centres)
+    most = max(1, math.ceil(probes * cells))
+
+    def deal(column: str, keep: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    near = np.argsort(-(_unit(pdf[column]) @ centres.T), axis=1, kind="stable")[:, :keep]
+                    yield pdf.assign(cells=list(near.astype(np.int32)))
+
+        return run
+
+    dealt = vectors.mapInPandas(deal("v", 1), "vec_id long, v array<double>, cells array<int>").select("vec_id", "v", F.element_at("cells", 1).alias("cell"))
+    asked = queries.mapInPandas(deal("q", most), "query_id long, q array<double>, cells array<int>").select("query_id", "q", F.explode("cells").alias("cell"))
+    # a large cell is several tasks
+    parts = max(1, math.ceil(n / cells / VECTOR_BLOCK))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        rows, ids, score = _best(_unit(a["q"]), _unit(b["v"]), b["vec_id"].to_numpy(), k)
+        return pd.DataFrame({"query_id": a["query_id"].to_numpy()[rows], "vec_id": ids, "score": score})
+
+    found = asked.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInPandas(best, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, k: int, recall: float = 0.99, seed: int = 7, bucket: int = 64) -> DataFrame:
+def plan_tables(n: int, threshold: float, recall: float) -> tuple[int, int]:
+    """(bits, tables) of hyperplane signs that find a pair at the threshold with probability recall at the least cost.
+
+    The cost is the comparisons of a row: a table each, and the rows that share its bucket by chance.
+    """
+    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+
+    def tables(bits: int) -> int:
+        hit = agree**bits
+        return 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-hit))
+
+    bits = min(range(1, 25), key=lambda b: tables(b) * (1 + n / 2**b))
+    return bits, tables(bits)
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, k: int, recall: float = 0.99, seed: int = 7) -> DataFrame:
     """(a, b, score): pairs of vectors (vec_id, v) of a cosine of at least threshold, at most k kept from either side.
 
-    Vectors meet in buckets of random hyperplane signs: as many bits as keep a bucket near `bucket` vectors, as many
-    tables as find a pair at the threshold with probability `recall`; candidates are scored exactly. Rows of one vector
-    are one entry: each is tied to the smallest id among them, so a vector that many rows share makes no pairs.
+    Vectors meet in buckets of random hyperplane signs; bits and tables are those of the least cost that find a pair at
+    the threshold with probability `recall`, and candidates are scored exactly. Where that costs no less than comparing
+    each row with all (a low threshold, a small table), every row is a query of top_k instead. Rows of one vector are
+    one entry: each is tied to the smallest id among them, so a vector that many rows share makes no pairs. Vectors
+    without a direction take no part.
     """
+    vectors = usable(vectors, "v")
     copies = vectors.groupBy("v").agg(F.min("vec_id").alias("least"))
     n = copies.count()
     if not n:
         return vectors.sparkSession.createDataFrame([], "a long, b long, score double")
-    width = len(copies.first().v)
-    bits = min(24, max(3, math.ceil(math.log2(max(1, n / bucket)))))
-    agree = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
-    tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree))) if agree < 1 else 1
-    planes = np.random.default_rng(seed).standard_normal((tables, width, bits))
-    weights = 1 << np.arange(bits)
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["v"].to_numpy()).astype(float)
-                keys = ((np.einsum("nd,tdb->ntb", x, planes) > 0) * weights).sum(axis=2)
-                yield pdf.assign(keys=list(keys.astype(np.int32)))[["vec_id", "keys"]]
-
     base = copies.select(F.col("least").alias("vec_id"), "v")
-    keyed = base.mapInPandas(sign, "vec_id long, keys array<int>")
-    rows = keyed.select("vec_id", F.posexplode("keys").alias("t", "key"))
-    pairs = rows.withColumnRenamed("vec_id", "a").join(rows.withColumnRenamed("vec_id", "b"), ["t", "key"]).where("a < b").select("a", "b").distinct()
-    scored = pairs.join(base.withColumnsRenamed({"vec_id": "a", "v": "va"}), "a").join(base.withColumnsRenamed({"vec_id": "b", "v": "vb"}), "b")
-    found = strongest(scored.select("a", "b", cosine("va", "vb").alias("score")).where(F.col("score") >= threshold), k)
+    bits, tables = plan_tables(n, threshold, recall)
+    if tables * (1 + n / 2**bits) * 4 >= n:  # a candidate costs several times what a cell of a matrix product does
+        found = top_k(base.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), base, k + 1, least=threshold)
+        found = found.where("query_id <> vec_id").select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), "score")
+        found = strongest(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").distinct(), k)
+    else:
+        width = len(base.first().v)
+        planes = np.random.default_rng(seed).standard_normal((tables, width, bits))
+        weights = 1 << np.arange(bits)
+
+        def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    x = np.stack(pdf["v"].to_numpy()).astype(float)
+                    keys = np.stack([((x @ p) > 0) @ weights for p in planes], axis=1)
+                    yield pdf.assign(keys=list(keys.astype(np.int32)))[["vec_id", "keys"]]
+
+        keyed = base.mapInPandas(sign, "vec_id long, keys array<int>")
+        rows = keyed.select("vec_id", F.posexplode("keys").alias("t", "key"))
+        pairs = rows.withColumnRenamed("vec_id", "a").join(rows.withColumnRenamed("vec_id", "b"), ["t", "key"]).where("a < b").select("a", "b").distinct()
+        scored = pairs.join(base.withColumnsRenamed({"vec_id": "a", "v": "va"}), "a").join(base.withColumnsRenamed({"vec_id": "b", "v": "vb"}), "b")
+        found = strongest(scored.select("a", "b", cosine("va", "vb").alias("score")).where(F.col("score") >= threshold), k)
     same = vectors.join(copies, "v").where("vec_id <> least").select(F.col("least").alias("a"), F.col("vec_id").alias("b"), F.lit(1.0).alias("score"))
     return found.unionByName(same)
 
@@ -149,19 +286,51 @@ def fuse(left: DataFrame, right: DataFrame, k: int = 60) -> DataFrame:
     return both.select("query_id", "doc_id", (each("l") + each("r")).alias("score"))
 
 
+#: Short marks that one automaton holds.
+MARK_BLOCK = 50_000
+
+
 def containing(texts: DataFrame, key: str, body: str, marks: DataFrame, mark_id: str, mark: str) -> DataFrame:
     """(mark_id, key, body, mark): texts that contain a mark as a substring.
 
     A mark's longest inner word (whole in any text that contains the mark) is an equality key, so texts meet only the
-    marks that share it; marks of fewer than three words have no inner word and are tried on all texts.
+    marks that share it. Marks of fewer than three words have no inner word; they are looked for in one pass over the
+    texts by automata of at most MARK_BLOCK marks. An empty mark is in every text.
     """
     words = F.split(F.col(mark), r"\s+")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = marks.select(mark_id, mark, longest.alias("__w"))
+    keyed = marks.where(F.col(mark).isNotNull()).select(mark_id, mark, longest.alias("__w"))
     met = texts.select(key, F.explode(F.array_distinct(F.split(body, r"\s+"))).alias("__w")).join(keyed.where("__w is not null"), "__w")
     pairs = met.select(key, mark_id, mark)
-    found = texts.select(key, body).join(pairs, key).where(F.contains(body, mark))
+    found = texts.select(key, body).join(pairs, key).where(F.contains(body, mark)).select(mark_id, key, body, mark)
     short = keyed.where("__w is null").select(mark_id, mark)
-    rest = texts.select(key, body).join(short, F.contains(body, mark))
-    return found.select(mark_id, key, body, mark).unionByName(rest.select(mark_id, key, body, mark))
+    blocks = math.ceil(short.count() / MARK_BLOCK)
+    for i in range(blocks):
+        held = short.where(F.pmod(F.xxhash64(mark), F.lit(blocks)) == i)
+        told = [r[0] for r in held.select(mark).distinct().collect()]
+        hits = texts.where(F.col(body).isNotNull()).mapInArrow(_finder(told, key, body, mark), f"{key} {texts.schema[key].dataType.simpleString()}, {body} string, {mark} string")
+        found = found.unionByName(hits.join(held, mark).select(mark_id, key, body, mark))
+    return found
+
+
+def _finder(told: list[str], key: str, body: str, mark: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for m in told:
+            if m:
+                automaton.add_word(m, m)
+        automaton.make_automaton()
+        always = [""] if "" in told else []
+        for b in batches:
+            source, names = [], []
+            for i, text in enumerate(b.column(body)):
+                seen = sorted({m for _, m in automaton.iter(text.as_py())}) if len(automaton) else []
+                names += always + seen
+                source += [i] * (len(always) + len(seen))
+            at = pa.array(source, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(key).take(at), b.column(body).take(at), pa.array(names, pa.string())], [key, body, mark])
+
+    return run

@@ -9,7 +9,7 @@ from ..functions.text import collapse
 from ..operators import analytics as A
 from ..operators import retrieval as R
 from .registry import query
-from .retrieval import _TOP, hits, vectors
+from .retrieval import _TOP, asked_of, hits, vectors
 from .tables import LINES, lines, table
 from .text import docs
 
@@ -137,10 +137,10 @@ def i15(spark, sf):
 
 @query(
     "i16_reassign",
-    "SELECT coalesce(s_suppkey, k) AS s_suppkey, CASE WHEN k IS NULL THEN 'delete' WHEN s_suppkey IS NULL THEN 'insert' ELSE 'own' END AS action FROM supplier FULL JOIN (SELECT unnest(range(50, 150)) AS k) ON k = s_suppkey",
+    "SELECT coalesce(s_suppkey, k) AS s_suppkey, CASE WHEN k IS NULL THEN 'delete' WHEN s_suppkey IS NULL THEN 'insert' ELSE 'own' END AS action FROM supplier FULL JOIN (SELECT DISTINCT doc_id AS k FROM labels) ON k = s_suppkey",
 )
 def i16(spark, sf):
-    wanted = spark.range(50, 150).select(F.col("id").alias("s_suppkey"), F.lit(1).alias("wanted"))
+    wanted = table(spark, sf, "labels").select(F.col("doc_id").alias("s_suppkey")).distinct().withColumn("wanted", F.lit(1))
     held = table(spark, sf, "supplier").select("s_suppkey", F.lit(1).alias("held"))
     action = F.when(F.col("wanted").isNull(), "delete").when(F.col("held").isNull(), "insert").otherwise("own")
     return held.join(wanted, "s_suppkey", "full").select("s_suppkey", action.alias("action"))
@@ -151,20 +151,18 @@ def i17(spark, sf):
     return A.reconcile(docs(spark, sf), table(spark, sf, "labels"), "doc_id")
 
 
-_TRUTH = "(SELECT q.vec_id AS query_id, x.vec_id FROM embeddings q JOIN embeddings x ON x.label = q.label WHERE q.vec_id < 10 AND x.vec_id < 100)"
 _METRICS = f"""(SELECT query_id, good / n_true AS recall, good / n AS precision, med AS median_score, good / n >= 0.5 AS cited FROM
-    (SELECT t.query_id, count(*) AS n, count(r.vec_id) AS good, median(score) AS med FROM {_TOP} t LEFT JOIN {_TRUTH} r ON r.query_id = t.query_id AND r.vec_id = t.vec_id GROUP BY 1) JOIN (SELECT query_id, count(*) AS n_true FROM {_TRUTH} GROUP BY 1) USING (query_id))"""
-
-
-def truth(spark, sf):
-    rows = vectors(spark, sf)
-    asked = rows.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label")
-    return rows.where("vec_id < 100").select("vec_id", "label").join(asked, "label").select("query_id", "vec_id")
+    (SELECT query_id, qlabel AS label, count(*) AS n, count(*) FILTER (WHERE label = qlabel) AS good, median(score) AS med FROM {_TOP} GROUP BY 1, 2) JOIN (SELECT label, count(*) AS n_true FROM embeddings GROUP BY 1) USING (label))"""
 
 
 def metrics(spark, sf, k=10):
-    found = hits(spark, sf, k).select("query_id", "vec_id", "score", "rank")
-    return A.retrieval_metrics(found, truth(spark, sf))
+    """Every row of a query's label is relevant, so counts by label stand for the pairs."""
+    rows = vectors(spark, sf)
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n_true"))
+    n_true = asked_of(rows).select("query_id", F.col("qlabel").alias("label")).join(sizes, "label").select("query_id", "n_true")
+    found = hits(spark, sf, k)
+    good = found.where("label = qlabel").select("query_id", "vec_id")
+    return A.retrieval_metrics(found.select("query_id", "vec_id", "score", "rank"), good, n_true=n_true)
 
 
 @query("j1_metrics", f"SELECT query_id, round(recall, 6) AS recall, round(precision, 6) AS precision, round(median_score, 6) AS median_score, cited FROM {_METRICS}")
@@ -184,8 +182,8 @@ def j2(spark, sf):
 
 @query(
     "j3_gate",
-    f"""WITH h AS (SELECT t.query_id, count(*) FILTER (WHERE r.vec_id IS NOT NULL) AS good, count(*) FILTER (WHERE r.vec_id IS NOT NULL AND rank <= 5) AS good5 FROM {_TOP} t LEFT JOIN {_TRUTH} r ON r.query_id = t.query_id AND r.vec_id = t.vec_id GROUP BY 1),
-        n AS (SELECT query_id, count(*) AS n_true FROM {_TRUTH} GROUP BY 1) SELECT round(avg(good / n_true), 6) AS baseline, round(avg(good5 / n_true), 6) AS current, avg(good / n_true) - avg(good5 / n_true) > 0.05 AS failed FROM h JOIN n USING (query_id)""",
+    f"""WITH h AS (SELECT query_id, qlabel AS label, count(*) FILTER (WHERE label = qlabel) AS good, count(*) FILTER (WHERE label = qlabel AND rank <= 5) AS good5 FROM {_TOP} GROUP BY 1, 2),
+        n AS (SELECT label, count(*) AS n_true FROM embeddings GROUP BY 1) SELECT round(avg(good / n_true), 6) AS baseline, round(avg(good5 / n_true), 6) AS current, avg(good / n_true) - avg(good5 / n_true) > 0.05 AS failed FROM h JOIN n USING (label)""",
 )
 def j3(spark, sf):
     runs = metrics(spark, sf).select(F.lit("base").alias("run"), "recall").unionByName(metrics(spark, sf, 5).select(F.lit("now").alias("run"), "recall"))
@@ -229,9 +227,9 @@ def j6(spark, sf):
     return told(docs(spark, sf), "text").unionByName(told(lines(spark, sf), "line"))
 
 
-@query("j7_hit_rank", f"SELECT t.query_id, min(rank) AS first, min(rank) <= 1 AS hit1, min(rank) <= 3 AS hit3 FROM {_TOP} t JOIN {_TRUTH} r ON r.query_id = t.query_id AND r.vec_id = t.vec_id AND t.vec_id <> t.query_id GROUP BY 1")
+@query("j7_hit_rank", f"SELECT query_id, min(rank) AS first, min(rank) <= 1 AS hit1, min(rank) <= 3 AS hit3 FROM {_TOP} WHERE label = qlabel AND vec_id <> query_id GROUP BY 1")
 def j7(spark, sf):
-    good = hits(spark, sf).join(truth(spark, sf), ["query_id", "vec_id"]).where("vec_id <> query_id")
+    good = hits(spark, sf).where("label = qlabel and vec_id <> query_id")
     first = F.min("rank")
     return good.groupBy("query_id").agg(first.alias("first"), (first <= 1).alias("hit1"), (first <= 3).alias("hit3"))
 

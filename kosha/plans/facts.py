@@ -9,7 +9,7 @@ from ..functions.text import phrase, uuid5
 from ..operators import facts as K
 from .registry import query
 from .tables import table
-from .text import _SENTENCES, docs, sentence_rows
+from .text import _NS, _SENTENCES, docs, sentence_rows
 
 
 def _any(words, c="low"):
@@ -157,17 +157,18 @@ def f14(spark, sf):
     return diff.select("o_orderkey", F.col("before.o_orderstatus").alias("before"), F.col("after.o_orderstatus").alias("after"))
 
 
-@query("f15_bulk_status", "SELECT k AS o_orderkey, (o_orderkey IS NOT NULL) AS found FROM (SELECT unnest(range(0, 200)) AS k) LEFT JOIN orders ON o_orderkey = k")
+@query("f15_bulk_status", "SELECT doc_id AS o_orderkey, (o_orderkey IS NOT NULL) AS found FROM (SELECT DISTINCT doc_id FROM labels ORDER BY 1 LIMIT 200) LEFT JOIN orders ON o_orderkey = doc_id")
 def f15(spark, sf):
-    asked = spark.range(200).select(F.col("id").alias("o_orderkey"))
+    # a call takes at most 200 ids
+    asked = table(spark, sf, "labels").select(F.col("doc_id").alias("o_orderkey")).distinct().orderBy("o_orderkey").limit(200)
     known = table(spark, sf, "orders").select("o_orderkey", F.lit(True).alias("found"))
     return asked.join(known, "o_orderkey", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-@query("f16_history", "SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY ts DESC, event_id DESC) AS events FROM events GROUP BY 1")
+@query("f16_history", "SELECT user_id, event_id, ts, event_type FROM events ORDER BY user_id, ts DESC, event_id DESC")
 def f16(spark, sf):
-    newest = F.sort_array(F.collect_list(F.struct("ts", "event_id")), asc=False)
-    return table(spark, sf, "events").groupBy("user_id").agg(F.array_join(F.transform(newest, lambda x: x["event_id"].cast("string")), ",").alias("events"))
+    # a range sort: a user with most of the edits is many tasks, and no history is held in one row
+    return table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type").orderBy("user_id", F.desc("ts"), F.desc("event_id"))
 
 
 @query("f17_review_queue", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority LIKE '1%' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
@@ -181,11 +182,14 @@ def f17(spark, sf):
 
 @query(
     "f18_conflicts",
-    "SELECT l_partkey, l_linenumber, count(DISTINCT l_suppkey) AS objects, count(DISTINCT l_orderkey) AS books FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_suppkey) > 1 AND count(DISTINCT l_orderkey) > 1",
+    f"""WITH c AS (SELECT l_partkey, l_linenumber, count(DISTINCT l_suppkey) AS objects, count(DISTINCT l_orderkey) AS books FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_suppkey) > 1 AND count(DISTINCT l_orderkey) > 1),
+        h AS (SELECT *, sha1(unhex('{_NS}') || encode(l_partkey || '/' || l_linenumber)) AS d FROM c)
+        SELECT l_partkey, l_linenumber, objects, books, left(d, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(d, 17, 1)) - 1)::INT % 4 + 1, 1)
+        || substr(d, 18, 3) || '-' || substr(d, 21, 12) AS group_id FROM h""",
 )
 def f18(spark, sf):
     found = K.conflicts(table(spark, sf, "lineitem"), ["l_partkey", "l_linenumber"], "l_suppkey", "l_orderkey")
-    return found.withColumn("group_id", uuid5("6ba7b8109dad11d180b400c04fd430c8", F.concat_ws("/", "l_partkey", "l_linenumber"))).drop("group_id")
+    return found.withColumn("group_id", uuid5(_NS, F.concat_ws("/", "l_partkey", "l_linenumber")))
 
 
 @query("f19_review_precision", "SELECT source, count(*) AS n, round(avg(quality), 6) AS precision FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY 1")

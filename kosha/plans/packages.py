@@ -81,8 +81,12 @@ def h8(spark, sf):
     return table(spark, sf, "conversations").where(F.trim("text") != "").select("conv_id", "turn", words.alias("words"), (words > 25).alias("too_long"))
 
 
-@query("h9_versions", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version FROM orders QUALIFY o_orderkey % 2 = 1 AND version > 0 ORDER BY 1")
+@query(
+    "h9_versions",
+    "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate >= TIMESTAMP '1995-01-01', o_orderkey) AS version FROM orders",
+)
 def h9(spark, sf):
-    rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
-    every = P.next_versions(rows.select("o_custkey", F.lit(0).alias("version")), rows, "o_custkey", "o_orderkey")
-    return every.where("o_orderkey % 2 = 1").select("o_custkey", "o_orderkey", "version")
+    rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp")).alias("new"))
+    none = rows.select("o_custkey", F.lit(0).alias("version")).limit(0)
+    history = P.next_versions(none, rows.where("not new"), "o_custkey", "o_orderkey")
+    return history.unionByName(P.next_versions(history, rows.where("new"), "o_custkey", "o_orderkey")).drop("new")

@@ -13,19 +13,24 @@ from .tables import table
 _VEC = "(SELECT vec_id, label, embedding::DOUBLE[64] AS v FROM embeddings)"
 _TOP = f"""(SELECT * FROM (SELECT q.vec_id AS query_id, x.vec_id, x.label, q.label AS qlabel, array_cosine_similarity(q.v, x.v) AS score,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY round(array_cosine_similarity(q.v, x.v), 9) DESC, x.vec_id) AS rank
-    FROM {_VEC} q, {_VEC} x WHERE q.vec_id < 10) WHERE rank <= 10)"""
+    FROM {_VEC} q, {_VEC} x WHERE q.vec_id % 20 = 0) WHERE rank <= 10)"""
 
 
 def vectors(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
 
 
-def hits(spark, sf, k=10, most=10):
-    rows = vectors(spark, sf)
-    asked = rows.where(F.col("vec_id") < most)
-    found = R.top_k(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), rows, k)
-    labels = rows.select("vec_id", "label")
-    return found.join(labels, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("label").alias("qlabel")), "query_id")
+def asked_of(rows):
+    """(query_id, q, qlabel): every row whose id is divisible by 20 is a query."""
+    return rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("label").alias("qlabel"))
+
+
+def hits(spark, sf, k=10, rows=None):
+    every = vectors(spark, sf)
+    rows = every if rows is None else rows
+    asked = asked_of(every)
+    found = R.top_k(asked, rows, k)
+    return found.join(rows.select("vec_id", "label"), "vec_id").join(asked.select("query_id", "qlabel"), "query_id")
 
 
 @query("e1_embed")
@@ -40,12 +45,18 @@ def e2(spark, sf):
 
 @query("e3_approximate")
 def e3(spark, sf):
-    return R.similar_pairs(vectors(spark, sf), 0.4, 5)
+    rows = vectors(spark, sf).withColumn("v", F.col("v").cast("array<double>"))
+    return R.near_k(asked_of(rows), rows, 10)
 
 
-@query("e4_payload_filter", f"SELECT query_id, vec_id FROM {_TOP} WHERE label IN (1, 2) AND vec_id >= 5 AND rank <= 10")
+@query(
+    "e4_payload_filter",
+    f"""SELECT query_id, rank, vec_id FROM (SELECT q.vec_id AS query_id, x.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(array_cosine_similarity(q.v, x.v), 9) DESC, x.vec_id) AS rank
+        FROM {_VEC} q, {_VEC} x WHERE q.vec_id % 20 = 0 AND x.label IN (1, 2) AND x.vec_id >= 5) WHERE rank <= 10""",
+)
 def e4(spark, sf):
-    return hits(spark, sf).where("label in (1, 2) and vec_id >= 5").select("query_id", "vec_id")
+    rows = R.filtered(vectors(spark, sf), any_of={"label": [1, 2]}, least={"vec_id": 5}, most={"vec_id": None})
+    return hits(spark, sf, rows=rows).select("query_id", "rank", "vec_id")
 
 
 @query(
@@ -78,24 +89,29 @@ def e7(spark, sf):
 
 @query(
     "e8_fusion",
-    r"""WITH d AS (SELECT doc_id, string_split_regex(lower(text), '\s+') AS words FROM documents), q AS (SELECT item_id AS query_id, list_distinct(string_split_regex(lower(text), '\s+')[1:5]) AS words FROM benchmark),
+    rf"""WITH d AS (SELECT doc_id, string_split_regex(lower(text), '\s+') AS words FROM documents), q AS (SELECT item_id AS query_id, list_distinct(string_split_regex(lower(text), '\s+')) AS words FROM benchmark),
         s AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM d), w AS (SELECT query_id, unnest(words) AS w FROM q),
         tf AS (SELECT doc_id, len, w, count(*) AS tf FROM (SELECT doc_id, len(words) AS len, unnest(words) AS w FROM d) GROUP BY ALL), df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1),
         b AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM w JOIN tf USING (w) JOIN df USING (w), s GROUP BY 1, 2),
         l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM b),
-        r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS k FROM b)
-        SELECT query_id, doc_id, round(1 / (60 + l.k) + 1 / (60 + r.k), 6) AS score FROM l JOIN r USING (query_id, doc_id) WHERE l.k <= 20""",
+        r AS (SELECT q.vec_id AS query_id, x.vec_id AS doc_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(array_cosine_similarity(q.v, x.v), 9) DESC, x.vec_id) AS k
+            FROM {_VEC} q, {_VEC} x WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND x.vec_id IN (SELECT doc_id FROM documents))
+        SELECT query_id, doc_id, round(coalesce(1 / (60 + l.k), 0) + coalesce(1 / (60 + r.k), 0), 6) AS score
+        FROM (SELECT * FROM l WHERE k <= 20) l FULL JOIN (SELECT * FROM r WHERE k <= 20) r USING (query_id, doc_id)""",
 )
 def e8(spark, sf):
+    """Whole query texts by BM25, the vectors of queries and documents by cosine, fused over the union of both lists."""
     split = F.split(F.lower("text"), r"\s+")
     docs = table(spark, sf, "documents").select("doc_id", split.alias("words"))
-    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(split, 1, 5).alias("words"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), split.alias("words"))
     scored = R.bm25(docs, asked).withColumn("score", F.round("score", 6))
-    rank = lambda *o: F.row_number().over(Window.partitionBy("query_id").orderBy(*o))
-    lexical = scored.withColumn("rank", rank(F.desc("score"), "doc_id")).where("rank <= 20").drop("score")
-    other = scored.withColumn("rank", rank("doc_id")).drop("score")
-    fused = R.fuse(lexical, other).join(lexical.select("query_id", "doc_id"), ["query_id", "doc_id"])
-    return fused.withColumn("score", F.round("score", 6))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    lexical = scored.withColumn("rank", F.row_number().over(order)).where("rank <= 20").drop("score")
+    rows = vectors(spark, sf)
+    queries = rows.join(asked.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    of_docs = rows.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    dense = R.top_k(queries, of_docs, 20).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+    return R.fuse(lexical, dense).withColumn("score", F.round("score", 6))
 
 
 @query(

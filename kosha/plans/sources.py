@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..sources import tables as S
 from .registry import query
 from .tables import LINES, lines, table
@@ -83,8 +84,7 @@ def a8(spark, sf):
 
 @query("a9_jsonl_sink", "SELECT p_partkey, p_name, p_size FROM part")
 def a9(spark, sf):
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
-    path = f"{folder}/jsonl-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/jsonl-{uuid.uuid4().hex}"
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_size")
     S.write_jsonl(part, path)
     return spark.read.schema(part.schema).json(path)

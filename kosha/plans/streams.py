@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators.chunks import emit, split_pages
+from ..session import shared_folder
 from ..streaming import monitors as M
 from .registry import query
-from .tables import table
+from .tables import LINES, table
 
 _BAND = "floor(value / 25)"
 
@@ -28,18 +28,17 @@ def k1(spark, sf):
     return M.progress_changes(rows, "user_id", ["ts", "event_id"], "p").select("event_id", "p")
 
 
-@query("k2_ingest")
+@query("k2_ingest", f"SELECT DISTINCT doc_id, trim(text) AS text, sha256(trim(text)) AS text_hash FROM {LINES} WHERE length(trim(text)) >= 50")
 def k2(spark, sf):
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kosha-")
-    root = f"{folder.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     docs = table(spark, sf, "documents").select("doc_id", "text")
     docs.where("doc_id % 2 = 0").write.parquet(f"{root}/in/drop=1")
     stream = spark.readStream.schema(docs.schema).parquet(f"{root}/in/*")
-    chunk = lambda d: emit(split_pages(d, ["doc_id"], sep="\n")).dropDuplicates(["doc_id", "text_hash"])
+    chunk = lambda d: emit(split_pages(d, ["doc_id"], sep="\n"))
     M.ingest(stream, f"{root}/out", f"{root}/state", chunk, ["doc_id", "text_hash"]).awaitTermination()
     docs.where("doc_id % 2 = 1").write.parquet(f"{root}/in/drop=2")
     M.ingest(stream, f"{root}/out", f"{root}/state", chunk, ["doc_id", "text_hash"]).awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    return spark.read.parquet(f"{root}/out").select("doc_id", "text", "text_hash")
 
 
 @query(

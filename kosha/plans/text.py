@@ -214,17 +214,53 @@ def c3(spark, sf):
     return best.select("doc_id", F.when(share >= 0.8, F.col("b.lang")).otherwise("mixed").alias("language"), F.round(share, 6).alias("confidence"))
 
 
-@query("c4_language_code", "SELECT doc_id, CASE lang WHEN 'en' THEN 'en-IN' WHEN 'fr' THEN 'en-IN' ELSE 'en-IN' END AS code FROM documents")
+# the table's own texts written in Devanagari letters, wholly or in part, each with a few words that tell languages and kinds
+_LETTERS = "abcdefghijklmnopqrstuvwxyz", "कखगघचछजझटठडढतथदधनपफबभमयरलवशसह"[:26]
+_TAILS = ["", "यह किताब है और यह खेती में", "हे पुस्तक आहे आणि ते", "धान्यस्य मूलम् ।", "च वा तु", "research shows 5", "is defined as", "the method", "विधि", "म्हणजे"]
+_SCRIPTED = f"""(SELECT doc_id, CASE lang WHEN 'en' THEN text WHEN 'es' THEN text || ' ' || t WHEN 'fr' THEN text || ' ' || left(t, length(t) // 8) ELSE t END || ' ' || {_list(_TAILS)}[doc_id % {len(_TAILS)} + 1] AS text
+    FROM (SELECT *, translate(lower(text), '{_LETTERS[0]}', '{_LETTERS[1]}') AS t FROM documents))"""
+
+
+def scripted(spark, sf):
+    rows = docs(spark, sf).select("doc_id", "lang", "text", F.translate(F.lower("text"), *_LETTERS).alias("t"))
+    part = F.concat("text", F.lit(" "), F.left("t", F.floor(F.length("t") / 8).cast("int")))
+    body = F.when(F.col("lang") == "en", F.col("text")).when(F.col("lang") == "es", F.concat("text", F.lit(" "), "t")).when(F.col("lang") == "fr", part).otherwise(F.col("t"))
+    tail = F.element_at(F.array(*map(F.lit, _TAILS)), (F.col("doc_id") % len(_TAILS) + 1).cast("int"))
+    return rows.select("doc_id", F.concat(body, F.lit(" "), tail).alias("text"))
+
+
+def _ratio(text):
+    return rf"(length(regexp_replace(regexp_replace({text}, '[^\p{{L}}]', '', 'g'), '[^ऀ-ॿ]', '', 'g')) / nullif(length(regexp_replace({text}, '[^\p{{L}}]', '', 'g')), 0))"
+
+
+_SEEN = ", ".join(rf"len(list_intersect(list_distinct(string_split_regex(text, '\s+')), {_list(w)})) AS {k}" for k, w in (("mr", L.STOPWORDS_MR), ("hi", L.STOPWORDS_HI), ("sa", L.MARKERS_SA)))
+
+
+@query(
+    "c2_chunk_language",
+    f"""WITH h AS (SELECT doc_id, text, coalesce({_ratio("text")}, 0) AS r, {_SEEN} FROM {_SCRIPTED})
+        SELECT doc_id, CASE WHEN r > 0.6 AND mr + hi = 0 AND (regexp_matches(text, '[।॥]') OR sa >= 2) THEN 'sa' WHEN r > 0.6 AND mr >= hi THEN 'mr' WHEN r > 0.6 THEN 'hi' WHEN r > 0.15 THEN 'mixed' WHEN r < 0.05 THEN 'en' ELSE 'unknown' END AS language,
+        CASE WHEN r > 0.6 AND mr + hi = 0 THEN CASE WHEN regexp_matches(text, '[।॥]') THEN 0.82 WHEN sa >= 2 THEN 0.75 ELSE 0.7 END WHEN r > 0.6 THEN round_even(0.5 + 0.5 * greatest(mr, hi) / (mr + hi), 2)
+        WHEN r > 0.15 THEN round_even(r, 2) WHEN r < 0.05 THEN round_even(1 - r * 4, 2) ELSE 0.5 END::DOUBLE AS confidence FROM h""",
+)
+def c2_chunks(spark, sf):
+    return scripted(spark, sf).select("doc_id", L.chunk_language(F.col("text")).alias("l")).select("doc_id", "l.language", "l.confidence")
+
+
+_AS_DETECTED = "CASE lang WHEN 'fr' THEN 'hi' WHEN 'de' THEN 'or' WHEN 'es' THEN 'xx' ELSE lang END"
+
+
+@query("c4_language_code", f"SELECT doc_id, CASE {_AS_DETECTED} WHEN 'hi' THEN 'hi-IN' WHEN 'or' THEN 'od-IN' ELSE 'en-IN' END AS code FROM documents")
 def c4(spark, sf):
-    return docs(spark, sf).select("doc_id", L.mapped(F.col("lang"), L.LANGUAGE_CODES, "en-IN").alias("code"))
+    return docs(spark, sf).select("doc_id", L.mapped(F.expr(_AS_DETECTED), L.LANGUAGE_CODES, "en-IN").alias("code"))
 
 
-_KINDS = {"process": r"(?i) (the|ration|able) ", "evidence": r"(?i) (des|der|los) ", "concept": r"(?i) (une|ein|por) "}
+_KIND_CASES = " ".join(f"WHEN coalesce({_ratio('text')}, 0) > 0.4 AND regexp_matches(text, '{p}') THEN '{k}'" for k, p in L.KINDS_INDIC.items()) + " " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{k}'" for k, p in L.KINDS.items())
 
 
-@query("c5_chunk_kind", "SELECT doc_id, page, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{k}'" for k, p in _KINDS.items()) + f" ELSE 'general' END AS kind FROM {LINES}")
+@query("c5_chunk_kind", f"SELECT doc_id, CASE {_KIND_CASES} ELSE 'general' END AS kind FROM {_SCRIPTED}")
 def c5(spark, sf):
-    return lines(spark, sf).select("doc_id", "page", L.chunk_kind(F.col("text"), _KINDS).alias("kind"))
+    return scripted(spark, sf).select("doc_id", L.chunk_kind(F.col("text")).alias("kind"))
 
 
 @query("c6_distribution", "SELECT source, lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1, 2")
@@ -292,10 +328,10 @@ def d3(spark, sf):
 
 @query(
     "d4_slug",
-    f"SELECT doc_id, regexp_replace(trim(regexp_replace(translate(lower(left(text, 60)), '{T._FOLD_FROM}', '{T._FOLD_TO}'), '[^a-z0-9\\s]', '', 'g')), '\\s+', '_', 'g') AS key FROM documents",
+    f"SELECT doc_id, regexp_replace(trim(regexp_replace(translate(lower(text), '{T._FOLD_FROM}', '{T._FOLD_TO}'), '[^a-z0-9\\s]', '', 'g')), '\\s+', '_', 'g') AS key FROM documents",
 )
 def d4(spark, sf):
-    return docs(spark, sf).select("doc_id", T.slug(F.left("text", F.lit(60))).alias("key"))
+    return docs(spark, sf).select("doc_id", T.slug(F.col("text")).alias("key"))
 
 
 @query("d5_exact_dedup", "SELECT source, sha256(text) AS text_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1, 2")

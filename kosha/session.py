@@ -24,6 +24,18 @@ def local_session(name: str = "kosha", cpus: int | None = None, memory: str = "8
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode alone."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="kosha-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers of a session, once, unless their path holds it already."""
     root = Path(__file__).resolve().parent.parent

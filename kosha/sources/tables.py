@@ -62,10 +62,21 @@ def assemble_pages(blocks: DataFrame, page: list[str], tags: dict[str, str] = TA
     return kept.groupBy(*page).agg(F.array_join(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["t"]), "\n\n").alias("text"))
 
 
-def merge_parts(parts: DataFrame, book: str, order: str, pages: str) -> DataFrame:
-    """parts with page_offset: how many pages of its book come before a part."""
-    w = Window.partitionBy(book).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return parts.withColumn("page_offset", F.coalesce(F.sum(pages).over(w), F.lit(0)))
+def merge_parts(parts: DataFrame, book: str, order: str, pages: str, pieces: int = 64) -> DataFrame:
+    """parts with page_offset: how many pages of its book come before a part; order: a number, unique in its book.
+
+    The sum runs over pieces of the order and over the parts of a piece, so a book that holds most parts is many tasks.
+    """
+    ends = parts.approxQuantile(order, [i / pieces for i in range(1, pieces)], 0.001) if pieces > 1 else []
+    bounds = sorted(set(ends))
+    cut = F.size(F.filter(F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>"), lambda x: x < F.col(order)))
+    cut = parts.withColumn("__piece", cut)
+    before = Window.partitionBy(book).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(book, "__piece").agg(F.sum(pages).alias("__sum")).select(F.col(book).alias("__b"), F.col("__piece").alias("__p"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    within = Window.partitionBy(book, "__piece").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = cut.withColumn("__in", F.coalesce(F.sum(pages).over(within), F.lit(0)))
+    joined = rows.join(sums, F.col(book).eqNullSafe(F.col("__b")) & (F.col("__piece") == F.col("__p")))
+    return joined.select(*parts.columns, (F.col("__start") + F.col("__in")).alias("page_offset"))
 
 
 def insert_if_absent(target: DataFrame, batch: DataFrame, keys: list[str], order: Column) -> DataFrame:

@@ -19,6 +19,11 @@ def progress_changes(events: DataFrame, job: str, order: list[str], progress: st
     return events.where(F.col(progress).isNotNull()).withColumn("__b", before).where(F.col("__b").isNull() | (F.col("__b") != F.col(progress))).drop("__b")
 
 
+def in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's rows of one micro-batch by (ts, event_id), over all Arrow chunks that they came in."""
+    return pd.concat(list(rows)).sort_values(["ts", "event_id"])
+
+
 class ProgressProcessor(StatefulProcessor):
     """Stream form: keeps each job's last progress and emits rows (job, progress) on a change."""
 
@@ -27,11 +32,10 @@ class ProgressProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out, last = [], self._last.get()[0] if self._last.exists() else None
-        for pdf in rows:
-            for p in pdf.sort_values(["ts", "event_id"])["progress"]:
-                if last is None or p != last:
-                    out.append((key[0], p))
-                    last = p
+        for p in in_order(rows)["progress"].dropna():
+            if last is None or p != last:
+                out.append((key[0], p))
+                last = p
         if last is not None:
             self._last.update((float(last),))
         yield pd.DataFrame(out, columns=["job", "progress"])
@@ -56,38 +60,33 @@ def streaks(events: DataFrame, user: str, order: list[str], failed: str, length:
 
 
 class StreakProcessor(StatefulProcessor):
-    """Stream form: counts consecutive failures per user; a timer clears the count when the lock ends."""
+    """Stream form: counts a user's consecutive failures; a success forgets the user, so only open streaks hold state."""
 
     def __init__(self, length: int = 5, minutes: int = 15):
         self._length, self._minutes = length, minutes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
         self._count = handle.getValueState("count", StructType([StructField("n", IntegerType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, out = self._count.get()[0] if self._count.exists() else 0, []
-        for pdf in rows:
-            for row in pdf.sort_values(["ts", "event_id"]).itertuples():
-                n = n + 1 if row.failed else 0
-                if n and n % self._length == 0:
-                    until = row.ts + datetime.timedelta(minutes=self._minutes)
-                    out.append((key[0], row.ts, until))
-                    self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self._minutes * 60_000)
-        self._count.update((n,))
+        for row in in_order(rows).itertuples():
+            n = n + 1 if row.failed else 0
+            if n and n % self._length == 0:
+                out.append((key[0], row.ts, row.ts + datetime.timedelta(minutes=self._minutes)))
+        if n:
+            self._count.update((n % self._length,))
+        else:
+            self._count.clear()
         yield pd.DataFrame(out, columns=["user_id", "ts", "until"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._count.clear()
-        yield pd.DataFrame({"user_id": [], "ts": [], "until": []})
-
     def close(self) -> None:
         pass
 
 
 def lockout_stream(stream: DataFrame, length: int = 5, minutes: int = 15) -> DataFrame:
-    """Rows (user_id, ts, until) of a stream (user_id, ts, event_id, failed)."""
-    return stream.groupBy("user_id").transformWithStateInPandas(StreakProcessor(length, minutes), "user_id long, ts timestamp, until timestamp", "Append", "ProcessingTime")
+    """Rows (user_id, ts, until) of a stream (user_id, ts, event_id, failed), the same in every replay as of streaks."""
+    return stream.groupBy("user_id").transformWithStateInPandas(StreakProcessor(length, minutes), "user_id long, ts timestamp, until timestamp", "Append", "None")
 
 
 def breaches(events: DataFrame, user: str, most: int, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -127,20 +126,8 @@ def recent(events: DataFrame, hours: int = 10, most: int = 20) -> DataFrame:
 def ingest(stream: DataFrame, target: str, checkpoint: str, chunk, keys: list[str]):
     """Start a query that appends the chunks of new documents once each; safe to run again from its checkpoint.
 
-    chunk maps documents to chunks that hold keys; a batch that was written before a failure is not written twice.
+    chunk maps documents to chunks that hold keys. The keys written so far are the query's state, dealt out by hash, so
+    a batch reads no target; the file sink commits each batch once, also after a failure.
     """
-
-    def append(batch: DataFrame, _: int) -> None:
-        from ..sources.tables import insert_if_absent
-
-        spark = batch.sparkSession
-        new = chunk(batch)
-        try:
-            held = spark.read.parquet(target).select(*keys)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            held = new.select(*keys).limit(0)
-        insert_if_absent(held, new, keys, F.col(keys[0])).write.mode("append").parquet(target)
-
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    new = chunk(stream).dropDuplicates(keys)
+    return new.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,5 @@
 """Every registered query of the reference's operators against its SQL, and the parts that SQL cannot say."""
 
-import time
 import uuid as uuid_module
 
 import pytest
@@ -165,22 +164,14 @@ def test_keyset_pages_meet(spark):
     assert seen == [6, 5, 4, 3, 2, 1, 0]
 
 
-def _run_stream(spark, tmp_path, rows, schema, make, timers=False):
+def _run_stream(spark, tmp_path, rows, schema, make):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     name = f"t{uuid_module.uuid4().hex}"
     writer = make(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "state")).outputMode("append")
-    if timers:  # a query with processing-time timers runs on, so it is stopped once its rows are there
-        query = writer.start()
-        for _ in range(120):
-            if query.exception() or spark.sql(f"select * from {name}").count():
-                break
-            time.sleep(0.5)
-        query.stop()
-    else:
-        query = writer.trigger(availableNow=True).start()
-        assert query.awaitTermination(120)
+    query = writer.trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
     return spark.sql(f"select * from {name}").collect()
 
 
@@ -206,15 +197,114 @@ def test_lockouts(spark):
 
 def test_stateful_streams_equal_batch(spark, tmp_path):
     import datetime
-
-    start = datetime.datetime(2024, 1, 1)
-    rows = [(j, start + datetime.timedelta(minutes=i), i, float(i // 3)) for j in (1, 2) for i in range(9)]
-    schema = "job long, ts timestamp, event_id long, progress double"
-    got = _run_stream(spark, tmp_path / "p", rows, schema, M.progress_stream)
-    want = M.progress_changes(spark.createDataFrame(rows, schema), "job", ["ts", "event_id"], "progress").select("job", "progress").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
-    rows = [(1, start + datetime.timedelta(minutes=i), i, i != 5) for i in range(13)]
-    schema = "user_id long, ts timestamp, event_id long, failed boolean"
-    got = _run_stream(spark, tmp_path / "l", rows, schema, M.lockout_stream, timers=True)
-    want = M.streaks(spark.createDataFrame(rows, schema), "user_id", ["ts", "event_id"], "failed").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    import random
+
+    start, before = datetime.datetime(2024, 1, 1), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    shuffled = lambda rows: random.Random(2).sample(rows, len(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # a key's rows come in several chunks
+    try:
+        rows = shuffled([(j, start + datetime.timedelta(minutes=i), i, float(i // 3) if i % 7 else None) for j in (1, 2) for i in range(40)])
+        schema = "job long, ts timestamp, event_id long, progress double"
+        got = _run_stream(spark, tmp_path / "p", rows, schema, M.progress_stream)
+        want = M.progress_changes(spark.createDataFrame(rows, schema), "job", ["ts", "event_id"], "progress").select("job", "progress").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+        rows = shuffled([(u, start + datetime.timedelta(minutes=i), i, i % 13 != 5) for u in (1, 2) for i in range(60)])
+        schema = "user_id long, ts timestamp, event_id long, failed boolean"
+        got = _run_stream(spark, tmp_path / "l", rows, schema, M.lockout_stream)
+        want = M.streaks(spark.createDataFrame(rows, schema), "user_id", ["ts", "event_id"], "failed").collect()
+        assert len(want) > 4 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_ingest_writes_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "c d")], "doc_id long, text string")
+    chunk = lambda d: d.withColumn("h", F.sha2("text", 256))
+    for i, part in enumerate((docs, docs.where("doc_id = 1").unionByName(docs.selectExpr("doc_id + 5 as doc_id", "text")))):
+        part.write.parquet(f"{tmp_path}/in/drop={i}")
+        M.ingest(spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/in/*"), f"{tmp_path}/out", f"{tmp_path}/state", chunk, ["doc_id", "h"]).awaitTermination()
+    assert sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 6, 7]
+
+
+def brute_top(spark, rows, queries, k):
+    import numpy as np
+
+    data = {r.vec_id: np.array(r.v, float) for r in rows.collect()}
+    cos = lambda a, b: float(a @ b / np.sqrt((a @ a) * (b @ b)))
+    return {q.query_id: [i for _, i in sorted((-round(cos(np.array(q.q, float), v), 9), i) for i, v in data.items())[:k]] for q in queries.collect()}
+
+
+def test_top_k_in_blocks_and_approximate(spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    want = brute_top(spark, rows, queries, 10)
+    ranked = lambda found: {q: [r.vec_id for r in found if r.query_id == q] for q in want}
+    assert ranked(R.top_k(queries, rows, 10).orderBy("query_id", "rank").collect()) == want
+    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(R, "VECTOR_BLOCK", 100)
+    assert ranked(R.top_k(queries, rows, 10, most_queries=5).orderBy("query_id", "rank").collect()) == want
+    near = ranked(R.near_k(queries, rows, 10).orderBy("query_id", "rank").collect())
+    assert all(len(near[q]) == 10 for q in want)
+    many = rows.crossJoin(spark.range(8)).select((F.col("vec_id") * 8 + F.col("id")).alias("vec_id"), F.transform("v", lambda x, i: x + 0.05 * F.sin(i * 37.0 + F.col("id") * 11.0 + F.col("vec_id"))).alias("v"))
+    want, found = brute_top(spark, many, queries, 10), R.near_k(queries, many, 10).orderBy("query_id", "rank").collect()
+    hit = sum(len({r.vec_id for r in found if r.query_id == q} & set(ids)) for q, ids in want.items())
+    assert hit >= 0.9 * 10 * len(want)
+
+
+def test_vectors_without_direction(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [1.0, None]), (6, [1.0, 0.1]), (7, [])], "vec_id long, v array<double>")
+    queries = rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    assert [(r.query_id, r.vec_id) for r in R.top_k(queries, rows, 5).orderBy("query_id", "rank").collect()] == [(1, 1), (1, 6), (6, 6), (6, 1)]
+    assert [(r.a, r.b) for r in R.similar_pairs(rows, 0.9, 5).collect()] == [(1, 6)]
+    assert R.top_k(queries.limit(0), rows, 5).count() == R.near_k(queries, rows.limit(0), 5).count() == 0
+
+
+def test_filters_come_first(spark):
+    rows = spark.createDataFrame([(i, i % 3, i % 5, [1.0, i / 100]) for i in range(60)], "vec_id long, kind long, page long, v array<double>")
+    kept = R.filtered(rows, any_of={"kind": [1], "page": None}, least={"page": 2}, most={"page": 3, "kind": None})
+    found = R.top_k(rows.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), kept, 6)
+    assert [r.vec_id for r in found.orderBy("rank").collect()] == [i for i in range(60) if i % 3 == 1 and i % 5 in (2, 3)][:6]
+
+
+def test_tables_of_signs_grow_slowly():
+    assert all(R.plan_tables(n, 0.92, 0.99)[1] <= most for n, most in ((10**4, 60), (10**6, 200), (10**8, 700)))
+
+
+def test_similar_pairs_by_signs(spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    twin = rows.select((F.col("vec_id") + 10_000).alias("vec_id"), F.transform("v", lambda x, i: x * (1 + F.lit(0.2) * (i % 3 - 1))).alias("v"))
+    assert R.plan_tables(1000, 0.92, 0.999999)[1] > 1
+    monkeypatch.setattr(R, "top_k", None)  # at this size and threshold signs are the cheaper way
+    assert {(r.a, r.b) for r in R.similar_pairs(rows.unionByName(twin), 0.92, 5, recall=0.999999).collect()} == {(r.vec_id, r.vec_id + 10_000) for r in rows.collect()}
+
+
+def test_containing_any_mark(spark):
+    texts = spark.createDataFrame([(1, "ab cd ef gh"), (2, "xab c"), (3, ""), (4, None)], "k long, body string")
+    marks = spark.createDataFrame([(1, "b cd ef g"), (2, "ab"), (3, "b c"), (4, ""), (5, None), (6, "zz"), (7, "ab")], "m long, mark string")
+    got = {(r.m, r.k) for r in R.containing(texts, "k", "body", marks, "m", "mark").collect()}
+    assert got == {(1, 1), (2, 1), (2, 2), (7, 1), (7, 2), (3, 1), (3, 2), (4, 1), (4, 2), (4, 3)}
+
+
+def test_merged_parts_of_one_large_book(spark):
+    rows = [(i, "a" if i % 3 else "b", i % 4 + 1) for i in range(1000)] + [(5000, None, 2), (5001, None, 3)]
+    got = {r.part: r.page_offset for r in S.merge_parts(spark.createDataFrame(rows, "part long, book string, pages long"), "book", "part", "pages").collect()}
+    held = {}
+    for part, book, pages in sorted(rows):
+        assert got[part] == held.get(book, 0)
+        held[book] = held.get(book, 0) + pages
+
+
+def test_folders_need_a_shared_place(spark):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    from kosha.session import shared_folder
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Cluster)
+    assert shared_folder(spark)
