@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:  # local mode, as in tests
-        folder = "file://" + tempfile.mkdtemp(prefix="kosha-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+from ..session import shared_folder
 
 
 class Scratch:
@@ -45,10 +35,12 @@ class Scratch:
         n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         name = f"kosha_{uuid.uuid4().hex}"
         writer = df.repartition(n, key).write.option("compression", "zstd").option("path", self.path())
-        writer.bucketBy(n, key).sortBy(key).saveAsTable(name)
-        out = self.spark.table(name)
-        assert out.columns == df.columns
-        self.spark.sql(f"DROP TABLE {name}")  # the files stay, and the frame knows them
+        try:
+            writer.bucketBy(n, key).sortBy(key).saveAsTable(name)
+            out = self.spark.table(name)
+            out.schema  # resolves the frame while the table has its name
+        finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")  # the files stay, and the frame knows them
         return out
 
     def drop(self, df: DataFrame) -> None:
@@ -62,13 +54,15 @@ def numbered(docs: DataFrame, name: str, scratch: Scratch) -> DataFrame:
 
     Rows of a file scan are named by file and place in it; any other frame is written to a table first.
     """
-    try:
-        place = F.concat(F.hex(F.xxhash64("_metadata.file_path")), F.lit(":"), F.col("_metadata.row_index"))
-        out = docs.select("*", place.alias(name))
-        assert out.columns  # resolving the metadata column raises where there is none
-        return out
-    except AnalysisException:
-        return scratch.keep(docs.withColumn(name, F.monotonically_increasing_id().cast("string")))
+    place = F.concat(F.hex(F.xxhash64("_metadata.file_path")), F.lit(":"), F.col("_metadata.row_index"))
+    if docs.inputFiles():
+        try:
+            out = docs.select("*", place.alias(name))
+            out.schema  # resolving the metadata column raises where there is none
+            return out
+        except AnalysisException:
+            pass  # files behind a join or an aggregate
+    return scratch.keep(docs.withColumn(name, F.monotonically_increasing_id().cast("string")))
 
 
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:

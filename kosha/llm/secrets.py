@@ -5,13 +5,15 @@ length is tested afterwards. Weak candidates (40-character base64 secrets, endpo
 complementary parts lie within SCOPE code points of them: a bare secret near an access identifier, an endpoint near
 an access identifier or an assignment.
 
-Positions come from splitting the text at the matches and adding up lengths, so nothing leaves the JVM.
+Positions come from splitting the text at the matches and adding up lengths, so nothing leaves the JVM. Texts are read
+a fixed number of times, however many findings they hold; masks are put in place block by block.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, numbered
 
@@ -27,36 +29,46 @@ KINDS = ["assign", "access", "hex", "bare", "endpoint"]
 SCOPE = 400
 
 _SPANS = "array<struct<s:long,e:long>>"
+#: Numbers that are added up at a time; a running sum over n of them copies about n * SUMMED of them.
+SUMMED = 128
+#: Code points of a block in which masks are put in place.
+BLOCK = 4096
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(numbers: Column) -> Column:
+    """Running sums of an array of longs: within blocks of SUMMED, then over the blocks."""
+    zero = F.array(F.lit(0).cast("long"))
+    added = lambda xs: F.aggregate(xs, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    starts = lambda xs: F.filter(F.sequence(F.lit(0), F.size(xs)), lambda i: (i % SUMMED == 0) & (i < F.size(xs)))
+    inner = _bound(numbers, lambda xs: F.transform(starts(xs), lambda i: added(F.slice(xs, i + 1, SUMMED))))
+    before = lambda blocks: added(F.transform(blocks, lambda b: F.element_at(b, -1)))
+    both = _bound(inner, lambda blocks: F.struct(blocks.alias("blocks"), before(blocks).alias("before")))
+    shifted = lambda x: F.transform(x["blocks"], lambda b, i: F.transform(F.slice(b, 2, SUMMED), lambda n: n + F.element_at(x["before"], i + 1)))
+    return F.flatten(_bound(both, shifted))
 
 
 def _spans(text: Column, pattern: str, seen: Column, keep=None) -> Column:
     """Spans of all matches in code points; keep tests the matched string. Empty where seen is false."""
-    pieces = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # running end of each piece and match: alternate their lengths
-    step = F.aggregate(
-        F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(p.alias("p"), m.alias("m"))),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-            F.when(
-                keep(x["m"]) if keep else F.lit(True),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(x["p"])).alias("s"),
-                            (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("e"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
+    # pieces and matches take turns, with one piece more at the end
+    long = lambda c: F.length(c).cast("long")
+    turns = F.zip_with(
+        F.split(text, pattern, -1),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda p, m: F.when(m.isNotNull(), F.struct((long(p) + long(m)).alias("step"), long(m).alias("n"), (keep(m) if keep else F.lit(True)).alias("keep"))),
     )
-    return F.when(seen, step).otherwise(F.array().cast(_SPANS))
+
+    def placed(turns: Column) -> Column:
+        ends = _running(F.transform(turns, lambda x: x["step"]))
+        spans = F.zip_with(turns, ends, lambda x, e: F.when(x["keep"], F.struct((e - x["n"]).alias("s"), e.alias("e"))))
+        return F.filter(spans, lambda x: x.isNotNull())
+
+    found = _bound(F.filter(turns, lambda x: x.isNotNull()), placed)
+    return F.when(seen, found).otherwise(F.array().cast(_SPANS))
 
 
 def _findings(t: Column) -> list[Column]:
@@ -87,7 +99,7 @@ def _long_value(match: Column) -> Column:
 def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, Scratch]:
     """One row (rid, doc_id, spans) per row of docs; spans: array of (s, e, kind), by start, then kind.
 
-    Kinds are ranks in KINDS. Null and empty texts have no findings; repeated rows are scanned one by one; rid tells
+    Kinds are ranks in KINDS. Null and empty texts have no findings; an empty table gives an empty one; repeated rows are scanned one by one; rid tells
     rows of one key apart. Other columns of docs are not read.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
@@ -160,36 +172,44 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataFrame:
     """docs with every finding in its text replaced by mask; all columns and rows stay, n_chars follows the text.
 
-    Overlapping findings are masked together. Texts without findings are returned as they are, null stays null.
+    Overlapping findings are masked together. Texts without findings are returned as they are, null stays null, and so
+    do null keys and repeated rows; an empty table stays empty. Texts that may hold a finding are cut into blocks, so a
+    very long one with very many findings is many rows.
     """
-    t, cells = F.col(text), "__kosha_spans"
-    body = F.coalesce(t, F.lit(""))
-    # only texts that may hold a weak candidate and its complement need the linking join; the others stay in place
-    weak, strong = body.rlike(BARE) | F.contains(body, F.lit("://")), body.rlike(ASSIGN) | F.contains(body, F.lit("AKIA"))
-    base = F.flatten(F.array(*[_ranked(found, rank) for rank, found in enumerate(_findings(body)[:3])]))
-    alone = docs.where(~(weak & strong)).withColumn(cells, _in_order(base))
-    rid = "__kosha_rid"
-    rows = numbered(docs, rid, Scratch(docs.sparkSession, "redact")).where(weak & strong)
-    spans, _ = find_spans(rows, key=rid, text=text)
-    mixed = rows.join(spans.select(F.col("doc_id").alias(rid), F.col("spans").alias(cells)), rid).drop(rid)
-    out = alone.unionByName(mixed)
-    cut = F.aggregate(
-        cells,
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda acc, p: F.struct(
-            F.greatest(acc["at"], p["e"]).alias("at"),
-            F.when(
-                p["s"] >= acc["at"],
-                F.concat(acc["out"], F.substring(t, (acc["at"] + 1).cast("int"), (p["s"] - acc["at"]).cast("int")), F.lit(mask)),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
+    t = F.coalesce(F.col(text), F.lit(""))
+    doubt = t.rlike(ASSIGN) | F.contains(t, F.lit("AKIA")) | t.rlike(HEX)  # weak candidates count beside one of these
+    rid, scratch = "__kosha_rid", Scratch(docs.sparkSession, "redact")
+    out = numbered(docs, rid, scratch).withColumn("__kosha_doubt", doubt)
+    rows = out.where("__kosha_doubt").select(F.col(rid).alias("rid"), F.col(text).alias("text"))
+    spans, _ = find_spans(rows, key="rid", text="text")
+    one = spans.select(F.col("doc_id").alias("rid"), F.explode("spans").alias("p")).select("rid", "p.s", "p.e")
+    # spans that overlap are one: a new one starts where all before it have ended
+    before = Window.partitionBy("rid").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.coalesce(F.col("s") >= F.max("e").over(before), F.lit(True)).cast("int")
+    upto = before.rowsBetween(Window.unboundedPreceding, 0)
+    one = one.withColumn("fresh", fresh).withColumn("n", F.sum("fresh").over(upto)).groupBy("rid", "n").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    of = lambda c: F.floor(F.col(c) / BLOCK).cast("int")
+    one = one.select("rid", "s", "e", F.explode(F.sequence(of("s"), F.floor((F.col("e") - 1) / BLOCK).cast("int"))).alias("block"))
+    local = F.struct(F.greatest(F.col("s") - F.col("block") * BLOCK, F.lit(-1)).cast("int").alias("s"), F.least(F.col("e") - F.col("block") * BLOCK, F.lit(BLOCK)).cast("int").alias("e"))
+    cuts = one.groupBy("rid", "block").agg(F.sort_array(F.collect_list(local)).alias("cuts"))
+    found = scratch.keep(cuts.select("rid").distinct())
+    held = rows.join(found, "rid").select("rid", F.posexplode(F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("block", "body"))
+    kept = lambda at, n: F.substring("body", at + 1, F.greatest(n, F.lit(0)))
+    # a span that began in an earlier block has left its mask there
+    parts = F.transform(
+        "cuts",
+        lambda p, i: F.concat(
+            kept(F.when(i == 0, 0).otherwise(F.get("cuts", i - 1)["e"]), p["s"] - F.when(i == 0, 0).otherwise(F.get("cuts", i - 1)["e"])), F.when(p["s"] >= 0, F.lit(mask)).otherwise("")
         ),
-        lambda acc: F.concat(acc["out"], F.substring(t, (acc["at"] + 1).cast("int"), F.length(t))),
     )
-    found = F.size(cells) > 0
-    out = out.withColumn("__kosha_new", F.when(found, cut).otherwise(t))
-    changed = {text: F.col("__kosha_new")}
+    rest = kept(F.element_at("cuts", -1)["e"], F.length("body"))
+    masked = F.when(F.col("cuts").isNull(), F.col("body")).otherwise(F.concat(F.array_join(parts, ""), rest))
+    made = held.join(cuts, ["rid", "block"], "left").select("rid", F.struct("block", masked.alias("body")).alias("b"))
+    made = made.groupBy("rid").agg(F.array_join(F.transform(F.sort_array(F.collect_list("b")), lambda b: b["body"]), "").alias("__kosha_new"))
+    made = made.withColumnRenamed("rid", rid)
+    plain = out.where("not __kosha_doubt").withColumn("__kosha_new", F.lit(None).cast("string"))
+    mixed = out.where("__kosha_doubt").join(made, rid, "left")
+    changed = {text: F.coalesce("__kosha_new", text)}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(found, F.length("__kosha_new").cast("long")).otherwise(F.col("n_chars"))
-    return out.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+        changed["n_chars"] = F.when(F.col("__kosha_new").isNotNull(), F.length("__kosha_new").cast("long")).otherwise(F.col("n_chars"))
+    return plain.unionByName(mixed.select(plain.columns)).select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])

@@ -479,11 +479,63 @@ def test_linked_parts(spark):
     assert got == {1: ["access", "bare", "endpoint"], 2: [], 3: ["access"], 4: ["access", "bare"], 5: []}
 
 
+def brute_redaction(text, spans):
+    out, at = "", 0
+    for s in sorted(spans, key=lambda s: (s.s, s.e)):
+        if s.s >= at:
+            out += text[at : s.s] + "[secret]"
+        at = max(at, s.e)
+    return out + text[at:]
+
+
 def test_redaction(spark, odd, empty):
-    rows = spark.createDataFrame([(1, "x password=hunter2hunter y", "en", "s", 1), (2, "clean", "en", "s", 5), (3, None, None, None, None)], DOCS)
-    got = {r.doc_id: r for r in secrets.redact(rows).collect()}
-    assert got[1].text == "x [secret] y" and got[1].n_chars == 12 and got[2].text == "clean" and got[3].text is None
-    assert secrets.redact(odd).count() == len(ODD) and secrets.redact(empty).count() == 0
+    rows = [(1, "x password=hunter2hunter y", "en", "s", 1), (2, "clean", "en", "s", 5), (3, None, None, None, None), (None, "token=abcdefgh1", "en", "s", 1), (1, "x password=hunter2hunter y", "en", "s", 1)]
+    got = secrets.redact(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((str(r.doc_id), r.text, r.n_chars) for r in got) == [("1", "x [secret] y", 12), ("1", "x [secret] y", 12), ("2", "clean", 5), ("3", None, None), ("None", "[secret]", 8)]
+    masked = secrets.redact(odd)
+    assert masked.columns == odd.columns and sorted(map(str, masked.collect())) == sorted(map(str, odd.collect()))
+    assert secrets.redact(empty).count() == 0
+
+
+def test_redaction_across_blocks(spark):
+    rng = random.Random(9)
+    bits = ["password=" + "a1B2" * 5, "é🙂\n", "f" * 33, "token=" + "0123456789abcdef" * 300, "AKIA" + "A1" * 8, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", " plain words ", "x" * 4095, "https://h.example.org"]
+    rows = [(i, " ".join(rng.choice(bits) for _ in range(rng.randint(1, 40)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secrets.find_spans(df)[0].collect()}
+    got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert got == {d: brute_redaction(t, spans[d]) for d, t in rows} and any(len(t) > 3 * secrets.BLOCK for _, t in rows)
+
+
+def test_many_findings_in_a_long_text(spark):
+    import time
+
+    text = "".join(f"k password=hunter2hunter{i} and é " for i in range(50_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    spans = secrets.find_spans(df)[0].first().spans
+    assert ",".join(f"{secrets.KINDS[s.kind]}:{s.s}:{s.e}" for s in spans) == brute_base(text)
+    assert secrets.redact(df).first().text == brute_redaction(text, spans)
+    assert time.perf_counter() - began < 60
+
+
+def brute_links(text):
+    """Kinds and places of the weak candidates that count, by looking at all pairs."""
+    base = [(int(a), k) for k, a, _ in (x.split(":") for x in brute_base(text).split(",") if x)]
+    found = []
+    for kind, pattern, with_ in (("bare", secrets.BARE, {"access"}), ("endpoint", secrets.ENDPOINT, {"access", "assign"})):
+        for m in re.finditer(pattern, text):
+            if any(k in with_ and abs(a - m.start()) <= secrets.SCOPE for a, k in base):
+                found.append((kind, m.start(), m.end()))
+    return sorted(found)
+
+
+def test_linking_equals_brute_force(spark):
+    rng = random.Random(12)
+    bits = ["password=" + "a1B2" * 5, "AKIA" + "A1" * 8, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "https://h.example.org", "." * 150, "." * 399, "é" * 37]
+    rows = [(i, " ".join(rng.choice(bits) for _ in range(rng.randint(1, 12)))) for i in range(300)]
+    got = secrets.find_spans(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()
+    assert {r.doc_id: sorted((secrets.KINDS[s.kind], s.s, s.e) for s in r.spans if s.kind >= 3) for r in got} == {d: brute_links(t) for d, t in rows}
 
 
 # all of them
