@@ -1,10 +1,14 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of character trigrams, trained on trusted text.
+"""Quality classifier: interpolated modified Kneser-Ney models of character trigrams, trained on trusted text.
 
-Texts are read once, in slices of documents. A slice keeps, packed, its distinct trigrams with the documents that hold
-them and how often, so a trigram that every text holds is one entry per slice. Trusted documents (labelled good) add
-their counts to the training table; continuation counts, context sums and discounts come from joins and aggregates
-sharded by trigram, context and suffix; every trigram of the corpus gets its log-probability from those joins, a
-further sharded join returns it to the slices, and sums by document give perplexities. The tables of trigrams grow
+Every language has two models, each trained on one half of its trusted documents (labelled good), dealt out by a hash of
+the text; a document of either half is scored by the model of the other one. So no document is scored by a model that
+saw it or an exact copy of it, and thresholds come from trusted documents outside the training half.
+
+Texts are read once, in slices of documents of one language and half. A slice keeps, packed, its distinct trigrams with
+the documents that hold them and how often, so a trigram that every text holds is one entry per slice. Trusted documents
+add their counts to the training table; continuation counts, context sums and discounts come from joins and aggregates
+sharded by model and trigram, context or suffix; every trigram of the corpus gets its log-probability from those joins,
+a further sharded join returns it to the slices, and sums by document give perplexities. The tables of trigrams grow
 with the corpus and are never broadcast by request or collected.
 
 A document is rejected when its perplexity lies above the quantile of the trusted documents of its language, by more
@@ -29,12 +33,13 @@ from .common import Scratch
 #: Documents and code points of a slice at most; a longer text is a slice of its own.
 SLICE_DOCS = 2048
 SLICE_CHARS = 4_000_000
-QUANTILE = 0.99
+QUANTILE = 0.995
 LOW_QUANTILE = 0.01
 #: Standard errors of its mean that a text must lie above the quantile, or below the low one.
 MARGIN = 3.0
 LOW_MARGIN = 3.0
-#: Trusted documents that a language needs for a quantile of its own.
+#: Trusted documents that a language needs for a quantile of its own; with fewer it has its own mean, and above that the
+#: quantile of all languages' distances from their means.
 LEAST_TRUSTED = 30
 _BITS = 21
 _LOW = (1 << _BITS) - 1
@@ -82,48 +87,69 @@ def _unpack(blob: bytes, kind: str) -> np.ndarray:
 
 
 def sliced(docs: DataFrame, key: str, text: str, lang: str, mark: Column) -> DataFrame:
-    """One row per slice: its distinct trigrams, their entries by document, packed, and the keys of its documents."""
+    """One row per slice: its model, its distinct trigrams, their entries by document, packed, and its documents' keys.
+
+    model: 0 or 1 for the half, then the language; a slice's documents are scored by the model of that name.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId() << 32, 0
-        held: list[tuple] = []
-        grams: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            none = np.zeros(0, np.int64)
-            zeros = np.zeros(len(grams))
-            found = _postings(grams) if any(len(g) for g in grams) else (none, none, none, none, zeros, zeros)
+        held: dict[str, list[tuple]] = {}
+        grams: dict[str, list[np.ndarray]] = {}
+        size: dict[str, int] = {}
+
+        def flush(model: str) -> pa.RecordBatch:
+            nonlocal number
+            rows, each = held.pop(model), grams.pop(model)
+            size.pop(model)
+            none, zeros = np.zeros(0, np.int64), np.zeros(len(each))
+            found = _postings(each) if any(len(g) for g in each) else (none, none, none, none, zeros, zeros)
             blobs = [_pack(np.diff(found[0], prepend=0), "<i8"), _pack(found[1], "<u4"), _pack(found[2], "<u2"), _pack(found[3], "<u2")]
-            owns = zip(held, grams, found[4].tolist(), found[5].tolist())
-            keys = [{"doc_id": d, "lang": x, "mark": m, "n": len(g), "own": own, "own_spread": spread} for (d, x, m), g, own, spread in owns]
-            arrays = [pa.array([task | number], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs), pa.array([keys], kinds)]
-            return pa.RecordBatch.from_arrays(arrays, ["slice", "grams", "entries", "steps", "counts", "keys"])
+            owns = zip(rows, each, found[4].tolist(), found[5].tolist())
+            keys = [{"lang": x, "mark": m, "n": len(g), "own": own, "own_spread": spread} for (_, x, m), g, own, spread in owns]
+            cells = pa.array(keys, pa.struct(kinds))
+            ids = pa.concat_arrays([r[0] for r in rows])
+            cells = pa.StructArray.from_arrays([ids, *cells.flatten()], ["doc_id", *(n for n, _ in kinds)])
+            lists = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), cells)
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([task | number], pa.int64()), pa.array([model]), *(pa.array([b], pa.binary()) for b in blobs), lists], names)
 
         for batch in batches:
-            for d, t, x, m in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for i, (t, x, m, model) in enumerate(zip(batch.column(1), *(batch.column(c).to_pylist() for c in (2, 3, 4)))):
                 body = t.as_py() or ""
-                if held and (len(held) >= SLICE_DOCS or size + len(body) > SLICE_CHARS):
-                    yield flush()
-                    held, grams, size, number = [], [], 0, number + 1
-                held.append((d, x, m))
-                grams.append(trigrams(body))
-                size += len(body)
-        if held:
-            yield flush()
+                if model in held and (len(held[model]) >= SLICE_DOCS or size[model] + len(body) > SLICE_CHARS):
+                    yield flush(model)
+                held.setdefault(model, []).append((batch.column(0).slice(i, 1), x, m))
+                grams.setdefault(model, []).append(trigrams(body))
+                size[model] = size.get(model, 0) + len(body)
+                if sum(size.values()) > 2 * SLICE_CHARS or len(held) > SLICE_DOCS:  # many languages at once
+                    yield flush(max(size, key=size.get))
+        for model in list(held):
+            yield flush(model)
+
+    names = ["slice", "model", "grams", "entries", "steps", "counts", "keys"]
+    kinds = [("lang", pa.string()), ("mark", pa.string()), ("n", pa.int64()), ("own", pa.float64()), ("own_spread", pa.float64())]
+    body = F.col(text).cast("string")
+    half = F.pmod(F.xxhash64(F.coalesce(body, F.lit(""))), F.lit(2)).cast("string")
+    model = F.concat(half, F.coalesce(F.col(lang).cast("string"), F.lit("")))
+    narrow = docs.select(F.col(key).alias("doc_id"), body.alias("text"), F.col(lang).cast("string").alias("lang"), mark.cast("string").alias("mark"), model.alias("model"))
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+    return narrow.mapInArrow(
+        run, f"slice long, model string, grams binary, entries binary, steps binary, counts binary, keys array<struct<doc_id:{kind},lang:string,mark:string,n:long,own:double,own_spread:double>>"
+    )
+
 
-    kinds = pa.list_(pa.struct([("doc_id", pa.int64()), ("lang", pa.string()), ("mark", pa.string()), ("n", pa.int64()), ("own", pa.float64()), ("own_spread", pa.float64())]))
-    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), mark.cast("string").alias("mark"))
-    return narrow.mapInArrow(run, "slice long, grams binary, entries binary, steps binary, counts binary, keys array<struct<doc_id:long,lang:string,mark:string,n:long,own:double,own_spread:double>>")
+def _other_half(model: Column) -> Column:
+    return F.concat(F.when(F.left(model, F.lit(1)) == "0", "1").otherwise("0"), F.substring(model, F.lit(2), F.length(model)))
 
 
 def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slice, ix, gram) of slices (slice, grams)."""
+    """(slice, model, ix, gram) of slices (slice, model, grams)."""
     for batch in batches:
-        for number, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for number, model, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             grams = np.cumsum(_unpack(blob.as_py(), "<i8"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(grams), number)), pa.array(np.arange(len(grams), dtype=np.int32)), pa.array(grams)], ["slice", "ix", "gram"]
+                [pa.array(np.full(len(grams), number)), pa.array([model] * len(grams), pa.string()), pa.array(np.arange(len(grams), dtype=np.int32)), pa.array(grams)], ["slice", "model", "ix", "gram"]
             )
 
 
@@ -134,7 +160,7 @@ def _entries(entries: np.ndarray, steps: np.ndarray) -> np.ndarray:
 
 
 def _trusted_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, n) in the trusted documents of slices (grams, entries, steps, counts, who)."""
+    """(model, gram, n) in the trusted documents of slices (model, grams, entries, steps, counts, who)."""
     for batch in batches:
         for row in batch.to_pylist():
             grams, entries, steps, counts = (_unpack(row[c], k) for c, k in (("grams", "<i8"), ("entries", "<u4"), ("steps", "<u2"), ("counts", "<u2")))
@@ -142,7 +168,8 @@ def _trusted_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 mask = np.zeros(65536, np.int64)
                 mask[row["who"]] = 1
                 n = np.add.reduceat(counts * mask[_entries(entries, steps)], np.concatenate([[0], np.cumsum(entries)[:-1]]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(grams)[n > 0]), pa.array(n[n > 0])], ["gram", "n"])
+                found = n > 0
+                yield pa.RecordBatch.from_arrays([pa.array([row["model"]] * int(found.sum()), pa.string()), pa.array(np.cumsum(grams)[found]), pa.array(n[found])], ["model", "gram", "n"])
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,72 +186,74 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class KneserNey:
-    """Discounts and sharded tables of an interpolated modified Kneser-Ney trigram model over counts (gram, n)."""
+    """Sharded tables of interpolated modified Kneser-Ney trigram models over counts (model, gram, n)."""
 
     def __init__(self, counts: DataFrame):
         low = F.lit(_LOW)
         self.tri = counts
-        self.bi = counts.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 2 * _BITS) - 1)).alias("suffix")).agg(F.count("*").alias("n"))
-        self.uni = self.bi.groupBy(F.col("suffix").bitwiseAND(low).alias("last")).agg(F.count("*").alias("n"))
+        self.bi = counts.groupBy("model", F.col("gram").bitwiseAND(F.lit((1 << 2 * _BITS) - 1)).alias("suffix")).agg(F.count("*").alias("n"))
+        self.uni = self.bi.groupBy("model", F.col("suffix").bitwiseAND(low).alias("last")).agg(F.count("*").alias("n"))
         self.ctx3 = self._contexts(counts, F.shiftright("gram", _BITS), "ctx3")
         self.ctx2 = self._contexts(self.bi, F.shiftright("suffix", _BITS), "ctx2")
-        self.d3, self.d2, self.d1 = (self._discounts(t) for t in (self.tri, self.bi, self.uni))
-        row = self.uni.agg(F.sum("n").alias("total"), *self._kinds()).first()
-        self.total, self.types = row.total, row.k1 + row.k2 + row.k3
-        self.gamma1 = sum(d * k for d, k in zip(self.d1, (row.k1, row.k2, row.k3))) / self.total
+        self.laws = self._discounts(self.tri, "d3").join(self._discounts(self.bi, "d2"), "model").join(self._discounts(self.uni, "d1"), "model")
+        total = self.uni.groupBy("model").agg(F.sum("n").alias("total"), *[k.alias(f"k{i}") for i, k in enumerate(self._kinds(), 1)])
+        gamma1 = sum((F.col("d1")[i] * F.col(f"k{i + 1}") for i in range(3)), F.lit(0.0)) / F.col("total")
+        self.laws = self.laws.join(total, "model").select("model", "d3", "d2", "d1", "total", (F.col("k1") + F.col("k2") + F.col("k3")).alias("types"), gamma1.alias("gamma1"))
 
     @staticmethod
     def _kinds() -> list[Column]:
         n = F.col("n")
-        return [F.sum((n == 1).cast("long")).alias("k1"), F.sum((n == 2).cast("long")).alias("k2"), F.sum((n >= 3).cast("long")).alias("k3")]
+        return [F.sum((n == 1).cast("long")), F.sum((n == 2).cast("long")), F.sum((n >= 3).cast("long"))]
 
     def _contexts(self, counts: DataFrame, context: Column, name: str) -> DataFrame:
         kinds = [k.alias(f"{name}_{i}") for i, k in enumerate(self._kinds(), 1)]
-        return counts.groupBy(context.alias(name)).agg(F.sum("n").alias(f"{name}_n"), *kinds)
+        return counts.groupBy("model", context.alias(name)).agg(F.sum("n").alias(f"{name}_n"), *kinds)
 
     @staticmethod
-    def _discounts(counts: DataFrame) -> tuple[float, float, float]:
-        row = counts.agg(*[F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in range(1, 5)]).first()
-        n1, n2, n3, n4 = (row[i] or 0 for i in range(4))
-        if not (n1 and n2 and n3):
-            return 0.5, 1.0, 1.5
+    def _discounts(counts: DataFrame, name: str) -> DataFrame:
+        """(model, array of the discounts of counts 1, 2 and more), fixed ones where a count does not occur."""
+        told = counts.groupBy("model").agg(*[F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in range(1, 5)])
+        n1, n2, n3, n4 = (F.col(f"n{i}") for i in range(1, 5))
         y = n1 / (n1 + 2 * n2)
         found = 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3
-        return tuple(min(max(d, 0.05), i) for i, d in enumerate(found, 1))
+        bounded = F.array(*[F.least(F.greatest(d, F.lit(0.05)), F.lit(float(i))) for i, d in enumerate(found, 1)])
+        return told.select("model", F.when((n1 > 0) & (n2 > 0) & (n3 > 0), bounded).otherwise(F.array(F.lit(0.5), F.lit(1.0), F.lit(1.5))).alias(name))
 
     @staticmethod
-    def _left(n: Column, d: tuple[float, float, float]) -> Column:
+    def _left(n: Column, d: Column) -> Column:
         return n - F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
 
     def log_probabilities(self, grams: DataFrame) -> DataFrame:
-        """(gram, logp) for every gram; grams: distinct trigrams, seen in training or not."""
+        """(model, gram, logp) for every one of grams (model, gram) whose model has counts; seen in training or not."""
         g = F.col("gram")
         asked = grams.select(
-            g, F.shiftright(g, _BITS).alias("ctx3"), g.bitwiseAND(F.lit((1 << 2 * _BITS) - 1)).alias("suffix"), g.bitwiseAND(F.lit(_LOW)).alias("last")
+            "model", g, F.shiftright(g, _BITS).alias("ctx3"), g.bitwiseAND(F.lit((1 << 2 * _BITS) - 1)).alias("suffix"), g.bitwiseAND(F.lit(_LOW)).alias("last")
         ).withColumn("ctx2", F.shiftright("suffix", _BITS))
         joined = (
-            asked.join(self.tri.select("gram", F.col("n").alias("n3")), "gram", "left")
-            .join(self.ctx3, "ctx3", "left")
-            .join(self.bi.select("suffix", F.col("n").alias("n2")), "suffix", "left")
-            .join(self.ctx2, "ctx2", "left")
-            .join(self.uni.select("last", F.col("n").alias("n1")), "last", "left")
+            asked.join(self.tri.select("model", "gram", F.col("n").alias("n3")), ["model", "gram"], "left")
+            .join(self.ctx3, ["model", "ctx3"], "left")
+            .join(self.bi.select("model", "suffix", F.col("n").alias("n2")), ["model", "suffix"], "left")
+            .join(self.ctx2, ["model", "ctx2"], "left")
+            .join(self.uni.select("model", "last", F.col("n").alias("n1")), ["model", "last"], "left")
+            .join(self.laws, "model")
         )
 
-        def level(n: str, d: tuple, context: str, below: Column) -> Column:
+        def level(n: str, d: Column, context: str, below: Column) -> Column:
             gamma = sum((d[i] * F.col(f"{context}_{i + 1}") for i in range(3)), F.lit(0.0)) / F.col(f"{context}_n")
             seen = F.coalesce(self._left(F.col(n), d), F.lit(0.0)) / F.col(f"{context}_n")
             return F.when(F.col(f"{context}_n").isNull(), below).otherwise(seen + gamma * below)
 
-        p1 = F.coalesce(self._left(F.col("n1"), self.d1), F.lit(0.0)) / self.total + self.gamma1 / (self.types + 1)
-        p2 = level("n2", self.d2, "ctx2", p1)
-        return joined.select("gram", F.log(level("n3", self.d3, "ctx3", p2)).alias("logp"))
+        p1 = F.coalesce(self._left(F.col("n1"), F.col("d1")), F.lit(0.0)) / F.col("total") + F.col("gamma1") / (F.col("types") + 1)
+        p2 = level("n2", F.col("d2"), "ctx2", p1)
+        return joined.select("model", "gram", F.log(level("n3", F.col("d3"), "ctx3", p2)).alias("logp"))
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", mark: Column | None = None) -> DataFrame:
     """(doc_id, lang, mark, n, own, own_spread, log_ppl, spread, trusted) of every row of docs.
 
     n: trigrams; own: entropy of the document's own trigrams; log_ppl: mean negative log-probability, null for null and
-    empty texts and where nothing is trusted; the spreads: their standard errors. Null keys, null languages and repeated rows stay.
+    empty texts and where the other half of the language has nothing trusted; the spreads: their standard errors. Null
+    keys, null languages (a language of their own) and repeated rows stay; an empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     parts = scratch.keep_bucketed(sliced(docs, key, text, lang, F.lit(None) if mark is None else mark), "slice")
@@ -232,16 +261,14 @@ def perplexities(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(True))
     names = scratch.keep(names.join(good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))).select("slice", "pos", "doc_id", "lang", "mark", "n", "own", "own_spread", "trusted"))
     trusted = names.where("trusted and n > 0").groupBy("slice").agg(F.sort_array(F.collect_list("pos")).alias("who"))
-    training = (
-        parts.select("slice", "grams", "entries", "steps", "counts").join(trusted, "slice").drop("slice").mapInArrow(_trusted_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    )
-    training = scratch.keep(training)
+    training = parts.select("slice", _other_half(F.col("model")).alias("model"), "grams", "entries", "steps", "counts").join(trusted, "slice").drop("slice")
+    training = scratch.keep(training.mapInArrow(_trusted_counts, "model string, gram long, n long").groupBy("model", "gram").agg(F.sum("n").alias("n")))
     if training.isEmpty():
         return names.select("doc_id", "lang", "mark", "n", "own", "own_spread", F.lit(None).cast("double").alias("log_ppl"), F.lit(None).cast("double").alias("spread"), "trusted")
-    grams = parts.select("slice", "grams").mapInArrow(_grams_of, "slice long, ix int, gram long")
-    table = scratch.keep(KneserNey(training).log_probabilities(grams.select("gram").distinct()))
+    grams = parts.select("slice", "model", "grams").mapInArrow(_grams_of, "slice long, model string, ix int, gram long")
+    table = scratch.keep(KneserNey(training).log_probabilities(grams.select("model", "gram").distinct()))
     back = F.transform(F.sort_array(F.collect_list(F.struct("ix", "logp"))), lambda x: x["logp"])
-    told = grams.join(table, "gram").groupBy("slice").agg(back.alias("logp"))
+    told = grams.join(table, ["model", "gram"]).groupBy("slice").agg(back.alias("logp"))
     sums = parts.select("slice", "entries", "steps", "counts").join(told, "slice").mapInArrow(_sums, "slice long, pos int, logsum double, squares double")
     mean = -F.col("logsum") / F.col("n")
     spread = F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0)) / F.col("n"))
@@ -255,26 +282,28 @@ def judged(found: DataFrame, scratch: Scratch, quantile: float = QUANTILE, margi
     """found (of perplexities) with threshold, floor and keep.
 
     Texts without a perplexity are kept, and so are those of languages without a trusted document, which other languages
-    say nothing about; languages with fewer than LEAST_TRUSTED go by the trusted documents of all. floor: the low quantile of own in the class of trusted documents of equal
-    binary length; own grows with length, so a class with too few documents goes by the best shorter one.
+    say nothing about; for languages with few trusted documents see LEAST_TRUSTED. floor: the low quantile of own in the
+    class of trusted documents of equal binary length; own grows with length, so a class with too few documents goes by
+    the best shorter one, and a language without any by the classes of all.
     """
     found = scratch.keep(found.withColumn("length", F.when(F.col("n") > 0, F.floor(F.log2("n")).cast("int"))))
     good = found.where("trusted and log_ppl is not null and lang is not null")
-    at = F.percentile_approx("log_ppl", quantile, 10_000)
     # deviation of one character: a text's own would let texts pass for being uneven
     deviation = F.sqrt(F.sum(F.col("spread") * F.col("spread") * F.col("n") * F.col("n")) / F.sum("n"))
-    told = [at.alias("threshold"), deviation.alias("deviation"), F.count("*").alias("held")]
+    own = [F.percentile_approx("log_ppl", quantile, 10_000).alias("own_threshold"), F.avg("log_ppl").alias("mean"), deviation.alias("deviation"), F.count("*").alias("held")]
+    by_lang = scratch.keep(good.groupBy("lang").agg(*own))
     enough = F.col("held") >= LEAST_TRUSTED
+    above = good.join(by_lang.select("lang", "mean"), "lang").agg(F.percentile_approx(F.col("log_ppl") - F.col("mean"), quantile, 10_000).alias("above"))
 
     def floors_of(*by: str) -> DataFrame:
         classes = good.groupBy(*by, "length").agg(F.percentile_approx("own", LOW_QUANTILE, 10_000).alias("floor"), F.count("*").alias("held")).where(enough)
         return classes.groupBy(*by).agg(F.collect_list(F.struct("length", "floor")).alias("floors"))
 
-    every = good.agg(*told[:2]).crossJoin(floors_of()).select(*[F.col(c).alias(f"all_{c}") for c in ("threshold", "deviation", "floors")])
-    by_lang = good.groupBy("lang").agg(*told).join(floors_of("lang"), "lang", "left").crossJoin(F.broadcast(every))
-    own = [F.when(enough, F.col(c)).otherwise(F.col(f"all_{c}")).alias(c) for c in ("threshold", "deviation", "floors")]
+    every = above.crossJoin(floors_of().withColumnRenamed("floors", "all_floors"))  # a row each
+    by_lang = by_lang.join(floors_of("lang"), "lang", "left").crossJoin(F.broadcast(every))
+    threshold = F.when(enough, F.col("own_threshold")).otherwise(F.col("mean") + F.col("above"))
     # of known size, so a few languages are broadcast and a hot one is no hot task
-    by_lang = scratch.keep(by_lang.select("lang", *own))
+    by_lang = scratch.keep(by_lang.select("lang", threshold.alias("threshold"), "deviation", F.when(enough, F.coalesce("floors", "all_floors")).otherwise(F.col("all_floors")).alias("floors")))
     shorter = F.filter("floors", lambda x: x["length"] <= F.col("length"))
     out = found.join(by_lang, "lang", "left").withColumn("floor", F.array_max(F.transform(shorter, lambda x: x["floor"])))
     bad = F.col("log_ppl") - margin * F.col("deviation") / F.sqrt("n") > F.col("threshold")
