@@ -28,9 +28,12 @@ DIMS = 8
 CONFIDENCE = 0.97
 SEED = 20240607
 #: Rows of the sample on which the cuts of the coarse tree are fitted.
-MOST_FITTED = 20_000
-#: Rows that a cell should hold.
+MOST_FITTED = 100_000
+#: Rows that a cell should hold, and rows of the sample that every cell needs for its cuts to be balanced.
 CELL_ROWS = 4096
+LEAST_FITTED = 32
+#: Rows of a task: where the sample allows no more cells, a cell is dealt out in parts, each with a tree of its own.
+PART_ROWS = 65_536
 LEAF = 64
 
 
@@ -119,8 +122,8 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
 def search(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", dims: int = DIMS, confidence: float = CONFIDENCE) -> DataFrame:
     """For each row of queries its k nearest rows of `rows` found, itself left out: (query_id, rank, vec_id, score).
 
-    Both tables hold key and vector; vectors that are null, zero, of another width than the first one, or hold null or
-    non-finite components take no part. Ties go to the smaller id. Repeated (id, vector) rows count once.
+    Both tables hold key and vector; vectors that are null, zero, of another width than the most common one, or hold
+    null or non-finite components take no part; an empty table gives an empty one. Ties go to the smaller id. Repeated (id, vector) rows count once.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "ann")
@@ -146,11 +149,13 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id"
 
     index = scratch.keep(entries.mapInPandas(project, "v array<double>, ids array<long>, p array<double>"))
     total = index.count()
-    depth = max(0, min(16, math.ceil(math.log2(max(1, total / CELL_ROWS)))))
     share = min(1.0, 1.2 * MOST_FITTED / max(1, total))
     fitted = index.select("p") if share >= 1 else index.where(F.pmod(F.xxhash64("p"), F.lit(1_000_000)) < int(share * 1_000_000)).select("p")
     sample = np.array([r.p for r in fitted.limit(MOST_FITTED).collect()]).reshape(-1, dims)
+    depth = max(0, min(math.ceil(math.log2(max(1, total / CELL_ROWS))), math.floor(math.log2(max(1, len(sample) / LEAST_FITTED)))))
     cuts = _cuts(sample, depth)
+    parts = max(1, math.ceil(total / 2**depth / PART_ROWS))
+    every_part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
 
     def deal(p: pd.Series) -> np.ndarray:
         return _cell(np.stack(p.to_numpy()), cuts, depth)
@@ -160,7 +165,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id"
             if len(pdf):
                 yield pdf.assign(cell=deal(pdf["p"]))
 
-    cells = scratch.keep(index.mapInPandas(celled, "v array<double>, ids array<long>, p array<double>, cell int"))
+    cells = index.mapInPandas(celled, "v array<double>, ids array<long>, p array<double>, cell int")
+    cells = scratch.keep(cells.withColumn("part", F.pmod(F.xxhash64("p"), F.lit(parts)).cast("int")))
     boxes = _boxes(cells, dims)
 
     asked = usable(queries, key, vector).where(F.size("v") == width).distinct()
@@ -183,7 +189,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id"
     answer = "q string, vec_id long, score double"
     far = F.lit(float("inf"))
     own = scratch.keep(
-        cells.groupBy("cell").cogroup(asked.select("v", "q", "p", "cell", far.alias("bound")).groupBy("cell")).applyInPandas(look, answer)
+        cells.groupBy("cell", "part").cogroup(asked.select("v", "q", "p", "cell", every_part.alias("part"), far.alias("bound")).groupBy("cell", "part")).applyInPandas(look, answer)
     )
     # the (k + 1)-th distance in the own cell bounds the search elsewhere
     ranked = own.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id")))
@@ -200,7 +206,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id"
 
     trips = asked.join(bounds, "q", "left").select("v", "q", "p", "cell", F.coalesce("bound", far).alias("bound"))
     trips = trips.mapInPandas(visit, "v array<double>, q string, p array<double>, cell int, bound double")
-    other = cells.groupBy("cell").cogroup(trips.groupBy("cell")).applyInPandas(look, answer)
+    trips = trips.withColumn("part", every_part)
+    other = cells.groupBy("cell", "part").cogroup(trips.groupBy("cell", "part")).applyInPandas(look, answer)
     best = own.unionByName(other).withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1)
     each = asked.select("q", F.explode("askers").alias("query_id")).join(best, "q").where("query_id <> vec_id")
     final = Window.partitionBy("query_id").orderBy("score", "vec_id")
@@ -232,7 +239,7 @@ def _cell(points: np.ndarray, cuts: list[tuple[int, float]], depth: int) -> np.n
 
 
 def _boxes(cells: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cell numbers and their bounding boxes; at most 2^16 cells."""
+    """Cell numbers and their bounding boxes; at most MOST_FITTED / LEAST_FITTED cells."""
     edge = [f(F.element_at("p", i + 1)).alias(f"{n}{i}") for n, f in (("low", F.min), ("high", F.max)) for i in range(dims)]
     rows = cells.groupBy("cell").agg(*edge).collect()
     return (

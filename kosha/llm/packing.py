@@ -14,6 +14,7 @@ that a third of all pieces share is ranked in salted parts.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,14 +32,16 @@ from .common import Scratch
 SIZE = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the same ids as byte_bpe_50k.json, which tests compare
-SPECIAL = {"<|endoftext|>": 50256}
+WHOLE = "byte_bpe_50k.json"  # told for its special tokens, which the ranks lack
 
 
 @lru_cache(maxsize=2)
 def _encoding(path: str) -> tiktoken.Encoding:
+    with open(public_tokenizers.path(WHOLE), encoding="utf-8") as file:
+        special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def cuts(n: int, size: int) -> list[tuple[int, int]]:
@@ -50,23 +53,30 @@ def cuts(n: int, size: int) -> list[tuple[int, int]]:
 def token_pieces(
     docs: DataFrame, vocabulary: str, size: int = SIZE, key: str = "doc_id", text: str = "text", with_ids: bool = False
 ) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of every row of docs; null text: empty, one piece of one id."""
+    """(doc_id, piece, start, length, ids_crc32[, ids]) of every row of docs; null text: empty, one piece of one id.
+
+    Null keys and repeated rows stay, an empty table gives an empty one, other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(vocabulary).encode_to_numpy
         for batch in batches:
-            rows, source = [], []
+            rows, source, flat = [], [], []
             for i, t in enumerate(batch.column(1)):
                 ids = np.append(encode(t.as_py() or "", allowed_special="all"), END_ID).astype("<u4")
+                flat.append(ids)
                 for k, (start, length) in enumerate(cuts(len(ids), size)):
-                    part = ids[start : start + length]
-                    rows.append((k, start, length, zlib.crc32(part.tobytes())) + ((part.tolist(),) if with_ids else ()))
+                    rows.append((k, start, length, zlib.crc32(ids[start : start + length].tobytes())))
                     source.append(i)
-            columns = list(zip(*rows)) or [[], [], [], []] + [[]] * with_ids
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-            arrays = [batch.column(0).take(pa.array(source, pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            arrays = [batch.column(0).take(pa.array(source, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))]
+            if with_ids:  # pieces follow one another, so their ids are one array cut at their ends
+                ends = np.concatenate([[0], np.cumsum(columns[2], dtype=np.int64)])
+                every = np.concatenate(flat).astype(np.int32) if flat else np.zeros(0, np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(every)))
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
@@ -207,14 +217,14 @@ def _open(spark, docs: DataFrame, todo: dict[int, int], done: dict[int, int], si
     return rows.select("id", first.alias("bin"), F.col("len").alias("length"))
 
 
-def packed_documents(docs: DataFrame, vocabulary: str, size: int = SIZE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every piece of every row of docs with its place: token_pieces plus sequence_id and offset.
+def packed_documents(docs: DataFrame, vocabulary: str, size: int = SIZE, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Every piece of every row of docs with its place: token_pieces plus sequence_id and offset; its ids if asked for.
 
     Null keys stay null and repeated rows are packed one by one; null and empty texts are one piece with the end id
     alone; an empty table gives an empty one. Columns of docs other than key and text are not read.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    cut = token_pieces(docs, vocabulary, size, key, text).withColumn("id", F.monotonically_increasing_id())
+    cut = token_pieces(docs, vocabulary, size, key, text, with_ids).withColumn("id", F.monotonically_increasing_id())
     pieces = scratch.keep(cut)
     places = pack(pieces.select("id", F.col("length").cast("int").alias("length")), size, scratch)
     return pieces.join(places, "id").drop("id")

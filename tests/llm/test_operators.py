@@ -1,5 +1,6 @@
 """The training-data operators against brute force, and their edge cases."""
 
+import bisect
 import collections
 import hashlib
 import random
@@ -108,6 +109,11 @@ def test_packing_odd_rows(odd, empty, tokenizer):
     assert sum(r.doc_id == 3 for r in rows) == 2 and any(r.doc_id is None for r in rows)
     assert [(r.start, r.length) for r in rows if r.doc_id == 2] == [(0, 1)]
     assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+    told = packing.packed_documents(odd, VOCABULARY, with_ids=True).collect()
+    for r in told:
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+    whole = [i for r in sorted((r for r in told if r.doc_id == 5), key=lambda r: r.piece) for i in r.ids]
+    assert whole == [*tokenizer.encode("word " * 30_000, add_special_tokens=False).ids, 2]
     assert packing.packed_documents(empty, VOCABULARY).count() == 0
 
 
@@ -237,6 +243,23 @@ def test_ann_recall_and_scores(spark):
     assert hit >= 0.9 * 10 * len(got)
 
 
+@pytest.mark.parametrize("cell, part", [(64, 10**6), (64, 20)])
+def test_ann_of_many_cells(spark, monkeypatch, cell, part):
+    monkeypatch.setattr(ann, "CELL_ROWS", cell)
+    monkeypatch.setattr(ann, "PART_ROWS", part)
+    monkeypatch.setattr(ann, "MOST_FITTED", 256)
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = collections.defaultdict(set)
+    for r in ann.search(rows, rows.where("vec_id % 100 = 0"), 10).collect():
+        got[r.query_id].add(r.vec_id)
+    data = {r.vec_id: np.array(r.embedding, float) for r in rows.collect()}
+    hit = 0
+    for q, found in got.items():
+        best = sorted((float(((v - data[q]) ** 2).sum()), i) for i, v in data.items() if i != q)[:10]
+        hit += len({i for _, i in best} & found)
+    assert hit >= 0.9 * 10 * len(got) and all(len(f) == 10 for f in got.values())
+
+
 def test_ann_odd_vectors(spark):
     v = [1.0, 2.0, 3.0, 4.0]
     rows = [(i, v) for i in range(0, 40)] + [(100, [4.0, 3.0, 2.0, 1.0]), (200, None), (201, [0.0] * 4), (202, [float("nan"), 1.0, 1.0, 1.0]), (203, [1.0, None, 1.0, 1.0]), (None, v), (0, v)]
@@ -269,6 +292,38 @@ def test_sharding_moves_little(docs):
     assert sum(a[d] != b[d] for d in a) < 0.5 * len(a)
 
 
+def brute_ring(spark, rows, shards):
+    """Shard of each (doc_id, point, size, crc) by walking the ring row by row."""
+    nodes = sharding.ring_nodes(spark, shards, 128)
+    places = [at for at, _ in nodes]
+    waiting = []
+    for d, point, size, crc in rows:
+        sector = (point % 2**64) >> 48
+        arc = bisect.bisect_left(places, sector)
+        wrapped = arc == len(nodes)
+        waiting.append((0 if wrapped else arc, (not wrapped, sector, point, size, crc, d), 0 if wrapped else arc))
+    room = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    out = {}
+    while waiting:
+        left = []
+        for arc, rank, at in sorted(waiting, key=lambda w: (w[2], w[0], w[1])):
+            shard = nodes[at][1]
+            if room[shard]:
+                room[shard] -= 1
+                out[rank[-1]] = shard
+            else:
+                left.append((arc, rank, at))
+        waiting = [(arc, rank, next((at + k) % len(nodes) for k in range(1, len(nodes) + 1) if room[nodes[(at + k) % len(nodes)][1]])) for arc, rank, at in left]
+    return out
+
+
+@pytest.mark.parametrize("shards", [1, 3, 8])
+def test_ring_equals_brute_force(spark, docs, shards):
+    got = sharding.ring_shards(docs, shards).collect()
+    points = {r.doc_id: r.p for r in docs.select("doc_id", F.xxhash64(F.lit("key"), "doc_id").alias("p")).collect()}
+    assert {r.doc_id: r.shard for r in got} == brute_ring(spark, [(r.doc_id, points[r.doc_id], r.size, r.text_crc32) for r in got], shards)
+
+
 def test_overflow_fills_capacities():
     nodes = [(i * 10, i % 3) for i in range(12)]
     found = sharding.overflow(nodes, {0: 50, 1: 0, 5: 3, 11: 7}, [20, 20, 20])
@@ -463,6 +518,24 @@ def test_media_rows(docs, texts, odd, empty):
     assert media.media_columns(empty).count() == 0
 
 
+def test_media_columns_of_headers_and_features(spark, docs, tmp_path):
+    folder = f"file://{tmp_path}/s"
+    index = spark.createDataFrame(media.write_shards(docs, folder).collect(), "doc_id long, n_bytes long, digest string, shard string, offset long, length long")
+    members = index.select("digest", "shard", "offset", "length").distinct()
+    head = {r.digest: (r.width, r.height) for r in media.read_members(members, folder, whole=False).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    whole = {r.digest: r for r in media.read_members(members, folder).collect()}
+    for r in index.collect():
+        samples = media.payload(texts[r.doc_id])
+        assert head[r.digest] == (576, len(samples) // 576)
+        raw = (tmp_path / "s" / r.shard).read_bytes()[r.offset : r.offset + r.length]
+        assert whole[r.digest].media_sha256 == hashlib.sha256(raw).hexdigest() and r.length == len(raw)
+        x = np.frombuffer(samples, np.uint8).astype(float)
+        h, mean, std, hist = (p.split("=")[1] for p in whole[r.digest].feature.split(";"))
+        assert int(h) == len(samples) // 576 and float(mean) == pytest.approx(x.mean(), abs=1e-4) and float(std) == pytest.approx(x.std(), abs=1e-4)
+        assert list(map(int, hist.split("-"))) == [int(((x >= 16 * i) & (x < 16 * i + 16)).sum()) for i in range(16)]
+
+
 def test_tar_shards_are_readable(spark, odd, tmp_path):
     import tarfile
 
