@@ -38,8 +38,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens with their places in sequences."""
-    return packed_documents(docs, public_tokenizers.path(VOCABULARY))
+    """Pieces of at most 1024 tokens with their ids and their places in sequences."""
+    return packed_documents(docs, public_tokenizers.path(VOCABULARY), with_ids=True)
 
 
 STAGES = [("toxicity", toxicity), ("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("packing", packing)]
