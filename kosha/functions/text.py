@@ -41,14 +41,16 @@ def sentences(c: Column) -> Column:
     return F.filter(bare, lambda s: s != "")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use names it, also in a filter."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def is_sentence(c: Column) -> Column:
     words = F.size(F.split(F.trim(c), r"\s+"))
-    low = F.lower(c)
-    clean = ~F.contains(low, F.lit(SKIP_PHRASES[0]))
-    for phrase in SKIP_PHRASES[1:]:
-        clean = clean & ~F.contains(low, F.lit(phrase))
-    letters = F.regexp_count(c, F.lit(r"\p{L}"))
-    return F.length(c).between(60, 330) & words.between(8, 65) & clean & (letters >= F.length(c) * 0.45)
+    skipped = bound(F.lower(c), lambda low: any_of(low, SKIP_PHRASES))
+    letters = F.length(F.regexp_replace(c, r"[^\p{L}]+", ""))
+    return F.length(c).between(60, 330) & words.between(8, 65) & ~skipped & (letters >= F.length(c) * 0.45)
 
 
 def sample_thirds(c: Column, cap: int) -> Column:

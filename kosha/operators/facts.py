@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import any_of, cascade, phrase
+from ..functions.text import any_of, bound, cascade, phrase
 
 # Kinds of units and domains, and the word lists of the heuristics, in the order in which they are tried.
 UNIT_TYPES = ["claim", "definition", "process", "comparison", "observation", "practice", "principle", "prescription"]
@@ -84,12 +84,12 @@ def status_of(confidence: Column) -> Column:
 
 
 def salience(c: Column) -> Column:
-    low = F.lower(c)
     points = lambda test, n: F.when(test, n).otherwise(0.0)
-    return (
-        points(c.rlike(r"\d"), 2.0) + points(any_of(low, UNITS), 1.5) + points(any_of(low, VERBS), 2.0) + points(any_of(low, NOUNS), 1.0)
+    listed = lambda low: (
+        points(any_of(low, UNITS), 1.5) + points(any_of(low, VERBS), 2.0) + points(any_of(low, NOUNS), 1.0)
         + points(any_of(low, COMPARING), 1.0) - points(any_of(low, HEDGES), 0.5)
     )
+    return points(c.rlike(r"\d"), 2.0) + bound(F.lower(c), listed)
 
 
 def fact_type(c: Column) -> Column:
@@ -100,36 +100,29 @@ def domain_type(c: Column) -> Column:
     return cascade(F.lower(c), DOMAIN_RULES, "general")
 
 
-def bound(value: Column, use) -> Column:
-    """use(value) with value computed once, however often use names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def statement(c: Column, kind: Column) -> Column:
-    """struct(subject, predicate, object): split at the first marker of the list that lies past the second character."""
-    spaces = F.array(*map(F.lit, MARKERS))
-
-    def cut(x: Column) -> Column:
-        c, kind, words, at, mark = (x[n] for n in ("c", "kind", "words", "at", "mark"))
-        none = mark.isNull()
-        subject = F.when(none, phrase(F.array_join(F.slice(words, 1, 4), " "), 90)).otherwise(phrase(F.substring(c, F.lit(1), at), 90))
-        rest = F.when(none, phrase(F.array_join(F.slice(words, 5, F.greatest(F.size(words), F.lit(1))), " "), 220))
-        rest = rest.otherwise(phrase(F.substring(c, at + F.length(mark) + 3, F.length(c)), 220))
-        return F.struct(c.alias("c"), kind.alias("kind"), words.alias("words"), mark.alias("mark"), subject.alias("subject"), F.nullif(rest, F.lit("")).alias("rest"))
+def statements(rows: DataFrame, text: str, kind: Column) -> DataFrame:
+    """rows with subject, predicate, object of a text: split at the first marker of the list that lies past the second character.
 
-    def told(x: Column) -> Column:
-        subject = F.when(x["subject"] == "", phrase(F.element_at(x["words"], 1), 90)).otherwise(x["subject"])
-        what = F.when(x["kind"].isin(NEED_BOTH), F.coalesce(x["rest"], phrase(x["c"], 220))).otherwise(x["rest"])
-        what = F.when(x["kind"].isin("definition", "observation", "principle"), F.lit(None)).otherwise(what)
-        return F.struct(subject.alias("subject"), F.coalesce(x["mark"], F.lit("states")).alias("predicate"), what.alias("object"))
-
-    def found(low: Column) -> Column:
-        places = F.transform(spaces, lambda m: F.struct((F.position(m, low) - 1).alias("at"), F.trim(m).alias("mark")))
-        return F.try_element_at(F.filter(places, lambda p: p["at"] > 1), F.lit(1))
-
-    hit = bound(F.lower(c), found)
-    first = bound(hit, lambda h: F.struct(c.alias("c"), kind.alias("kind"), F.split(F.trim(c), r"\s+").alias("words"), F.coalesce(h["at"], F.lit(-1)).alias("at"), h["mark"].alias("mark")))
-    return bound(bound(first, cut), told)
+    Each step is a column that the next one uses, so nothing is computed twice; without a marker the first four words
+    are the subject.
+    """
+    c, low, spaced = F.col(text), F.col("__low"), F.array(*map(F.lit, MARKERS))
+    # contains is the cheaper test, and most sentences fail it
+    first = F.coalesce(*[F.when(F.contains(low, F.lit(m)) & (F.instr(low, m) > 2), F.lit(i)) for i, m in enumerate(MARKERS, 1)])
+    found = rows.withColumn("__low", F.lower(c)).withColumn("__first", first)
+    found = found.withColumn("__mark", F.try_element_at(spaced, F.col("__first"))).withColumn("__words", F.split(F.trim(c), r"\s+"))
+    found = found.withColumn("__at", F.position(F.col("__mark"), low) - 1)
+    none, words, at, mark = F.col("__mark").isNull(), F.col("__words"), F.col("__at"), F.trim("__mark")
+    before = F.when(none, F.array_join(F.slice(words, 1, 4), " ")).otherwise(F.substring(c, F.lit(1), at))
+    after = F.when(none, F.array_join(F.slice(words, 5, F.greatest(F.size(words), F.lit(1))), " ")).otherwise(F.substring(c, at + F.length(mark) + 3, F.length(c)))
+    found = found.withColumn("__subject", phrase(before, 90)).withColumn("__rest", F.nullif(phrase(after, 220), F.lit("")))
+    whole = F.when(kind.isin(NEED_BOTH), F.coalesce("__rest", phrase(c, 220))).otherwise(F.col("__rest"))
+    return found.select(
+        *rows.columns,
+        F.when(F.col("__subject") == "", phrase(F.element_at(words, 1), 90)).otherwise(F.col("__subject")).alias("subject"),
+        F.coalesce(mark, F.lit("states")).alias("predicate"),
+        F.when(~kind.isin("definition", "observation", "principle"), whole).alias("object"),
+    )
 
 
 def condition(c: Column) -> Column:

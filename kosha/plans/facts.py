@@ -94,8 +94,7 @@ _WORDS = r"string_split_regex(trim(s), '\s+')"
         SELECT doc_id, pos, subject, predicate, coalesce(nullif(rest, ''), {_phrase("s", 220)}) AS object FROM p WHERE subject <> ''""",
 )
 def f7(spark, sf):
-    found = mined(spark, sf).select("doc_id", "pos", K.statement(F.col("s"), F.lit("claim")).alias("f"))
-    return found.select("doc_id", "pos", "f.subject", "f.predicate", "f.object")
+    return K.statements(mined(spark, sf).select("doc_id", "pos", "s"), "s", F.lit("claim")).drop("s")
 
 
 @query("f8_condition", f"SELECT doc_id, pos, {_phrase(f'''regexp_extract(low, '{K.CONDITION}', 0)''', 120)} AS condition FROM {_S} WHERE regexp_matches(low, '{K.CONDITION}')")
