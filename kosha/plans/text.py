@@ -74,19 +74,37 @@ def b6(spark, sf):
     return C.carry_titles(lines(spark, sf), "doc_id", heading=r"(?Um)^(\w+\.)$").select("doc_id", "page", "section_title")
 
 
-@query(
-    "b7_sections",
-    rf"""WITH m AS (SELECT doc_id, page, text, regexp_matches(text, '{_HEAD_SQL}') AS h FROM {LINES}),
+_SECTIONS = rf"""(WITH m AS (SELECT doc_id, page, text, regexp_matches(text, '{_HEAD_SQL}') AS h FROM {LINES}),
         s AS (SELECT *, sum(h::INT) OVER (PARTITION BY doc_id ORDER BY page)::BIGINT AS section FROM m)
         SELECT doc_id, section, max(CASE WHEN h THEN text END) AS title, min(page) AS page_start, max(page) AS page_end, string_agg(text, chr(10) ORDER BY page) AS text
-        FROM s GROUP BY doc_id, section""",
-)
+        FROM s GROUP BY doc_id, section)"""
+
+
+@query("b7_sections", f"SELECT * FROM {_SECTIONS}")
 def b7(spark, sf):
     head = F.col("text").rlike("(?U)" + _HEAD)
     return C.sections(lines(spark, sf), "doc_id", "page", head, F.col("text"))
 
 
-@query("b8_window_chunks")
+def _cuts(rows: str, key: str, most: int, overlap: int) -> str:
+    """(key, n, a, b, out) of rows (key, p: texts of pages): a recursion that takes one page or makes one cut in each step."""
+    found = lambda mark: f"CASE WHEN instr(reverse(head), reverse({mark})) > 0 THEN {most} - instr(reverse(head), reverse({mark})) - length({mark}) + 1 ELSE -1 END"
+    half = most // 2
+    return rf"""(WITH RECURSIVE w AS (SELECT {key}, p, 0 AS i, '' AS buf, NULL::BIGINT AS start, 0 AS n, NULL::VARCHAR AS out, NULL::BIGINT AS a, NULL::BIGINT AS b, false AS done FROM {rows}
+        UNION ALL SELECT {key}, p, CASE WHEN is_full OR NOT more THEN i ELSE i + 1 END,
+        CASE WHEN is_full THEN regexp_replace(substring(buf, greatest(0, cut - {overlap}) + 1), '^[\s\p{{Z}}]+', '') WHEN NOT more THEN '' WHEN buf = '' THEN p[i + 1] ELSE buf || chr(10) || chr(10) || p[i + 1] END,
+        CASE WHEN is_full THEN i WHEN more THEN coalesce(start, i + 1) ELSE start END, CASE WHEN is_full THEN n + 1 WHEN NOT more THEN n + 1 ELSE n END,
+        CASE WHEN is_full THEN left(buf, cut) WHEN NOT more AND regexp_matches(buf, '[^\s\p{{Z}}]') THEN buf END, start, i, NOT is_full AND NOT more
+        FROM (SELECT *, (CASE WHEN blank > {half} THEN blank WHEN danda > {half} THEN danda + 1 WHEN stop > {half} THEN stop + 1 ELSE {most} END)::INT AS cut FROM (
+            SELECT *, {found("chr(10) || chr(10)")} AS blank, greatest({found("'।'")}, {found("'॥'")}) AS danda, {found("'. '")} AS stop
+            FROM (SELECT *, length(buf) >= {most} AS is_full, i < len(p) AS more, left(buf, {most}) AS head FROM w WHERE NOT done))))
+        SELECT {key}, n - 1 AS n, a, b, out FROM w WHERE out IS NOT NULL)"""
+
+
+@query(
+    "b8_window_chunks",
+    f"SELECT doc_id, n::INT AS chunk, a::INT AS page_start, b::INT AS page_end, out AS text FROM {_cuts('(SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)', 'doc_id', C.MAX_CHARS, C.OVERLAP)}",
+)
 def b8(spark, sf):
     pages = F.transform(F.split("text", "\n"), lambda t, i: F.struct((i + 1).alias("page"), t.alias("text")))
     return C.window_chunks(docs(spark, sf).select("doc_id", pages.alias("pages")), ["doc_id"])
@@ -103,7 +121,11 @@ def b9(spark, sf):
     return docs(spark, sf).where("length(text) >= 1000").select("doc_id", C.first_cut(F.col("text"), 1000).alias("cut"))
 
 
-@query("b10_large_sections")
+@query(
+    "b10_large_sections",
+    f"""SELECT doc_id, section, 0 AS chunk, page_start, page_end, text FROM {_SECTIONS} WHERE length(text) <= 1500 UNION ALL
+        SELECT doc_id, section, n::INT, page_start, page_end, out FROM {_cuts(f"(SELECT doc_id, section, page_start, page_end, [text] AS p FROM {_SECTIONS} WHERE length(text) > 1500)", "doc_id, section, page_start, page_end", 1500, 0)}""",
+)
 def b10(spark, sf):
     head = F.col("text").rlike("(?U)" + _HEAD)
     found = C.sections(lines(spark, sf), "doc_id", "page", head, F.col("text"))
