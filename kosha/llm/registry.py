@@ -8,6 +8,7 @@ from .html import op7_html
 from .media import op9_media
 from .packing import op1_packing
 from .quality import op2_quality
+from .secrets import SQL as SECRETS_SQL
 from .secrets import op10_secrets
 from .sharding import op5_sharding
 from .simhash import op6_simhash
@@ -26,4 +27,5 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others need hashes, tokenizers, models or images that SQL lacks.
+ORACLE_SQL: dict[str, str] = {"op10_secrets": SECRETS_SQL}

@@ -213,3 +213,31 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataF
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("__kosha_new").isNotNull(), F.length("__kosha_new").cast("long")).otherwise(F.col("n_chars"))
     return plain.unionByName(mixed.select(plain.columns)).select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def _sql() -> str:
+    """DuckDB SQL for op10's rows: base kinds by the patterns of the contract, bare runs without lookaround."""
+    name = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    assign = rf"""(?:{name})["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)""".replace("'", "''")
+    kinds = [
+        ("assign", assign, f"length(regexp_extract(m, '^{assign}', 1)) >= 8"),
+        ("access", "AKIA[A-Z0-9]+", "length(m) >= 16"),
+        ("hex", "[0-9a-f]+", "length(m) >= 32"),
+        ("bare", "[A-Za-z0-9+/=]+", "length(m) = 40 AND NOT contains(m, '=')"),
+        ("endpoint", ENDPOINT, "true"),
+    ]
+    # pieces before matches and matches, in turns, give the places
+    one = lambda rank, pattern, keep: (
+        f"""SELECT rid, {rank} AS kind, s, s + length(m) AS e FROM (SELECT rid, m, (sum(length(p) + length(m)) OVER (PARTITION BY rid ORDER BY j) - length(m))::BIGINT AS s
+        FROM (SELECT rid, unnest(ms) AS m, unnest(ps[:len(ms)]) AS p, unnest(range(len(ms))) AS j FROM (SELECT rid, string_split_regex(t, '{pattern}') AS ps, regexp_extract_all(t, '{pattern}') AS ms FROM d))) WHERE {keep}"""
+    )
+    every = " UNION ALL ".join(one(rank, pattern, keep) for rank, (_, pattern, keep) in enumerate(kinds))
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    told = lambda where: f"coalesce(string_agg(k || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER ({where}), '')"
+    count = ", ".join(f"count(*) FILTER (kind = {rank}) AS n_{kind}" for rank, kind in enumerate(KINDS[:3]))
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), f AS ({every}),
+        g AS (SELECT *, {names}[kind + 1] AS k FROM f WHERE kind < 3 OR EXISTS (SELECT 1 FROM f c WHERE c.rid = f.rid AND abs(c.s - f.s) <= {SCOPE} AND (c.kind = 1 OR c.kind = 0 AND f.kind = 4)))
+        SELECT any_value(doc_id) AS doc_id, {count}, sha256({told("kind < 3")}) AS base_sha256, {told("k IS NOT NULL")} AS spans FROM d LEFT JOIN g USING (rid) GROUP BY rid"""
+
+
+SQL = _sql()

@@ -15,7 +15,9 @@ from tokenizers import Tokenizer
 
 from kosha.llm import ann, bpe, media, packing, quality, secrets, sharding, simhash
 from kosha.llm.common import Scratch, components, numbered
-from kosha.llm.registry import QUERIES
+from kosha.llm.registry import ORACLE_SQL, QUERIES
+
+from ..oracle import compare
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -635,6 +637,22 @@ def test_linking_equals_brute_force(spark):
     assert {r.doc_id: sorted((secrets.KINDS[s.kind], s.s, s.e) for s in r.spans if s.kind >= 3) for r in got} == {d: brute_links(t) for d, t in rows}
 
 
+def test_secrets_equal_their_sql(spark, tmp_path):
+    rng = random.Random(31)
+    bits = ["PassWd = '" + "a1B2" * 5, "token:short", "AKIA" + "A1" * 8, "AKIAB", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "HTTPS://x http://h.example.org:80/p", "0123456789abcdef" * 3, "." * 150, "." * 399, "é🙂\n", "=" * 3]
+    rows = [(i % 250, rng.choice(["", " "]).join(rng.choice(bits) for _ in range(rng.randint(1, 14)))) for i in range(300)]
+    rows += [(1000, None), (1001, ""), (None, bits[0]), (None, bits[0])]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "made"))
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    assert compare(spark, "op10_secrets", QUERIES["op10_secrets"], ORACLE_SQL["op10_secrets"], str(tmp_path)) == ""
+    assert {k for r in QUERIES["op10_secrets"](spark, str(tmp_path)).collect() for k in re.findall(r"[a-z]+(?=:)", r.spans)} == set(secrets.KINDS)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(spark, name):
+    assert compare(spark, name, QUERIES[name], ORACLE_SQL[name], SF) == ""
+
+
 # all of them
 
 
