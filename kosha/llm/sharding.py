@@ -18,6 +18,8 @@ from .common import Scratch
 
 #: Resolution of the ring; bounds every broadcast below.
 SECTORS = 1 << 16
+#: Rows of a sector that one task ranks; a sector with more, such as that of a hot key, is ranked in parts.
+RANKED = 1_000_000
 
 
 def ring_nodes(spark: SparkSession, shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -58,14 +60,15 @@ def overflow(nodes: list[tuple[int, int]], counts: dict[int, int], capacity: lis
 
 
 def ring_shards(
-    docs: DataFrame, shards: int = 8, vnodes: int = 128, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, shards: int = 8, vnodes: int = 128, key: str = "doc_id", text: str = "text", ranked: int = RANKED
 ) -> DataFrame:
     """Place every row of docs: (doc_id, size, text_crc32, shard, slot).
 
     size is the UTF-8 length of the text plus 1 (null text: 1); text_crc32 is 0 for null and empty texts. Rows with
     a null key are spread by a number of their own; rows that repeat are placed like any other; no rows, no shards.
-    Equal keys sit in one sector and so are ordered by size and checksum before they overflow. Other columns of
-    docs are not read. slot counts from 0 within a shard without gaps.
+    Equal keys sit in one sector and so are ordered by size and checksum before they overflow. A sector of more than
+    `ranked` rows is dealt out in parts by the rows' places in a written table, which lost tasks find again, and the
+    order is that within parts. Other columns of docs are not read. slot counts from 0 within a shard without gaps.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ring")
@@ -79,6 +82,17 @@ def ring_shards(
         .alias("point"),
     ).withColumn("sector", F.shiftrightunsigned("point", 48).cast("int"))
     rows = scratch.keep(rows)
+    # at most one row per `ranked` rows of docs
+    hot = scratch.keep(
+        rows.groupBy("sector").agg(F.count("*").alias("n")).where(F.col("n") > ranked).select("sector", F.ceil(F.col("n") / ranked).alias("parts"))
+    )
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    rows = (
+        rows.withColumn("place", place)
+        .join(F.broadcast(hot), "sector", "left")
+        .withColumn("part", F.coalesce(F.pmod("place", "parts"), F.lit(0)))
+        .drop("place", "parts")
+    )
 
     nodes = ring_nodes(spark, shards, vnodes)
     # a node owns the sectors after the node before it, up to its own; those past the last node belong to the first
@@ -87,12 +101,12 @@ def ring_shards(
     owners = spark.createDataFrame([a for a in arcs if a[1] <= a[2]], "arc int, lo int, hi int, wrapped int").select(
         F.explode(F.sequence("lo", "hi")).alias("sector"), "arc", "wrapped"
     )
-    held = rows.groupBy("sector").agg(F.count("*").alias("n"))
-    # rank of a sector's first row within its arc; sectors past the last node come before those at the start
-    base = Window.partitionBy("arc").orderBy(F.col("wrapped").desc(), "sector")
+    held = rows.groupBy("sector", "part").agg(F.count("*").alias("n"))
+    # rank of a part's first row within its arc; sectors past the last node come before those at the start
+    base = Window.partitionBy("arc").orderBy(F.col("wrapped").desc(), "sector", "part")
     starts = scratch.keep(
         held.join(F.broadcast(owners), "sector").select(
-            "sector", "arc", "n", (F.sum("n").over(base) - F.col("n")).alias("arc_base")
+            "sector", "part", "arc", "n", (F.sum("n").over(base) - F.col("n")).alias("arc_base")
         )
     )
     counts = {r.arc: r.n for r in starts.groupBy("arc").agg(F.sum("n").alias("n")).collect()}
@@ -104,10 +118,10 @@ def ring_shards(
         filled[shard] += n
     plan = spark.createDataFrame(segments, "arc int, seg_first long, seg_end long, shard int, shift long")
 
-    within = Window.partitionBy("sector").orderBy("point", "size", "text_crc32", "doc_id")
+    within = Window.partitionBy("sector", "part").orderBy("point", "size", "text_crc32", "doc_id")
     ranked = (
         rows.withColumn("k", F.row_number().over(within) - 1)
-        .join(F.broadcast(starts.select("sector", "arc", "arc_base")), "sector")
+        .join(F.broadcast(starts.select("sector", "part", "arc", "arc_base")), ["sector", "part"])
         .withColumn("arc_rank", F.col("arc_base") + F.col("k"))
     )
     hit = (F.col("arc_rank") >= F.col("seg_first")) & (F.col("arc_rank") < F.col("seg_end"))

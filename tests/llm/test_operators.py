@@ -319,6 +319,21 @@ def brute_ring(spark, rows, shards):
     return out
 
 
+def test_a_hot_key_is_ranked_in_parts(spark):
+    made = [(7 if i % 3 == 0 else i, "copy" if i % 2 else f"text {i}") for i in range(900)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    whole, parts = (sharding.ring_shards(df, 8, ranked=n).collect() for n in (10_000, 16))
+    for got in (whole, parts):
+        assert collections.Counter((r.doc_id, r.size) for r in got) == collections.Counter((d, len(t) + 1) for d, t in made)
+        slots = collections.defaultdict(list)
+        for r in got:
+            slots[r.shard].append(r.slot)
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and {len(s) for s in slots.values()} <= {112, 113}
+    # parts change which of a sector's rows move on, not how many
+    assert collections.Counter((r.doc_id, r.shard) for r in whole if r.doc_id != 7) == collections.Counter((r.doc_id, r.shard) for r in parts if r.doc_id != 7)
+
+
+
 @pytest.mark.parametrize("shards", [1, 3, 8])
 def test_ring_equals_brute_force(spark, docs, shards):
     got = sharding.ring_shards(docs, shards).collect()
