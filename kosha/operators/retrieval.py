@@ -149,12 +149,13 @@ def _blocked(queries: DataFrame, vectors: DataFrame, k: int, least: float | None
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, "query_id long, vec_id long, score double")
 
 
-def near_k(queries: DataFrame, vectors: DataFrame, k: int, probes: float = 0.5, fitted: int = 20_000, seed: int = 7) -> DataFrame:
+def near_k(queries: DataFrame, vectors: DataFrame, k: int, recall: float = 0.95, fitted: int = 20_000, tried: int = 200, seed: int = 7) -> DataFrame:
     """Approximate top_k: vectors are dealt out to cells by their nearest centre, and a query searches its nearest cells.
 
     Centres (one for about 256 rows, at most 4,096) are fitted by a few rounds of spherical k-means on at most `fitted`
-    rows chosen by a hash of their id, and every row is indexed. probes: share of the cells that a query searches; the
-    results' recall against top_k is the caller's to measure, as it depends on the vectors.
+    rows chosen by a hash of their id, and every row is indexed. How many cells a query searches is measured: `tried`
+    queries, chosen by a hash too, are answered exactly, and the nearest cells that hold the share `recall` of their
+    neighbours are what every query searches.
     """
     queries, vectors = usable(queries, "q").select("query_id", "q"), usable(vectors, "v").select("vec_id", "v")
     n = vectors.count()
@@ -170,7 +171,15 @@ def near_k(queries: DataFrame, vectors: DataFrame, k: int, probes: float = 0.5,
         np.add.at(sums, own, points)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centres)
-    most = max(1, math.ceil(probes * cells))
+    asking = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(tried)
+    asked_of = {r.query_id: r.q for r in asking.collect()}
+    if not asked_of:
+        return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    told = queries.sparkSession.createDataFrame(list(asked_of.items()), queries.schema)
+    pairs = top_k(told, vectors, k).join(vectors, "vec_id").select("query_id", "v").collect()  # at most tried * k
+    visited = np.argsort(-(_unit(asked_of[r.query_id] for r in pairs) @ centres.T), axis=1, kind="stable")
+    homes = (_unit(r.v for r in pairs) @ centres.T).argmax(axis=1)
+    most = 1 + int(np.quantile((visited == homes[:, None]).argmax(axis=1), recall, method="higher"))
 
     def deal(column: str, keep: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

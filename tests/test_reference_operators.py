@@ -251,6 +251,12 @@ def test_top_k_in_blocks_and_approximate(spark, monkeypatch):
     assert hit >= 0.9 * 10 * len(want)
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_of_the_approximate_query(spark, sf):
+    exact, near = ({(r.query_id, r.vec_id) for r in registry.QUERIES[n](spark, f"/root/testdata/{sf}").collect()} for n in ("e2_top_k", "e3_approximate"))
+    assert len(exact & near) >= 0.9 * len(exact) and len(near) == len(exact)
+
+
 def test_vectors_without_direction(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [1.0, None]), (6, [1.0, 0.1]), (7, [])], "vec_id long, v array<double>")
     queries = rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
