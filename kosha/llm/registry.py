@@ -5,6 +5,8 @@ from __future__ import annotations
 from .ann import op3_ann
 from .bpe import op8_bpe
 from .html import op7_html
+from .infill import SQL as INFILL_SQL
+from .infill import op13_infill
 from .media import op9_media
 from .packing import op1_packing
 from .quality import op2_quality
@@ -25,7 +27,8 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_media": op9_media,
     "op10_secrets": op10_secrets,
+    "op13_infill": op13_infill,
 }
 
 #: The others need hashes, tokenizers, models or images that SQL lacks.
-ORACLE_SQL: dict[str, str] = {"op10_secrets": SECRETS_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_secrets": SECRETS_SQL, "op13_infill": INFILL_SQL}
