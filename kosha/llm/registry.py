@@ -8,6 +8,8 @@ from .html import op7_html
 from .infill import SQL as INFILL_SQL
 from .infill import op13_infill
 from .media import op9_media
+from .minhash import SQL as MINHASH_SQL
+from .minhash import op12_minhash
 from .packing import op1_packing
 from .quality import op2_quality
 from .secrets import SQL as SECRETS_SQL
@@ -27,8 +29,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_media": op9_media,
     "op10_secrets": op10_secrets,
+    "op12_minhash": op12_minhash,
     "op13_infill": op13_infill,
 }
 
 #: The others need hashes, tokenizers, models or images that SQL lacks.
-ORACLE_SQL: dict[str, str] = {"op10_secrets": SECRETS_SQL, "op13_infill": INFILL_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_secrets": SECRETS_SQL, "op12_minhash": MINHASH_SQL, "op13_infill": INFILL_SQL}

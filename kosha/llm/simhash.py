@@ -169,7 +169,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shingle_hashes(text: str | None, words: int) -> np.ndarray:
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     """Distinct shingle hashes of a text in order; none for a text without words."""
     w = (text or "").encode().lower().split()
     if not w:
@@ -208,7 +208,7 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             sets, fps, seen = [], [], []
             for cell in batch.column(2):
-                h = _shingle_hashes(cell.as_py(), words)
+                h = shingle_hashes(cell.as_py(), words)
                 sets.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
                 fps.append(_majority(h) if len(h) else 0)
                 seen.append(views(h))
@@ -219,24 +219,24 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, f"rid string, doc_id {kind}, set_id long, fp long, views array<long>")
 
 
-def _sets_of(wanted: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+def sets_of(wanted: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """(set_id, h array of shingle hashes) of wanted (set_id), read from one text of each set."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_shingle_hashes(t.as_py(), words).view(np.int64) for t in batch.column(1)]
+            found = [shingle_hashes(t.as_py(), words).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["set_id", "h"])
 
     named = sets.join(wanted, "set_id").select("set_id", F.col("best.rid").alias("rid"))
     return rows.join(named, "rid").select("set_id", "text").mapInArrow(hashes, "set_id long, h array<long>")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
+def alike(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose whole sets of shingles are similar enough."""
     pairs = scratch.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     # the check needs the sets of candidates alone
     wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    texts = scratch.keep(_sets_of(wanted, sets, rows, words))
+    texts = scratch.keep(sets_of(wanted, sets, rows, words))
     both = pairs.join(texts.select(F.col("set_id").alias("a"), F.col("h").alias("ha")), "a").join(texts.select(F.col("set_id").alias("b"), F.col("h").alias("hb")), "b")
     common = F.size(F.array_intersect("ha", "hb"))
     similar = common / F.greatest(F.size("ha") + F.size("hb") - common, F.lit(1)) >= similarity
@@ -321,15 +321,15 @@ def near_copies(docs: DataFrame, rid: str, words: int = 5, similarity: float = 0
     central = busy.groupBy("view", "value").agg(F.max(F.struct("large", "set_id"))["set_id"].alias("mid"))
     tied = many.join(central, ["view", "value"]).select(F.col("set_id").alias("a"), F.explode(F.array("low", "high", "mid")).alias("b")).where("a <> b")
     pairs = same.unionByName(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).unionByName(mates).unionByName(tied)
-    edges = _alike(pairs, sets, rows, words, similarity, scratch)
+    edges = alike(pairs, sets, rows, words, similarity, scratch)
     roots = components(edges, scratch)
     # large buckets of more than one group so far
     members = many.join(roots, F.col("set_id") == F.col("node"), "left").select("view", "value", "set_id", F.coalesce("root", "set_id").alias("root"))
     apart = members.groupBy("view", "value").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last")
     loose = scratch.keep(members.join(apart, ["view", "value"]).select("set_id", "root").distinct())
     if not loose.isEmpty():
-        texts = scratch.keep(_sets_of(loose.select("set_id"), sets, rows, words).join(loose, "set_id").select("set_id", "root", "h"))
-        more = _alike(rare_mates(texts, similarity, scratch), sets, rows, words, similarity, scratch)
+        texts = scratch.keep(sets_of(loose.select("set_id"), sets, rows, words).join(loose, "set_id").select("set_id", "root", "h"))
+        more = alike(rare_mates(texts, similarity, scratch), sets, rows, words, similarity, scratch)
         roots = components(edges.unionByName(more), scratch)
     named = sets.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "best", F.coalesce("root", "set_id").alias("group"))
     leads = named.groupBy("group").agg(F.min("best").alias("lead"))
