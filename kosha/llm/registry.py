@@ -10,6 +10,8 @@ from .infill import op13_infill
 from .media import op9_media
 from .minhash import SQL as MINHASH_SQL
 from .minhash import op12_minhash
+from .negatives import SQL as NEGATIVES_SQL
+from .negatives import op11_negatives
 from .packing import op1_packing
 from .quality import op2_quality
 from .secrets import SQL as SECRETS_SQL
@@ -29,9 +31,10 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_media": op9_media,
     "op10_secrets": op10_secrets,
+    "op11_negatives": op11_negatives,
     "op12_minhash": op12_minhash,
     "op13_infill": op13_infill,
 }
 
 #: The others need hashes, tokenizers, models or images that SQL lacks.
-ORACLE_SQL: dict[str, str] = {"op10_secrets": SECRETS_SQL, "op12_minhash": MINHASH_SQL, "op13_infill": INFILL_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_secrets": SECRETS_SQL, "op11_negatives": NEGATIVES_SQL, "op12_minhash": MINHASH_SQL, "op13_infill": INFILL_SQL}
