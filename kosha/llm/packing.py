@@ -26,22 +26,42 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from tokenizers import Tokenizer
 
 from .common import Scratch
 
 SIZE = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the same ids as byte_bpe_50k.json, which tests compare
-WHOLE = "byte_bpe_50k.json"  # told for its special tokens, which the ranks lack
+WHOLE = "byte_bpe_50k.json"  # has the special tokens, which the ranks lack
+
+
+class Encoder:
+    """Ids of whole texts: by the ranks, and by the whole tokenizer where the ranks' pattern gives up.
+
+    The pattern of the ranks backtracks over runs of white space, of which it takes some hundred thousand characters.
+    """
+
+    def __init__(self, ranks: str, whole: str):
+        with open(whole, encoding="utf-8") as file:
+            special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        with open(ranks, "rb") as lines:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special)
+        self.whole = Tokenizer.from_file(whole)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+
+    def ids(self, text: str) -> np.ndarray:
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # the pattern's stack is full
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str) -> tiktoken.Encoding:
-    with open(public_tokenizers.path(WHOLE), encoding="utf-8") as file:
-        special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+def _encoder(ranks: str, whole: str) -> Encoder:
+    return Encoder(ranks, whole)
 
 
 def cuts(n: int, size: int) -> list[tuple[int, int]]:
@@ -51,19 +71,21 @@ def cuts(n: int, size: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(
-    docs: DataFrame, vocabulary: str, size: int = SIZE, key: str = "doc_id", text: str = "text", with_ids: bool = False
+    docs: DataFrame, vocabulary: str, size: int = SIZE, key: str = "doc_id", text: str = "text", with_ids: bool = False, whole: str | None = None
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every row of docs; null text: empty, one piece of one id.
 
-    Null keys and repeated rows stay, an empty table gives an empty one, other columns are not read.
+    vocabulary and whole are the paths of one tokenizer's ranks and of its JSON form. Texts of any length and kind are
+    encoded whole. Null keys and repeated rows stay, an empty table gives an empty one, other columns are not read.
     """
+    whole = whole or public_tokenizers.path(WHOLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(vocabulary).encode_to_numpy
+        encode = _encoder(vocabulary, whole).ids
         for batch in batches:
             rows, source, flat = [], [], []
             for i, t in enumerate(batch.column(1)):
-                ids = np.append(encode(t.as_py() or "", allowed_special="all"), END_ID).astype("<u4")
+                ids = np.append(encode(t.as_py() or ""), END_ID).astype("<u4")
                 flat.append(ids)
                 for k, (start, length) in enumerate(cuts(len(ids), size)):
                     rows.append((k, start, length, zlib.crc32(ids[start : start + length].tobytes())))

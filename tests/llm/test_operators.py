@@ -55,6 +55,17 @@ def tokenizer():
 VOCABULARY = public_tokenizers.path(packing.VOCABULARY)
 
 
+LONG = {1: " " * 2_000_000, 2: "\n" * 2_000_000, 3: "a" * 2_000_000, 4: "7" * 2_000_000, 5: "ab 12\n  " * 250_000, 6: "\t" * 1_000_000 + "end", 7: "\u3000" * 700_000, 8: "fine"}
+
+
+def test_packing_of_texts_of_megabytes(spark, tokenizer):
+    """Runs of millions of blanks, line feeds, letters or digits encode as the whole tokenizer does."""
+    rows = packing.packed_documents(spark.createDataFrame([(d, t, "en", "s", 0) for d, t in LONG.items()], DOCS).repartition(4), VOCABULARY)
+    rows = rows.collect()
+    check_packing(rows, tokenizer, LONG)
+    assert {r.doc_id for r in rows} == set(LONG)
+
+
 # packing
 
 
@@ -498,7 +509,7 @@ def test_bpe_equals_library(tokenizer, texts):
         want = tokenizer.encode(text, add_special_tokens=False).ids
         assert codec.encode(text) == want
         assert codec.decode(want) == tokenizer.decode(want, skip_special_tokens=False)
-        assert list(packing._encoding(VOCABULARY).encode(text, allowed_special="all")) == want
+        assert list(packing._encoder(VOCABULARY, public_tokenizers.path(packing.WHOLE)).ids(text)) == want
 
 
 def test_bpe_rows(odd, empty, tokenizer):
