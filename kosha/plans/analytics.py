@@ -218,15 +218,6 @@ def j5(spark, sf):
     return both.select("item_id", F.col("found").isNotNull().alias("hit"), F.coalesce("found", F.lit(0)).alias("found"))
 
 
-@query(
-    "j6_variants",
-    f"""SELECT 'text' AS variant, count(*) AS chunks, round(avg(length(text)), 4) AS mean_length FROM documents UNION ALL SELECT 'line', count(*), round(avg(length(text)), 4) FROM {LINES}""",
-)
-def j6(spark, sf):
-    told = lambda rows, name: rows.agg(F.lit(name).alias("variant"), F.count("*").alias("chunks"), F.round(F.avg(F.length("text")), 4).alias("mean_length"))
-    return told(docs(spark, sf), "text").unionByName(told(lines(spark, sf), "line"))
-
-
 @query("j7_hit_rank", f"SELECT query_id, min(rank) AS first, min(rank) <= 1 AS hit1, min(rank) <= 3 AS hit3 FROM {_TOP} WHERE label = qlabel AND vec_id <> query_id GROUP BY 1")
 def j7(spark, sf):
     good = hits(spark, sf).where("label = qlabel and vec_id <> query_id")
@@ -234,21 +225,6 @@ def j7(spark, sf):
     return good.groupBy("query_id").agg(first.alias("first"), (first <= 1).alias("hit1"), (first <= 3).alias("hit3"))
 
 
-@query(
-    "j8_extraction",
-    """WITH g AS (SELECT source, lang, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY 1, 2), m AS (SELECT DISTINCT source, lang FROM documents WHERE doc_id % 3 = 0),
-       c AS (SELECT (SELECT count(*) FROM g) AS golden, (SELECT count(*) FROM m) AS mined, (SELECT count(*) FROM g JOIN m USING (source, lang)) AS hit)
-       SELECT golden, mined, hit, round(hit / mined, 6) AS precision, round(hit / golden, 6) AS recall, round(2 * hit / (mined + golden), 6) AS f1 FROM c""",
-)
-def j8(spark, sf):
-    rows = docs(spark, sf).select("doc_id", "source", "lang")
-    golden = rows.where("doc_id % 2 = 0").select("source", "lang").distinct().withColumn("g", F.lit(1))
-    mined = rows.where("doc_id % 3 = 0").select("source", "lang").distinct().withColumn("m", F.lit(1))
-    n = golden.join(mined, ["source", "lang"], "full").agg(F.count("g").alias("golden"), F.count("m").alias("mined"), F.count(F.col("g") + F.col("m")).alias("hit"))
-    hit = F.col("hit")
-    return n.select("*", F.round(hit / F.col("mined"), 6).alias("precision"), F.round(hit / F.col("golden"), 6).alias("recall"), F.round(2 * hit / (F.col("mined") + F.col("golden")), 6).alias("f1"))
-
-
 _SUMS = " + ".join(f"pow(sum(embedding[{i}]::DOUBLE), 2)" for i in range(1, 65))
 
 
