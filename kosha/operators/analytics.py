@@ -7,11 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def usage(rows: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
-    """Totals by key (null: unknown) and one row `total` over all."""
-    named = rows.withColumn("k", F.coalesce(F.col(key).cast("string"), F.lit("unknown")))
-    out = named.rollup("k").agg(F.count("*").alias("calls"), *[F.round(F.sum(c), 4).alias(n) for n, c in sums.items()])
-    return out.withColumn("k", F.coalesce("k", F.lit("total")))
+def usage(rows: DataFrame, keys: dict[str, str], sums: dict[str, Column], ts: str, since: Column | None = None, until: Column | None = None, days: int = 30, by_cost: str = "cost") -> DataFrame:
+    """(grouped_by, k, calls, sums...): totals by each of keys (name: column) and over all, within [since, until].
+
+    One pass over grouping sets; grouping_id tells a row over all from a row of nulls, whose k is unknown. By default
+    until is now and since `days` days before it. Highest by_cost first within a grouping. Rows without a time count nowhere; a period without
+    rows gives none.
+    """
+    until = F.current_timestamp() if until is None else until
+    since = until - F.expr(f"interval {days} days") if since is None else since
+    kept = rows.where(F.col(ts).between(since, until)).select(*[F.col(c).cast("string").alias(n) for n, c in keys.items()], *[c.alias(n) for n, c in sums.items()])
+    names = list(keys)
+    made = kept.groupingSets([[n] for n in names] + [[]], *names).agg(
+        F.count("*").alias("calls"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in sums], F.grouping_id(*names).alias("__g"),
+    )
+    whole = 2 ** len(names) - 1
+    by = F.lit("total")
+    k = F.lit("total")
+    for i, n in enumerate(names):
+        mine = F.col("__g") == whole - 2 ** (len(names) - 1 - i)
+        by, k = F.when(mine, n).otherwise(by), F.when(mine, F.coalesce(n, F.lit("unknown"))).otherwise(k)
+    return made.select(by.alias("grouped_by"), k.alias("k"), "calls", *sums).orderBy("grouped_by", F.desc(by_cost), "k")
 
 
 def cost(tokens_in: Column, tokens_out: Column) -> Column:
@@ -55,21 +71,46 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("right")))
 
 
-def retrieval_metrics(hits: DataFrame, truth: DataFrame, least_share: float = 0.5, n_true: DataFrame | None = None) -> DataFrame:
-    """Per query of truth (query_id, vec_id): recall and precision of hits (query_id, vec_id, score) and their median.
+def retrieval_metrics(hits: DataFrame, truth: DataFrame, least_share: float = 0.9, n_true: DataFrame | None = None, books: DataFrame | None = None) -> DataFrame:
+    """(query_id, recall, precision, book_recall, median_score, citation_share, citation_ok) per query of hits or truth.
 
-    A query without truth has recall 1; one without hits has precision 0. With n_true (query_id, n_true), truth needs to
-    hold the relevant hits only.
+    hits (query_id, vec_id, score[, book, cited]), truth (query_id, vec_id), books (query_id, book): what is expected. A
+    query without expected rows or books has recall 1, one without hits precision and citation share 0. citation_ok: at
+    least `least_share` of the hits carry a citation (cited; null counts as none). With n_true (query_id, n_true), truth
+    needs to hold the relevant hits only.
     """
     if n_true is None:
         n_true = truth.groupBy("query_id").agg(F.count("*").alias("n_true"))
-    marked = hits.join(truth.withColumn("good", F.lit(1)), ["query_id", "vec_id"], "left")
-    found = marked.groupBy("query_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.expr("percentile(score, 0.5)").alias("median_score"))
+    for c, kind in (("book", "string"), ("cited", "boolean")):
+        hits = hits if c in hits.columns else hits.withColumn(c, F.lit(None).cast(kind))
+    marked = hits.join(truth.select("query_id", "vec_id", F.lit(1).alias("good")), ["query_id", "vec_id"], "left")
+    cited = F.sum(F.coalesce(F.col("cited").cast("int"), F.lit(0))).alias("cited")
+    found = marked.groupBy("query_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.expr("percentile(score, 0.5)").alias("median_score"), cited)
     both = found.join(n_true, "query_id", "full")
-    good, n = F.coalesce("good", F.lit(0)), F.coalesce("n", F.lit(0))
-    recall = F.when(F.coalesce("n_true", F.lit(0)) == 0, 1.0).otherwise(good / F.col("n_true"))
-    precision = F.when(n == 0, 0.0).otherwise(good / F.greatest(n, F.lit(1)))
-    return both.select("query_id", recall.alias("recall"), precision.alias("precision"), "median_score", (precision >= least_share).alias("cited"))
+    if books is None:
+        both = both.withColumns({"n_books": F.lit(0), "met": F.lit(0)})
+    else:
+        seen = hits.where("book is not null").select("query_id", "book", F.lit(1).alias("met")).distinct()
+        told = books.select("query_id", "book").distinct().join(seen, ["query_id", "book"], "left")
+        both = both.join(told.groupBy("query_id").agg(F.count("*").alias("n_books"), F.count("met").alias("met")), "query_id", "full")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    share = lambda a, b, empty: F.when(zero(b) == 0, empty).otherwise(zero(a) / F.greatest(zero(b), F.lit(1)))
+    cited = share("cited", "n", 0.0)
+    return both.select(
+        "query_id", share("good", "n_true", 1.0).alias("recall"), share("good", "n", 0.0).alias("precision"), share("met", "n_books", 1.0).alias("book_recall"),
+        "median_score", cited.alias("citation_share"), (cited >= least_share).alias("citation_ok"),
+    )
+
+
+def macro_summary(metrics: DataFrame, language: str, pass_recall: float = 0.5) -> DataFrame:
+    """(language, n, recall, precision, book_recall, pass_rate) by language and over all (`all`; a null one is unknown).
+
+    A query passes with a recall of pass_recall or more and enough citations.
+    """
+    passed = ((F.col("recall") >= pass_recall) & F.col("citation_ok")).cast("int")
+    told = [F.round(F.avg(c), 6).alias(c) for c in ("recall", "precision", "book_recall")]
+    made = metrics.withColumn(language, F.coalesce(language, F.lit("unknown"))).withColumn("__p", passed).rollup(language).agg(F.count("*").alias("n"), *told, F.round(F.avg("__p"), 6).alias("pass_rate"))
+    return made.withColumn(language, F.coalesce(language, F.lit("all")))
 
 
 def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:

@@ -120,3 +120,23 @@ def split_large(found: DataFrame, key: list[str], most: int = SECTION_CHARS) ->
 def emit(chunks: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     """chunks with trimmed text of at least `least` characters and its hash."""
     return chunks.withColumn("text", F.trim("text")).where(F.length("text") >= least).withColumn("text_hash", F.sha2("text", 256))
+
+
+def pairing(inputs: DataFrame, outputs: DataFrame, key: str, book: str) -> DataFrame:
+    """(key, book, inputs, outputs, error): how often each id went into a stage and came out of it, and what is wrong.
+
+    error is null where both counts agree, else missing, doubled or foreign (an output without an input, whose book is
+    not known). Null ids count like any other.
+    """
+    went = inputs.groupBy(F.col(key).alias("__k"), book).agg(F.count("*").alias("inputs"))
+    came = outputs.groupBy(key).agg(F.count("*").alias("outputs"))
+    both = went.join(came, F.col("__k").eqNullSafe(F.col(key)), "full")
+    n = {c: F.coalesce(c, F.lit(0)) for c in ("inputs", "outputs")}
+    error = F.when(n["inputs"] == 0, "foreign").when(n["outputs"] > n["inputs"], "doubled").when(n["outputs"] < n["inputs"], "missing")
+    return both.select(F.coalesce("__k", key).alias(key), book, n["inputs"].alias("inputs"), n["outputs"].alias("outputs"), error.alias("error"))
+
+
+def count_guard(paired: DataFrame, book: str) -> DataFrame:
+    """(book, inputs, outputs, missing, doubled, foreign, failed) of pairing's rows: a book fails if any id is not 1:1."""
+    told = [F.count(F.when(F.col("error") == e, 1)).alias(e) for e in ("missing", "doubled", "foreign")]
+    return paired.groupBy(book).agg(F.sum("inputs").alias("inputs"), F.sum("outputs").alias("outputs"), *told, (F.count("error") > 0).alias("failed"))

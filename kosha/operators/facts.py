@@ -126,7 +126,8 @@ def statements(rows: DataFrame, text: str, kind: Column) -> DataFrame:
 
 
 def condition(c: Column) -> Column:
-    found = phrase(F.regexp_extract(F.lower(c), CONDITION, 0), 120)
+    """The condition of a sentence as it is written; its words are looked for in any case."""
+    found = phrase(F.regexp_extract(c, "(?iu)" + CONDITION, 0), 120)
     return F.when(found != "", found)
 
 
@@ -159,3 +160,19 @@ def conflicts(units: DataFrame, subject: list[str], what: str, book: str) -> Dat
     """Subjects that different books give different objects: (subject, objects, books)."""
     found = units.groupBy(*subject).agg(F.countDistinct(what).alias("objects"), F.countDistinct(book).alias("books"))
     return found.where("objects > 1 and books > 1")
+
+
+def review_sample(units: DataFrame, reviewed: DataFrame, reviewers: list, stratum: str, unit: str, reviewer: str, most: int, seed: int = 1) -> DataFrame:
+    """(reviewer, stratum, unit, n): for each reviewer `most` units of every stratum that they have not reviewed.
+
+    Units come in the order of a hash of seed, reviewer and unit, so the choice favours nothing, is the same however
+    rows are dealt out, and a larger sample begins with a smaller one. Only the first `most` of a stratum leave a task.
+    reviewed holds (reviewer, unit); reviewers is a short list. Rows with a null unit take no part; repeated units count
+    once; a null stratum is a stratum.
+    """
+    asked = units.where(F.col(unit).isNotNull()).select(stratum, unit).dropDuplicates([unit]).select("*", F.explode(F.array(*map(F.lit, reviewers))).alias(reviewer))
+    fresh = asked.join(reviewed.select(reviewer, unit), [reviewer, unit], "left_anti")
+    draw = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(reviewer).cast("string"), F.col(unit).cast("string")), 256)
+    order = Window.partitionBy(reviewer, stratum).orderBy("__h", unit)
+    drawn = fresh.withColumn("__h", draw).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    return drawn.select(reviewer, stratum, unit, "n")

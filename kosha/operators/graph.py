@@ -127,14 +127,82 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def subgraph(links: DataFrame, seeds: DataFrame, hops: int, relations: list[str] | None = None) -> DataFrame:
+    """(src, dst, rel, hop): edges that paths of at most `hops` steps from seeds (node) take, each with its least hop.
+
+    Edges are walked both ways and come back as they are stored; relations restricts the walk to those types, before
+    it begins. An edge's hop is one more than the hop of its nearer end. Repeated edges count once.
+    """
+    kept = links.where(F.col("rel").isin(relations)) if relations is not None else links
+    kept = kept.select("src", "dst", "rel").distinct()
+    seen = neighbourhood(kept, seeds, hops)
+    ends = [seen.select(F.col("node").alias(c), F.col("hop").alias(f"__{c}")) for c in ("src", "dst")]
+    both = kept.join(ends[0], "src").join(ends[1], "dst").withColumn("hop", F.least("__src", "__dst") + 1)
+    return both.where(F.col("hop") <= hops).select("src", "dst", "rel", "hop")
+
+
+def resolved(renames: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(old, new) of renames (old, new) with every chain followed to its end: a to b and b to c make a to c.
+
+    Pointers jump twice as far each round, so a chain of n takes log n rounds; each is checkpointed. Raises ValueError
+    for a key that is renamed to two keys and for renames that run in a circle. Renames to the key itself go.
+    """
+    shared_folder(renames.sparkSession)
+    now = renames.where("old is not null and new is not null and old <> new").distinct().checkpoint()
+    if not now.groupBy("old").count().where("count > 1").isEmpty():
+        raise ValueError("a key is renamed to two keys")
+    before = None
+    for _ in range(most_rounds):
+        step = now.select(F.col("old").alias("new"), F.col("new").alias("further"))
+        open_ends = now.join(step, "new").count()
+        if not open_ends:
+            return now
+        if open_ends == before:  # every round ends some chain, unless only circles are left
+            raise ValueError("renames run in a circle")
+        before = open_ends
+        now = now.join(step, "new", "left").select("old", F.coalesce("further", "new").alias("new")).checkpoint()
+    raise RuntimeError(f"renames did not settle in {most_rounds} rounds")
+
+
+def renamed(rows: DataFrame, column: str, renames: DataFrame) -> DataFrame:
+    """rows with the keys in column replaced by what resolved renames (old, new) make of them."""
+    to = renames.select(F.col("old").alias(column), F.col("new").alias("__new"))
+    named = F.coalesce("__new", column).alias(column)
+    return rows.join(to, column, "left").select(*[named if c == column else F.col(c) for c in rows.columns])
+
+
 def merge(links: DataFrame, renames: DataFrame, extra: list[str]) -> DataFrame:
-    """links with ends renamed by (old, new); self-loops and repeated edges go."""
-    a = renames.select(F.col("old").alias("src"), F.col("new").alias("new_src"))
-    b = renames.select(F.col("old").alias("dst"), F.col("new").alias("new_dst"))
-    moved = links.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("new_src", "src").alias("src"), F.coalesce("new_dst", "dst").alias("dst"), *extra)
+    """links with ends renamed by (old, new), chains followed to their end; self-loops and repeated edges go."""
+    return _relinked(links, resolved(renames), extra)
+
+
+def _relinked(links: DataFrame, to: DataFrame, extra: list[str]) -> DataFrame:
+    moved = renamed(renamed(links.select("src", "dst", *extra), "src", to), "dst", to)
     return moved.where("src <> dst").distinct()
 
 
+def merge_concepts(nodes: DataFrame, links: DataFrame, units: DataFrame, renames: DataFrame, labels: list[str], sides: list[str], extra: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nodes, links and units after the concepts of renames (old, new) went into others, chains and all.
+
+    nodes (key, labels..., books array, first_seen): what stays has its own label of each language, or if it has none the
+    one of the smallest merged key that has; aliases holds the labels that gave way; books are united, first_seen is the
+    earliest. A key that only renames know makes no node. links (src, dst, extra...): ends are moved, self-loops and
+    repeated edges go. units: the keys in the columns `sides` are moved, rows stay.
+    """
+    to = resolved(renames)
+    own = renamed(nodes.select("*", F.col("key").alias("__old")), "key", to)
+    rank = F.struct((F.col("__old") != F.col("key")).alias("moved"), "__old")
+    best = [F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), rank)).alias(c) for c in labels]
+    every = F.array_distinct(F.flatten(F.collect_set(F.filter(F.array(*labels), lambda x: x.isNotNull()))))
+    united = F.array_distinct(F.flatten(F.collect_set("books")))
+    made = own.groupBy("key").agg(*best, every.alias("__labels"), F.sort_array(united).alias("books"), F.min("first_seen").alias("first_seen"))
+    kept = F.array_except("__labels", F.filter(F.array(*labels), lambda x: x.isNotNull()))
+    made = made.select("key", *labels, "books", "first_seen", F.sort_array(kept).alias("aliases"))
+    for side in sides:
+        units = renamed(units, side, to)
+    return made, _relinked(links, to, extra), units
+
+
 def first_edges(links: DataFrame, most: int, order: list[str]) -> DataFrame:
     w = Window.partitionBy("src").orderBy(*order)
     return links.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)

@@ -97,7 +97,7 @@ def f7(spark, sf):
     return K.statements(mined(spark, sf).select("doc_id", "pos", "s"), "s", F.lit("claim")).drop("s")
 
 
-@query("f8_condition", f"SELECT doc_id, pos, {_phrase(f'''regexp_extract(low, '{K.CONDITION}', 0)''', 120)} AS condition FROM {_S} WHERE regexp_matches(low, '{K.CONDITION}')")
+@query("f8_condition", f"SELECT doc_id, pos, {_phrase(f'''regexp_extract(s, '(?i){K.CONDITION}', 0)''', 120)} AS condition FROM {_S} WHERE regexp_matches(s, '(?i){K.CONDITION}')")
 def f8(spark, sf):
     return mined(spark, sf).select("doc_id", "pos", K.condition(F.col("s")).alias("condition")).where("condition is not null")
 
@@ -197,6 +197,19 @@ def f19(spark, sf):
     return both.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("precision"))
 
 
+@query(
+    "f19_review_sample",
+    """WITH u AS (SELECT DISTINCT l.doc_id, source FROM labels l JOIN documents d ON d.doc_id = l.doc_id), a AS (SELECT doc_id, source, reviewer FROM u, (VALUES (1), (2), (3)) v(reviewer) WHERE NOT EXISTS (SELECT 1 FROM labels x WHERE x.doc_id = u.doc_id AND x.quality + 1 = reviewer))
+       SELECT reviewer, source, doc_id, n FROM (SELECT *, row_number() OVER (PARTITION BY reviewer, source ORDER BY sha256('1:' || reviewer || ':' || doc_id), doc_id) AS n FROM a) WHERE n <= 5""",
+)
+def f19_sample(spark, sf):
+    """Five units of every source for each of three reviewers; reviewer quality + 1 has seen a labelled document."""
+    labels = table(spark, sf, "labels")
+    rows = labels.select("doc_id").join(docs(spark, sf).select("doc_id", "source"), "doc_id")
+    seen = labels.select((F.col("quality") + 1).alias("reviewer"), "doc_id")
+    return K.review_sample(rows, seen, [1, 2, 3], "source", "doc_id", "reviewer", 5)
+
+
 @query("f20_key_backfill", r"SELECT p_partkey, CASE WHEN p_size > 25 THEN trim(regexp_replace(lower(p_name), '\s+', ' ', 'g')) ELSE p_brand END AS key FROM part")
 def f20(spark, sf):
     rows = table(spark, sf, "part").select("p_partkey", "p_name", F.when(F.col("p_size") <= 25, F.col("p_brand")).alias("key"))

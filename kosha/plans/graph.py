@@ -173,15 +173,59 @@ def g12(spark, sf):
     return G.components(same_as(spark, sf).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
+@query(
+    "g9_edges",
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst, rel FROM {_EDGES} WHERE rel = 'FROM'), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+        w AS (SELECT 's' || s_suppkey AS node, 0 AS hop FROM supplier WHERE s_suppkey <= 3 UNION SELECT b.dst, hop + 1 FROM w JOIN b ON b.src = w.node WHERE hop < 3), n AS (SELECT node, min(hop) AS hop FROM w GROUP BY 1)
+        SELECT src, dst, rel, least(x.hop, y.hop) + 1 AS hop FROM e JOIN n x ON x.node = src JOIN n y ON y.node = dst WHERE least(x.hop, y.hop) + 1 <= 3""",
+)
+def g9_edges(spark, sf):
+    """Edges of one relation type within three hops of three suppliers."""
+    seeds = table(spark, sf, "supplier").where("s_suppkey <= 3").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
+    return G.subgraph(graph(spark, sf), seeds, 3, ["FROM"])
+
+
+# every part but the first of a run of four goes into the one before it, so renames form chains
+_MERGES = "(SELECT 'p' || p_partkey AS old, 'p' || (p_partkey - p_partkey % 4) AS new FROM part WHERE p_partkey % 4 <> 0 AND p_partkey > 4)"
+
+
+def part_merges(spark, sf):
+    key = lambda c: F.concat(F.lit("p"), c)
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").where("p_partkey % 4 <> 0 and p_partkey > 4").select(key(k).alias("old"), key(k - 1).alias("new"))
+
+
+def merged(spark, sf):
+    rows = units(spark, sf)
+    links = rows.select(F.col("subject").alias("src"), F.col("object").alias("dst"), F.col("l_returnflag").alias("rel"))
+    return G.merge_concepts(concept_nodes(spark, sf), links, rows.select("l_orderkey", "l_linenumber", "subject", "object"), part_merges(spark, sf), ["label_en", "label_mr"], ["subject", "object"], ["rel"])
+
+
 @query(
     "g13_merge",
-    f"""WITH m AS (SELECT 'n' || n_nationkey AS old, 'n' || (n_nationkey - 1) AS new FROM nation WHERE n_nationkey % 2 = 1)
-        SELECT DISTINCT coalesce(a.new, src) AS src, coalesce(b.new, dst) AS dst, rel FROM {_EDGES} LEFT JOIN m a ON a.old = src LEFT JOIN m b ON b.old = dst WHERE coalesce(a.new, src) <> coalesce(b.new, dst)""",
+    f"""WITH e AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, l_returnflag AS rel FROM lineitem)
+        SELECT DISTINCT coalesce(a.new, src) AS src, coalesce(b.new, dst) AS dst, rel FROM e LEFT JOIN {_MERGES} a ON a.old = src LEFT JOIN {_MERGES} b ON b.old = dst WHERE coalesce(a.new, src) <> coalesce(b.new, dst)""",
 )
 def g13(spark, sf):
-    key = lambda c: F.concat(F.lit("n"), c)
-    pairs = table(spark, sf, "nation").where("n_nationkey % 2 = 1").select(key(F.col("n_nationkey")).alias("old"), key(F.col("n_nationkey") - 1).alias("new"))
-    return G.merge(graph(spark, sf), pairs, ["rel"])
+    return merged(spark, sf)[1]
+
+
+@query(
+    "g13_nodes",
+    f"""WITH n AS ({_NODES} SELECT key, arg_max(label, (o, n, label)) FILTER (WHERE language = 'en') AS label_en, arg_max(label, (o, n, label)) FILTER (WHERE language = 'mr') AS label_mr, list(DISTINCT book) AS books, min(ts) AS first_seen FROM u GROUP BY key),
+        m AS (SELECT n.*, coalesce(new, key) AS home FROM n LEFT JOIN {_MERGES} ON old = key),
+        g AS (SELECT home AS key, arg_min(label_en, (key <> home, key)) FILTER (WHERE label_en IS NOT NULL) AS label_en, arg_min(label_mr, (key <> home, key)) FILTER (WHERE label_mr IS NOT NULL) AS label_mr,
+              len(list_distinct(flatten(list(books)))) AS books, min(first_seen) AS first_seen, list_distinct(flatten(list([label_en, label_mr]))) AS l FROM m GROUP BY 1)
+        SELECT key, label_en, label_mr, books, first_seen, array_to_string(list_sort([x for x in l if x IS NOT NULL AND x IS DISTINCT FROM label_en AND x IS DISTINCT FROM label_mr]), ',') AS aliases FROM g""",
+)
+def g13_nodes(spark, sf):
+    made = merged(spark, sf)[0]
+    return made.withColumns({"books": F.size("books").cast("long"), "aliases": F.array_join("aliases", ",")})
+
+
+@query("g13_units", f"SELECT l_orderkey, l_linenumber, coalesce(new, 'p' || l_partkey) AS subject, 's' || l_suppkey AS object FROM lineitem LEFT JOIN {_MERGES} ON old = 'p' || l_partkey")
+def g13_units(spark, sf):
+    return merged(spark, sf)[2]
 
 
 @query(

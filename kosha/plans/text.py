@@ -378,12 +378,31 @@ def d7(spark, sf):
     return insert_if_absent(done, docs(spark, sf).select("doc_id"), ["doc_id"], F.col("doc_id"))
 
 
+# outputs of a stage: a label is one; some come twice, some belong to no input
+_MADE = "(SELECT doc_id FROM labels WHERE doc_id % 11 <> 0 UNION ALL SELECT doc_id FROM labels WHERE doc_id % 7 = 0 UNION ALL SELECT -doc_id - 1 FROM labels WHERE doc_id % 13 = 0)"
+_PAIRING = f"""(SELECT coalesce(i.doc_id, o.doc_id) AS doc_id, source, coalesce(i.n, 0) AS inputs, coalesce(o.n, 0) AS outputs FROM (SELECT doc_id, source, count(*) AS n FROM documents GROUP BY 1, 2) i
+    FULL JOIN (SELECT doc_id, count(*) AS n FROM {_MADE} GROUP BY 1) o ON i.doc_id = o.doc_id)"""
+
+
+def _paired(spark, sf):
+    k = F.col("doc_id")
+    labels = table(spark, sf, "labels").select("doc_id")
+    made = labels.where(k % 11 != 0).unionByName(labels.where(k % 7 == 0)).unionByName(labels.where(k % 13 == 0).select((-k - 1).alias("doc_id")))
+    return C.pairing(docs(spark, sf), made, "doc_id", "source")
+
+
 @query(
     "d8_count_guard",
-    """SELECT source, count(*) AS inputs, count(l.doc_id) AS outputs, count(*) <> count(l.doc_id) AS failed
-       FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1""",
+    f"""SELECT source, sum(inputs)::BIGINT AS inputs, sum(outputs)::BIGINT AS outputs, sum((inputs > outputs)::INT)::BIGINT AS missing, sum((inputs > 0 AND outputs > inputs)::INT)::BIGINT AS doubled,
+        sum((inputs = 0)::INT)::BIGINT AS foreign, bool_or(inputs <> outputs) AS failed FROM {_PAIRING} GROUP BY 1""",
 )
 def d8(spark, sf):
-    made = table(spark, sf, "labels").select("doc_id", F.lit(1).alias("made"))
-    both = docs(spark, sf).select("source", "doc_id").join(made, "doc_id", "left")
-    return both.groupBy("source").agg(F.count("*").alias("inputs"), F.count("made").alias("outputs")).withColumn("failed", F.expr("inputs <> outputs"))
+    return C.count_guard(_paired(spark, sf), "source")
+
+
+@query(
+    "d8_errors",
+    f"SELECT doc_id, source, inputs, outputs, CASE WHEN inputs = 0 THEN 'foreign' WHEN outputs > inputs THEN 'doubled' ELSE 'missing' END AS error FROM {_PAIRING} WHERE inputs <> outputs",
+)
+def d8_errors(spark, sf):
+    return _paired(spark, sf).where("error is not null")
