@@ -21,11 +21,15 @@ def events(spark, sf):
 
 @query(
     "k1_progress",
-    f"SELECT event_id, p FROM (SELECT event_id, {_BAND}::BIGINT AS p, lag({_BAND}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events WHERE value IS NOT NULL) WHERE b IS NULL OR b <> p",
+    f"""WITH e AS (SELECT event_id, user_id, ts, {_BAND}::BIGINT AS p, event_type = 'purchase' AS done, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 90 MINUTE, false) AS gap FROM events),
+        r AS (SELECT *, sum(gap::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e),
+        w AS (SELECT *, coalesce(bool_or(done) OVER v, false) AS over, last_value(p IGNORE NULLS) OVER v AS b FROM r WINDOW v AS (PARTITION BY user_id, run ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        SELECT event_id, p, done FROM w WHERE NOT over AND (done OR (p IS NOT NULL AND (b IS NULL OR b <> p)))""",
 )
 def k1(spark, sf):
-    rows = events(spark, sf).withColumn("p", F.floor(F.col("value") / 25))
-    return M.progress_changes(rows, "user_id", ["ts", "event_id"], "p").select("event_id", "p")
+    """A user's events as one job's: a purchase completes it, quarters of the value are its progress."""
+    rows = events(spark, sf).withColumn("p", F.floor(F.col("value") / 25)).withColumn("state", F.when(F.col("event_type") == "purchase", "completed").otherwise("running"))
+    return M.progress_changes(rows, "user_id", ["ts", "event_id"], "p", "state").select("event_id", "p", (F.col("state") == "completed").alias("done"))
 
 
 @query("k2_ingest", f"SELECT DISTINCT doc_id, trim(text) AS text, sha256(trim(text)) AS text_hash FROM {LINES} WHERE length(trim(text)) >= 50")

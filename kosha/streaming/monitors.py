@@ -4,19 +4,40 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 
-def progress_changes(events: DataFrame, job: str, order: list[str], progress: str) -> DataFrame:
-    """Batch form: the events that change a job's progress."""
-    before = F.lag(progress).over(Window.partitionBy(job).orderBy(*order))
-    return events.where(F.col(progress).isNotNull()).withColumn("__b", before).where(F.col("__b").isNull() | (F.col("__b") != F.col(progress))).drop("__b")
+#: Job states after which nothing of a job is reported, and the minutes of silence after which it is forgotten.
+ENDED = ("completed", "failed", "canceled")
+FORGOTTEN = 90
+
+
+def progress_changes(events: DataFrame, job: str, order: list[str], progress: str, state: str | None = None, ended: tuple[str, ...] = ENDED, minutes: int = FORGOTTEN) -> DataFrame:
+    """Batch form: the events that change a job's progress; order begins with the event's time.
+
+    With a column `state`, an event of an ended state is the last of its job that is told (told even if its progress is
+    the old one), and after `minutes` without any event a job is forgotten: what comes then is told as of a new job.
+    Without `state` only changes count. Events without progress tell nothing, but keep a job alive.
+    """
+    w = Window.partitionBy(job).orderBy(*order)
+    if state is None:
+        before = F.lag(progress).over(w)
+        return events.where(F.col(progress).isNotNull()).withColumn("__b", before).where(F.col("__b").isNull() | (F.col("__b") != F.col(progress))).drop("__b")
+    gap = F.coalesce(F.col(order[0]) > F.lag(order[0]).over(w) + F.expr(f"interval {minutes} minutes"), F.lit(False))
+    rows = events.withColumn("__g", gap).withColumn("__run", F.sum(F.col("__g").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(job, "__run").orderBy(*order)
+    earlier = run.rowsBetween(Window.unboundedPreceding, -1)
+    over = F.coalesce(F.col(state).isin(*ended), F.lit(False))
+    rows = rows.withColumns({"__over": over, "__done": F.coalesce(F.max(over).over(earlier), F.lit(False)), "__b": F.last(progress, ignorenulls=True).over(earlier)})
+    new = F.col(progress).isNotNull() & (F.col("__b").isNull() | (F.col("__b") != F.col(progress)))
+    return rows.where(~F.col("__done") & (new | F.col("__over"))).drop("__g", "__run", "__over", "__done", "__b")
 
 
 def in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -25,28 +46,58 @@ def in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class ProgressProcessor(StatefulProcessor):
-    """Stream form: keeps each job's last progress and emits rows (job, progress) on a change."""
+    """Stream form: a job's last progress, whether it ended and its last event; a timer forgets it after the silence."""
+
+    def __init__(self, ended: tuple[str, ...] = ENDED, minutes: int = FORGOTTEN):
+        self._ended, self._wait = set(ended), minutes * 60_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", StructType([StructField("p", DoubleType())]))
+        self._handle = handle
+        shape = StructType([StructField("p", DoubleType()), StructField("done", BooleanType()), StructField("at", LongType())])
+        self._job = handle.getValueState("job", shape)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out, last = [], self._last.get()[0] if self._last.exists() else None
-        for p in in_order(rows)["progress"].dropna():
-            if last is None or p != last:
-                out.append((key[0], p))
-                last = p
-        if last is not None:
-            self._last.update((float(last),))
-        yield pd.DataFrame(out, columns=["job", "progress"])
+        last, done, at = self._job.get() if self._job.exists() else (None, False, None)
+        out, old = [], at
+        for row in in_order(rows).itertuples():
+            now = row.ts.value // 1_000_000
+            if at is not None and now > at + self._wait:
+                last, done = None, False
+            at = now if at is None else max(at, now)
+            over, known = row.state in self._ended, row.progress == row.progress and row.progress is not None
+            if not done and (over or (known and row.progress != last)):
+                out.append((key[0], row.ts, row.progress if known else None, row.state))
+            last, done = (row.progress if known else last), done or over
+        if old is not None:
+            self._handle.deleteTimer(old + self._wait)
+        self._handle.registerTimer(at + self._wait)
+        self._job.update((None if last is None else float(last), done, at))
+        yield pd.DataFrame(out, columns=["job", "ts", "progress", "state"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._job.clear()
+        yield pd.DataFrame([], columns=["job", "ts", "progress", "state"])
 
     def close(self) -> None:
         pass
 
 
-def progress_stream(stream: DataFrame) -> DataFrame:
-    """Rows (job, progress) of a stream (job, ts, event_id, progress) whenever a job's progress changes."""
-    return stream.groupBy("job").transformWithStateInPandas(ProgressProcessor(), "job long, progress double", "Append", "None")
+def on_disk(spark) -> None:
+    """State of this session's streams goes to RocksDB on the executors' disks instead of their memory."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in (spark.conf.get(name, None) or ""):
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def progress_stream(stream: DataFrame, late: str = "10 minutes", ended: tuple[str, ...] = ENDED, minutes: int = FORGOTTEN) -> DataFrame:
+    """Rows (job, ts, progress, state) of a stream (job, ts, event_id, progress, state): those of progress_changes.
+
+    A job's state is three values; it goes when the watermark (`late` behind the newest event) is `minutes` past the
+    job's last event, ended or not. Events later than the watermark are left out.
+    """
+    on_disk(stream.sparkSession)
+    keyed = stream.withWatermark("ts", late).groupBy("job")
+    return keyed.transformWithStateInPandas(ProgressProcessor(ended, minutes), "job long, ts timestamp, progress double, state string", "Append", "EventTime")
 
 
 def streaks(events: DataFrame, user: str, order: list[str], failed: str, length: int = 5, minutes: int = 15) -> DataFrame:
@@ -86,6 +137,7 @@ class StreakProcessor(StatefulProcessor):
 
 def lockout_stream(stream: DataFrame, length: int = 5, minutes: int = 15) -> DataFrame:
     """Rows (user_id, ts, until) of a stream (user_id, ts, event_id, failed), the same in every replay as of streaks."""
+    on_disk(stream.sparkSession)
     return stream.groupBy("user_id").transformWithStateInPandas(StreakProcessor(length, minutes), "user_id long, ts timestamp, until timestamp", "Append", "None")
 
 
@@ -123,11 +175,43 @@ def recent(events: DataFrame, hours: int = 10, most: int = 20) -> DataFrame:
     return kept.orderBy(F.desc("ts"), F.desc("event_id")).limit(most)
 
 
-def ingest(stream: DataFrame, target: str, checkpoint: str, chunk, keys: list[str]):
-    """Start a query that appends the chunks of new documents once each; safe to run again from its checkpoint.
+BUCKETS = 256
+
+
+def ingest(stream: DataFrame, target: str, checkpoint: str, chunk, keys: list[str], scope: str | None = None, buckets: int = BUCKETS):
+    """Start a query that appends the chunks of new documents once each; safe to run again, from any of its batches.
 
-    chunk maps documents to chunks that hold keys. The keys written so far are the query's state, dealt out by hash, so
-    a batch reads no target; the file sink commits each batch once, also after a failure.
+    chunk maps documents to chunks that hold keys. The target is dealt out by a hash of `scope` (the first key) in
+    folders `bucket=n`; a batch reads the keys of those buckets alone that its own rows fall in, leaves out what is there
+    and appends the rest. So the query has no state that grows, and a batch that failed half-way and comes again adds only
+    what is missing. Rows of a batch that repeat a key are one.
     """
-    new = chunk(stream).dropDuplicates(keys)
-    return new.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    scope = scope or keys[0]
+
+    def append(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        made = chunk(batch).dropDuplicates(keys).withColumn("bucket", F.pmod(F.xxhash64(scope), F.lit(buckets)).cast("int"))
+        made = made.persist()
+        try:
+            touched = [r.bucket for r in made.select("bucket").distinct().collect()]  # at most `buckets`
+            if touched:
+                held = _held(spark, target, made.schema)
+                if held is not None:
+                    known = held.where(F.col("bucket").isin(touched)).select("bucket", *keys)
+                    on = reduce(lambda a, b: a & b, [made[c].eqNullSafe(known[c]) for c in ("bucket", *keys)])
+                    fresh = made.join(known, on, "left_anti")
+                else:
+                    fresh = made
+                fresh.repartition("bucket").write.partitionBy("bucket").mode("append").parquet(target)
+        finally:
+            made.unpersist()
+
+    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _held(spark, target: str, schema: StructType) -> DataFrame | None:
+    """The rows of a target written so far; None before its first batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema(schema).parquet(target)
