@@ -77,9 +77,13 @@ def a7(spark, sf):
        CASE WHEN o_orderkey % 10 = 0 THEN 2 ELSE 1 END AS version FROM orders""",
 )
 def a8(spark, sf):
+    """The orders as a table on disk, and two batches merged into it: news, and old versions that change nothing."""
+    path = f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}/orders"
     now = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.lit(1).alias("version"))
-    new = now.where("o_orderkey % 10 = 0").select("o_orderkey", F.lit("U").alias("status"), F.lit(2).alias("version"))
-    return S.upsert(now, new, ["o_orderkey"], "version")
+    S.upsert_into(now, path, ["o_orderkey"], "version", 8)
+    S.upsert_into(now.where("o_orderkey % 10 = 0").select("o_orderkey", F.lit("U").alias("status"), F.lit(2).alias("version")), path, ["o_orderkey"], "version", 8)
+    S.upsert_into(now.where("o_orderkey % 7 = 0").select("o_orderkey", F.lit("OLD").alias("status"), F.lit(0).alias("version")), path, ["o_orderkey"], "version", 8)
+    return spark.read.parquet(path).select("o_orderkey", "status", "version")
 
 
 @query("a9_jsonl_sink", "SELECT p_partkey, p_name, p_size FROM part")

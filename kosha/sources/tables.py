@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -108,3 +109,71 @@ def normalised(df: DataFrame, column: str) -> DataFrame:
     marked = F.col(column).rlike(r"\p{M}")
     plain = df.where(~F.coalesce(marked, F.lit(False)))
     return plain.unionByName(df.where(marked).withColumn(column, nfc(column)))
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str, where: Column | None = None, parts: int = 16, driver: str | None = None, order: list[str] | None = None) -> DataFrame:
+    """Rows of a relational table, read by `parts` tasks that each ask for a range of the whole-number column key.
+
+    The bounds are asked for first, by a query that the database answers. where, and any other filter or choice of
+    columns put on the result, is the database's work, too. A table without rows or with one key is one task; rows with
+    a null key belong to the first range. order sorts by ranges, as by creation.
+    """
+    options = {"url": url} | ({"driver": driver} if driver else {})
+    name = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    low, high = spark.read.format("jdbc").options(**options).option("query", f"SELECT MIN({name}) AS a, MAX({name}) AS b FROM {table}").load().first()
+    reader = spark.read.format("jdbc").options(**options).option("dbtable", table)
+    if low is not None and high > low:
+        reader = reader.options(partitionColumn=key, lowerBound=str(low), upperBound=str(high + 1), numPartitions=str(min(parts, high - low + 1)))
+    rows = reader.load()
+    rows = rows if where is None else rows.where(where)
+    return rows.orderBy(*order) if order else rows
+
+
+#: Folders that a table kept by upsert_into is dealt out in.
+UPSERT_BUCKETS = 64
+
+
+def upsert_into(batch: DataFrame, path: str, keys: list[str], version: str, buckets: int = UPSERT_BUCKETS) -> int:
+    """Merge batch into the Parquet table at path, the greatest version of each key staying; the number of touched buckets.
+
+    The table is dealt out by a hash of keys in folders `bucket=n`. Only buckets that the batch falls in are read, merged
+    and written, first to a folder of their own beside the table: a batch that fails until then leaves the table as it
+    was. The swap then replaces these buckets by dynamic overwrite, which moves finished files folder by folder, and can be
+    run again. Of equal versions the table's row stays, and of a batch's equal ones the first by its other columns.
+    Null keys are a key. Writers of one table take turns.
+    """
+    spark = batch.sparkSession
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    new = batch.withColumn("bucket", bucket)
+    touched = sorted(r.bucket for r in new.select("bucket").distinct().collect())  # at most `buckets`
+    if not touched:
+        return 0
+    both = new.withColumn("__old", F.lit(0))
+    if _exists(spark, path):
+        held = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
+        both = both.unionByName(held.withColumn("__old", F.lit(1)))
+    order = Window.partitionBy("bucket", *keys).orderBy(F.desc_nulls_last(version), F.desc("__old"), F.xxhash64(*batch.columns))
+    best = both.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "__old")
+    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+    try:
+        best.repartition("bucket").write.partitionBy("bucket").parquet(staged)
+        done = spark.read.schema(new.schema).parquet(staged)
+        done.repartition("bucket").write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    finally:
+        _delete(spark, staged)
+    return len(touched)
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where, system = _folder(spark, path)
+    return system.exists(where)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where, system = _folder(spark, path)
+    system.delete(where, True)
