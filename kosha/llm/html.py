@@ -7,13 +7,14 @@ reference's container that its own container matches, and the kinds of elements
 
 Spark counts over all pages of a group what each slot holds. Text that most pages hold in one slot is template; the
 rest varies. The wrapper of a group follows from these counts: its region is the innermost container that still holds
-most of the varying text, its titles are varying first-level headings beside the way down, and slots inside the region
-that hold links alone are left out. A page's text is what its slots inside the region hold, without template lines and
-without what HTML itself marks as something else (navigation, asides, footers, forms, hidden parts). A page that
-matches no region, or that has no host, goes by its own tree, with the same rule for the region.
-
-The wrapper of a group is about as large as the slots of one page; groups are only ever aggregated, so a host with a
-third of all pages stays spread over tasks.
+most of the varying text, its titles are varying first-level headings beside the way down, and slots that hold links
+alone on half of the pages are left out, unless the region is an article element. A page's text is what its slots inside
+the region hold, without template lines before its first and after its last varying block (between them they are
+headings, by-lines, labels) and without what HTML itself marks as something else (navigation, asides, footers, forms,
+hidden parts). A page that matches no region, or that has no host, goes by its own tree, with the same rule for the region.
+
+Groups are only ever aggregated: the tree of a reference meets sums by its own nodes, and a wrapper holds lines and slots
+that half of a group's pages have at least, so a host with a third of all pages stays spread over tasks.
 """
 
 from __future__ import annotations
@@ -39,9 +40,8 @@ CONSTANT_SHARE = 0.8
 LEAST_CONSTANT = 4
 #: Template lines that make up more of a page's region than this are no template: the page is one of many near copies.
 MOST_CONSTANT = 0.5
-#: Share of linked characters from which on a slot is a list of links, and different pages that a group needs to tell.
+#: Share of linked characters from which on a slot is a list of links.
 LINK_SHARE = 0.9
-LEAST_LINKED = 3
 #: Subtree shapes and reference trees that a worker remembers before it starts afresh.
 MOST_SHAPES = 200_000
 MOST_REFERENCES = 256
@@ -443,34 +443,45 @@ def wrappers(pages: DataFrame, refs: DataFrame, scratch: Scratch) -> DataFrame:
     told = scratch.keep(
         told.groupBy("page_group", "all_pages", "anchor", "slot", "head").agg(
             F.sum("pages").alias("seen"),
-            F.sum(F.when(~F.col("constant"), F.col("n"))).alias("varying"),
-            F.sum(F.when(~F.col("constant"), F.col("linked"))).alias("linked"),
+            F.coalesce(F.sum(F.when(~F.col("constant"), F.col("n"))), F.lit(0)).alias("varying"),
+            F.coalesce(F.sum(F.when(~F.col("constant"), F.col("linked"))), F.lit(0)).alias("linked"),
             F.collect_list(F.when(F.col("constant"), F.col("hash"))).alias("hashes"),
         )
     )
+    # the tree needs counts by reference node alone, as many as the reference page has nodes
+    plain = told.groupBy("page_group", "anchor").agg(F.sum(F.col("varying") - F.col("linked")).alias("plain"))
 
     def learn(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         sys.setrecursionlimit(1_000_000)
         if not len(left) or not len(right):
-            return pd.DataFrame([], columns=["page_group", "inside", "titles", "links", "constants"])
-        tree, rows = Tree(right["reference"].iloc[0]), left.fillna({"varying": 0, "linked": 0})
-        plain = (rows["varying"] - rows["linked"]).groupby(rows["anchor"]).sum()
-        at = region_of(tree, {int(i): int(n) for i, n in plain.items()})
-        inside = _inside(tree, at)
-        above = set()
+            return pd.DataFrame([], columns=["page_group", "inside", "held", "above", "marked"])
+        tree = Tree(right["reference"].iloc[0])
+        at = region_of(tree, {int(i): int(n) for i, n in zip(left["anchor"], left["plain"])})
+        inside, marked = _inside(tree, at), tree.nodes[at].tag == "article"
+        above = []
         while at > 0:
             at = tree.parent[at]
-            above.add(at)
-        held, varying = rows["anchor"].isin(inside), rows["varying"] > 0
-        titles = rows[rows["anchor"].isin(above) & rows["head"] & varying & (rows["seen"] * 2 >= rows["all_pages"])]
-        links = rows[held & varying & (rows["linked"] >= LINK_SHARE * rows["varying"]) & (rows["all_pages"] >= LEAST_LINKED)]
-        constants = [{"slot": s, "hash": h} for s, hs in zip(rows[held]["slot"], rows[held]["hashes"]) for h in hs]
-        return pd.DataFrame(
-            {"page_group": [right["page_group"].iloc[0]], "inside": [_containers(tree, inside)], "titles": [titles["slot"].tolist()], "links": [links["slot"].tolist()], "constants": [constants]}
-        )
-
-    out = "page_group string, inside array<int>, titles array<long>, links array<long>, constants array<struct<slot:long,hash:long>>"
-    return scratch.keep(told.groupBy("page_group").cogroup(refs.groupBy("page_group")).applyInPandas(learn, out))
+            above.append(at)
+        return pd.DataFrame({"page_group": [right["page_group"].iloc[0]], "inside": [_containers(tree, inside)], "held": [sorted(inside)], "above": [above], "marked": [marked]})
+
+    regions = plain.groupBy("page_group").cogroup(refs.groupBy("page_group")).applyInPandas(learn, "page_group string, inside array<int>, held array<int>, above array<int>, marked boolean")
+    regions = scratch.keep(regions)
+    # what half of a group's pages have, and lines of CONSTANT_SHARE of them: no more than a few pages hold
+    often = F.col("seen") * 2 >= F.col("all_pages")
+    rows = told.where(often | (F.size("hashes") > 0)).join(regions.select("page_group", "held", "above", "marked"), "page_group")
+    held, varies = F.array_contains("held", F.col("anchor")), often & (F.col("varying") > 0)
+    title = F.array_contains("above", F.col("anchor")) & F.col("head") & varies
+    # links of an article element are its sources, and a page alone says nothing of its slots
+    link = held & varies & ~F.col("marked") & (F.col("all_pages") > 1) & (F.col("linked") >= LINK_SHARE * F.col("varying"))
+    fixed = F.transform("hashes", lambda h: F.struct(F.col("slot"), h.alias("hash")))
+    found = rows.groupBy("page_group").agg(
+        F.collect_list(F.when(title, F.col("slot"))).alias("titles"), F.collect_list(F.when(link, F.col("slot"))).alias("links"),
+        F.flatten(F.collect_list(F.when(held, fixed))).alias("constants"),
+    )
+    empty = F.array().cast("array<long>")
+    both = regions.select("page_group", "inside").join(found, "page_group", "left")
+    nothing = F.array().cast("array<struct<slot:long,hash:long>>")
+    return scratch.keep(both.select("page_group", "inside", F.coalesce("titles", empty).alias("titles"), F.coalesce("links", empty).alias("links"), F.coalesce("constants", nothing).alias("constants")))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -486,18 +497,23 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     refs = references(rows, scratch)
     read = scratch.keep(aligned(rows.join(refs, "page_group", "left")))
     told = read.join(wrappers(read, refs, scratch), "page_group", "left")
-    held = lambda b: ~b["out"] & F.array_contains("inside", b["anchor"]) & ~F.array_contains("links", b["slot"])
+    inside = lambda b: ~b["out"] & F.array_contains("inside", b["anchor"])
+    held = lambda b: inside(b) & ~F.array_contains("links", b["slot"])
     fixed = lambda b: F.array_contains("constants", F.struct(b["slot"].alias("slot"), b["hash"].alias("hash")))
     chars = lambda blocks: F.aggregate(blocks, F.lit(0), lambda n, b: n + b["n"])
+    title = lambda b: ~b["out"] & F.array_contains("titles", b["slot"])
     inner = F.filter("blocks", held)
-    told = told.withColumns({"inner": inner, "fixed": chars(F.filter(inner, fixed))})
+    told = told.withColumns({"inner": inner, "shown": F.filter("blocks", lambda b: held(b) | title(b)), "fixed": chars(F.filter(inner, fixed))})
+    # a template line goes at the edges of a page's text; between varying blocks it is a heading, a by-line or a label
+    told = told.withColumn("same", F.transform("shown", lambda b: fixed(b) & ~title(b)))
+    first = F.array_position("same", F.lit(False))
+    last = F.size("same") + 1 - F.array_position(F.reverse("same"), F.lit(False))
+    told = told.withColumns({"first": first, "last": last})
     # a page that is template for the most part is one of many near copies, and keeps its lines
     drop = F.col("fixed") <= MOST_CONSTANT * chars(F.col("inner"))
-    title = lambda b: ~b["out"] & F.array_contains("titles", b["slot"])
-    varying = F.filter("blocks", lambda b: (held(b) & ~fixed(b)) | title(b))
-    chosen = F.when(drop, varying).otherwise(F.filter("blocks", lambda b: held(b) | title(b)))
+    between = F.filter("shown", lambda b, i: (F.col("first") > 0) & (i + 1 >= F.col("first")) & (i + 1 <= F.col("last")))
     own = F.filter("blocks", lambda b: b["own"])
-    kept = F.when(F.size("inner") > 0, chosen).otherwise(own)
+    kept = F.when(F.size("inner") == 0, own).when(drop, between).otherwise(F.col("shown"))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return told.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

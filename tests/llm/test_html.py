@@ -148,3 +148,47 @@ def test_odd_pages(spark):
 def test_few_pages(spark, n):
     pages, _ = plain_pages(n)
     assert all("w" in t and "Welcome" not in t for t in told(spark, pages).values())
+
+
+def paragraph(i, k):
+    return f"Paragraph {k} of page {i} tells of thing{i * 7 + k} and thing{i * 13 + k} in its own words, at some length."
+
+
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html.extract(df).collect()}
+
+
+@pytest.mark.parametrize("n", [3, 20])
+def test_headings_and_by_lines_within_the_article_stay(spark, n):
+    """The same on every page, but between lines that vary: also the same result with three pages and with twenty."""
+    page = lambda i: f"<nav><a href=/>Home</a></nav><article><h1>Title {i}</h1><p>By Jane Doe</p><h2>Ingredients</h2><p>{paragraph(i, 1)}</p><h2>Method</h2><p>{paragraph(i, 2)}</p></article><footer>Foot</footer>"
+    got = extracted(spark, [page(i) for i in range(n)])
+    assert got == {i: "\n".join([f"Title {i}", "By Jane Doe", "Ingredients", paragraph(i, 1), "Method", paragraph(i, 2)]) for i in range(n)}
+
+
+def test_lists_of_sources_stay(spark):
+    page = lambda i: f"<article><h1>Title {i}</h1><p>{paragraph(i, 1)}</p><p>{paragraph(i, 2)}</p><ul><li><a href=/a{i}>Source {i} alpha</a></li><li><a href=/b{i}>Source {i} beta</a></li></ul></article>"
+    got = extracted(spark, [page(i) for i in range(6)])
+    assert got[4] == "\n".join(["Title 4", paragraph(4, 1), paragraph(4, 2), "Source 4 alpha", "Source 4 beta"])
+
+
+def test_generated_sites_give_their_content(spark):
+    """Sites without any telling tag: a template around the content, headings that all pages share within it."""
+    rng = random.Random(6)
+    pages, want = [], {}
+    for site in range(4):
+        top = [f"Site {site} top line {k} of the template" for k in range(rng.randrange(1, 4))]
+        foot = [f"Site {site} foot line {k} of the template" for k in range(rng.randrange(1, 4))]
+        heads = [f"Shared heading {k}" for k in range(rng.randrange(1, 3))]
+        for i in range(12):
+            lines = [f"Title of {site} {i}"]
+            for k, head in enumerate(heads):
+                lines += [head, *[paragraph(100 * site + i, 10 * k + m) for m in range(rng.randrange(1, 4))]]
+            cut = lambda rows: "".join(f"<p>{x}</p>" for x in rows)
+            pages.append((len(pages), f"http://site{site}.example/{i}", f"<html><body><div>{cut(top)}</div><div><div>{cut(lines)}</div></div><div>{cut(foot)}</div></body></html>"))
+            want[len(pages) - 1] = lines
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in html.extract(df).collect()}
+    right = sum(len(set(got[i]) & set(w)) for i, w in want.items())
+    assert right == sum(map(len, want.values())) and sum(map(len, got.values())) == right
