@@ -117,3 +117,9 @@ def context_prefix(title: Column, section: Column, first: Column, last: Column,
         " | ", F.concat_ws(" ", label(0), title), F.when(F.coalesce(section, F.lit("")) != "", F.concat_ws(" ", label(1), section)), F.concat_ws(" ", label(2), pages)
     )
     return F.when(F.coalesce(title, F.lit("")) == "", "").otherwise(F.concat(parts, F.lit("\n\n")))
+
+
+def search_text(c: Column, most: int = 2000) -> Column:
+    """A search text without a leading instruction and without control characters but tab and line feed, cut to most."""
+    bare = F.regexp_replace(c, r"(?i)^\s*(ignore\s+(previous|all)\s+instructions?|system\s*:)", "")
+    return F.left(F.regexp_replace(F.trim(bare), r"[\x00-\x08\x0B-\x1F]", ""), F.lit(most))

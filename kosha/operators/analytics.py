@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -130,3 +132,35 @@ def coherence(rows: DataFrame, group: str, vector: str, dims: int) -> DataFrame:
     told = rows.groupBy(group).agg(F.count("*").alias("n"), F.array(*parts).alias("s"))
     length = F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x)
     return told.select(group, "n", ((length - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("coherence"))
+
+
+def retained(rows: DataFrame, ts: str, end: Column, masks: dict[str, tuple[int, Column]]) -> DataFrame:
+    """rows in which a column gives way to its mask once the row is so many days older than end: {column: (days, mask)}.
+
+    A row without a time counts as old: what cannot be dated is not kept.
+    """
+    old = lambda days: F.coalesce(F.col(ts) < end - F.expr(f"interval {days} days"), F.lit(True))
+    return rows.select(*[F.when(old(masks[c][0]), masks[c][1]).otherwise(F.col(c)).alias(c) if c in masks else F.col(c) for c in rows.columns])
+
+
+def book_report(books: DataFrame, chunks: DataFrame, units: DataFrame, key: str, status: str, approved: str) -> DataFrame:
+    """(key, chunks, units, statuses, coverage) of every book: counts, a map of units by status, and the approved share.
+
+    Coverage has four decimals and is null for a book without units, whose map is empty.
+    """
+    cut = chunks.groupBy(key).agg(F.count("*").alias("chunks"))
+    by = units.groupBy(key, status).agg(F.count("*").alias("n"))
+    told = by.groupBy(key).agg(
+        F.sum("n").alias("units"), F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.coalesce(status, F.lit("unknown")), "n")))).alias("statuses"),
+        F.sum(F.when(F.col(status) == approved, F.col("n"))).alias("__ok"),
+    )
+    both = books.select(key).join(cut, key, "left").join(told, key, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    share = F.round(F.coalesce("__ok", F.lit(0)) / F.col("units"), 4)
+    return both.select(key, zero("chunks"), zero("units"), F.coalesce("statuses", F.create_map().cast("map<string,bigint>")).alias("statuses"), share.alias("coverage"))
+
+
+def store_counts(stores: dict[str, DataFrame]) -> DataFrame:
+    """(store, n): the rows of each store."""
+    made = [df.agg(F.lit(name).alias("store"), F.count("*").alias("n")) for name, df in stores.items()]
+    return functools.reduce(DataFrame.unionByName, made)

@@ -176,3 +176,28 @@ def review_sample(units: DataFrame, reviewed: DataFrame, reviewers: list, stratu
     order = Window.partitionBy(reviewer, stratum).orderBy("__h", unit)
     drawn = fresh.withColumn("__h", draw).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
     return drawn.select(reviewer, stratum, unit, "n")
+
+
+def mark_conflicts(units: DataFrame, subject: list[str], what: str, book: str, group: Column, status: str = "status") -> DataFrame:
+    """units with group_id and the status conflicting where different books give a subject different objects.
+
+    group names a subject's group from its columns; other units keep their status and have no group.
+    """
+    found = conflicts(units, subject, what, book).select(*subject, group.alias("group_id"))
+    both = units.join(found, subject, "left")
+    return both.withColumn(status, F.when(F.col("group_id").isNotNull(), "conflicting").otherwise(F.col(status)))
+
+
+def bulk_status(rows: DataFrame, ids: DataFrame, key: str, status: str, new: str, most: int = 200) -> tuple[DataFrame, DataFrame]:
+    """rows with the status `new` where ids (key) ask for it, and (key, found, before, after) of every id asked for.
+
+    Repeated ids count once, null ids not at all. Raises ValueError if a call asks for more than `most` ids.
+    """
+    asked = ids.where(F.col(key).isNotNull()).select(key).distinct()
+    if asked.limit(most + 1).count() > most:
+        raise ValueError(f"a call changes at most {most} rows")
+    told = F.broadcast(asked.withColumn("__asked", F.lit(True)))
+    changed = rows.join(told, key, "left").withColumn(status, F.when(F.col("__asked"), new).otherwise(F.col(status))).select(*rows.columns)
+    met = rows.join(F.broadcast(asked), key, "left_semi").select(key, F.col(status).alias("before"), F.lit(True).alias("found"))
+    outcome = asked.join(met, key, "left").select(key, F.coalesce("found", F.lit(False)).alias("found"), "before", F.when(F.col("found"), new).alias("after"))
+    return changed, outcome

@@ -206,3 +206,36 @@ def merge_concepts(nodes: DataFrame, links: DataFrame, units: DataFrame, renames
 def first_edges(links: DataFrame, most: int, order: list[str]) -> DataFrame:
     w = Window.partitionBy("src").orderBy(*order)
     return links.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+
+
+def weighed_edges(units: DataFrame, key: list[str], unit: str, confidence: str, order: list[str]) -> DataFrame:
+    """(key, unit, confidence, evidence): of each edge key the last unit by order, its confidence, and how many units bear it.
+
+    One partial aggregate: no task holds the units of an edge.
+    """
+    last = F.max(F.struct(*order, F.col(unit).alias("__u"), F.col(confidence).alias("__c")))
+    made = units.groupBy(*key).agg(last.alias("__l"), F.count("*").alias("evidence"))
+    return made.select(*key, F.col("__l.__u").alias(unit), F.col("__l.__c").alias(confidence), "evidence")
+
+
+def beats(links: DataFrame, concepts: DataFrame, neighbours: int = 10, related: int = 8, relations: int = 3) -> DataFrame:
+    """(node, intent, related) of concepts (node): its first relation types, and the first keys around it.
+
+    Edges count both ways, the first `neighbours` of a concept by key; intent joins its first relation types by name, or is
+    RELATES_TO without any. A concept without edges has no related keys.
+    """
+    around = both_ways(links, ["rel"]).join(concepts.select(F.col("node").alias("src")).distinct(), "src", "left_semi").distinct()
+    few = first_edges(around, neighbours, ["dst", "rel"]).groupBy(F.col("src").alias("node")).agg(F.collect_set("rel").alias("r"), F.collect_set("dst").alias("d"))
+    both = concepts.select("node").distinct().join(few, "node", "left")
+    kinds, keys = (F.array_join(F.slice(F.sort_array(F.coalesce(c, F.array().cast("array<string>"))), 1, n), ",") for c, n in (("r", relations), ("d", related)))
+    return both.select("node", F.coalesce(F.nullif(kinds, F.lit("")), F.lit(NO_RELATION)).alias("intent"), keys.alias("related"))
+
+
+def quality(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: nodes, edges, same_as, orphan_rate, label_coverage, type_coverage; nodes (node, label, type), links (src, dst, rel)."""
+    linked = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct().withColumn("linked", F.lit(1))
+    rows = nodes.join(linked, "node", "left")
+    share = lambda c, n: F.round(F.avg(c.cast("int")), 6).alias(n)
+    told = rows.agg(F.count("*").alias("nodes"), share(F.col("linked").isNull(), "orphan_rate"), share(F.coalesce("label", F.lit("")) != "", "label_coverage"), share(F.col("type").isNotNull(), "type_coverage"))
+    of_links = links.agg(F.count("*").alias("edges"), F.count(F.when(F.col("rel") == "SAME_AS", 1)).alias("same_as"))
+    return told.join(of_links)  # one row each

@@ -49,3 +49,15 @@ def next_versions(history: DataFrame, new: DataFrame, package: str, order: str)
     last = history.groupBy(package).agg(F.max("version").alias("__last"))
     n = F.row_number().over(Window.partitionBy(package).orderBy(order))
     return new.join(last, package, "left").withColumn("version", F.coalesce("__last", F.lit(0)) + n).drop("__last")
+
+
+def pacing(scenes: DataFrame, templates: DataFrame, text: str, seconds: str, per_minute: int = 150) -> DataFrame:
+    """scenes with words, max_words, too_long, per_minute and too_fast, against the limits of their template.
+
+    templates (template, max_words) is a small table; a scene of an unknown template has no limit, one without seconds
+    no pace.
+    """
+    words = F.size(F.split(F.trim(text), r"\s+"))
+    both = scenes.join(F.broadcast(templates), "template", "left").withColumn("words", words)
+    pace = F.col("words") * 60 / F.nullif(F.col(seconds), F.lit(0))
+    return both.withColumns({"too_long": F.coalesce(F.col("words") > F.col("max_words"), F.lit(False)), "per_minute": F.round(pace, 4), "too_fast": pace > per_minute})

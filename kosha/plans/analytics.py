@@ -24,14 +24,17 @@ def events(spark, sf):
 
 @query(
     "i1_coverage",
-    """SELECT c_custkey, coalesce(n, 0) AS units, coalesce(f, 0) AS approved, CASE WHEN n > 0 THEN round(f / n, 4) END AS coverage FROM customer
-       LEFT JOIN (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS f FROM orders GROUP BY 1) ON o_custkey = c_custkey""",
+    """WITH u AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2), t AS (SELECT o_custkey, sum(n)::BIGINT AS units, string_agg(o_orderstatus || '=' || n, ',' ORDER BY o_orderstatus) AS statuses, sum(CASE WHEN o_orderstatus = 'F' THEN n END) AS ok FROM u GROUP BY 1),
+       c AS (SELECT o_custkey, count(*) AS chunks FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+       SELECT c_custkey, coalesce(chunks, 0) AS chunks, coalesce(units, 0) AS units, coalesce(statuses, '') AS statuses, CASE WHEN units > 0 THEN round(coalesce(ok, 0) / units, 4) END AS coverage
+       FROM customer LEFT JOIN t ON t.o_custkey = c_custkey LEFT JOIN c ON c.o_custkey = c_custkey""",
 )
 def i1(spark, sf):
-    ok = F.sum((F.col("o_orderstatus") == "F").cast("int"))
-    units = orders(spark, sf).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), ok.alias("f"))
-    both = table(spark, sf, "customer").select("c_custkey").join(units, "c_custkey", "left")
-    return both.select("c_custkey", F.coalesce("n", F.lit(0)).alias("units"), F.coalesce("f", F.lit(0)).alias("approved"), F.round(F.col("f") / F.col("n"), 4).alias("coverage"))
+    """A customer is a book, the orders are units, their lines chunks."""
+    units = orders(spark, sf).select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
+    chunks = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).join(units.select("o_orderkey", "c_custkey"), "o_orderkey")
+    told = A.book_report(table(spark, sf, "customer"), chunks, units, "c_custkey", "o_orderstatus", "F")
+    return told.withColumn("statuses", F.array_join(F.transform(F.map_entries("statuses"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","))
 
 
 @query(
@@ -141,6 +144,28 @@ def i14(spark, sf):
     )
 
 
+@query("i14_retention", "SELECT event_id, CASE WHEN ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY + INTERVAL 0 DAY THEN user_id END AS user_id, event_type, value FROM events")
+def i14_retention(spark, sf):
+    """The search log as it is 80 days after its newest row: users of rows older than 90 days are gone."""
+    rows = events(spark, sf)
+    end = F.lit(rows.agg(F.max("ts")).first()[0]) + F.expr("interval 80 days")
+    return A.retained(rows.select("event_id", "ts", "user_id", "event_type", "value"), "ts", end, {"user_id": (90, F.lit(None).cast("long"))}).drop("ts")
+
+
+@query(
+    "i15_masked",
+    """SELECT event_id, CASE WHEN user_id % 10 = 0 THEN NULL ELSE user_id END AS user_id, CASE WHEN ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY THEN '10.0.' || (user_id % 200) || '.7' ELSE '10.0.x.x' END AS ip FROM events""",
+)
+def i15_masked(spark, sf):
+    """Erased users lose their identity, and addresses their last parts after two years (720 days after the newest row)."""
+    rows = events(spark, sf)
+    end = F.lit(rows.agg(F.max("ts")).first()[0]) + F.expr("interval 720 days")
+    erased = rows.where("user_id % 10 = 0").select("user_id").distinct().withColumn("erased", F.lit(True))
+    told = rows.join(erased, "user_id", "left").select("event_id", "ts", F.when(F.col("erased").isNull(), F.col("user_id")).alias("user_id"), F.concat(F.lit("10.0."), F.col("user_id") % 200, F.lit(".7")).alias("ip"))
+    masked = F.regexp_replace("ip", r"^(\d+\.\d+)\..*$", "$1.x.x")
+    return A.retained(told, "ts", end, {"ip": (730, masked)}).drop("ts")
+
+
 @query("i15_retention", "SELECT event_id, CASE WHEN user_id % 10 = 0 THEN NULL ELSE user_id END AS user_id, event_type FROM events")
 def i15(spark, sf):
     erased = events(spark, sf).where("user_id % 10 = 0").select("user_id").distinct().withColumn("erased", F.lit(True))
@@ -159,6 +184,11 @@ def i16(spark, sf):
     return held.join(wanted, "s_suppkey", "full").select("s_suppkey", action.alias("action"))
 
 
+@query("i17_counts", "SELECT 'documents' AS store, count(*) AS n FROM documents UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'embeddings', count(*) FROM embeddings")
+def i17_counts(spark, sf):
+    return A.store_counts({n: table(spark, sf, n) for n in ("documents", "labels", "embeddings")})
+
+
 @query("i17_reconcile", "SELECT doc_id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def i17(spark, sf):
     return A.reconcile(docs(spark, sf), table(spark, sf, "labels"), "doc_id")

@@ -138,11 +138,11 @@ def f12(spark, sf):
 @query(
     "f13_prompts",
     """SELECT doc_id, CASE WHEN lang = 'en' THEN 'Extract facts as JSON.' ELSE 'Extract facts as JSON. Keep the language ' || lang || '.' END AS system,
-       'Book ' || source || chr(10) || chr(10) || left(text, 2000) AS prompt FROM documents""",
+       'Book ' || source || chr(10) || chr(10) || text AS prompt FROM documents""",
 )
 def f13(spark, sf):
     system = F.when(F.col("lang") == "en", "Extract facts as JSON.").otherwise(F.concat(F.lit("Extract facts as JSON. Keep the language "), "lang", F.lit(".")))
-    return docs(spark, sf).select("doc_id", system.alias("system"), F.concat(F.lit("Book "), "source", F.lit("\n\n"), F.left("text", F.lit(2000))).alias("prompt"))
+    return docs(spark, sf).select("doc_id", system.alias("system"), F.concat(F.lit("Book "), "source", F.lit("\n\n"), "text").alias("prompt"))
 
 
 @query(
@@ -156,12 +156,29 @@ def f14(spark, sf):
     return diff.select("o_orderkey", F.col("before.o_orderstatus").alias("before"), F.col("after.o_orderstatus").alias("after"))
 
 
-@query("f15_bulk_status", "SELECT doc_id AS o_orderkey, (o_orderkey IS NOT NULL) AS found FROM (SELECT DISTINCT doc_id FROM labels ORDER BY 1 LIMIT 200) LEFT JOIN orders ON o_orderkey = doc_id")
+@query(
+    "f15_bulk_status",
+    """SELECT doc_id AS o_orderkey, o_orderkey IS NOT NULL AS found, o_orderstatus AS before, CASE WHEN o_orderkey IS NOT NULL THEN 'A' END AS after
+       FROM (SELECT DISTINCT doc_id FROM labels ORDER BY 1 LIMIT 200) LEFT JOIN orders ON o_orderkey = doc_id""",
+)
 def f15(spark, sf):
+    return bulk_changed(spark, sf)[1]
+
+
+def bulk_changed(spark, sf):
     # a call takes at most 200 ids
     asked = table(spark, sf, "labels").select(F.col("doc_id").alias("o_orderkey")).distinct().orderBy("o_orderkey").limit(200)
-    known = table(spark, sf, "orders").select("o_orderkey", F.lit(True).alias("found"))
-    return asked.join(known, "o_orderkey", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    return K.bulk_status(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), asked, "o_orderkey", "o_orderstatus", "A")
+
+
+@query("f15_rows", "SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT DISTINCT doc_id FROM labels ORDER BY 1 LIMIT 200) THEN 'A' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def f15_rows(spark, sf):
+    return bulk_changed(spark, sf)[0]
+
+
+@query("f15_counts", "SELECT count(o_orderkey) AS succeeded, count(*) - count(o_orderkey) AS not_found FROM (SELECT DISTINCT doc_id FROM labels ORDER BY 1 LIMIT 200) LEFT JOIN orders ON o_orderkey = doc_id")
+def f15_counts(spark, sf):
+    return bulk_changed(spark, sf)[1].agg(F.count(F.when(F.col("found"), 1)).alias("succeeded"), F.count(F.when(~F.col("found"), 1)).alias("not_found"))
 
 
 @query("f16_history", "SELECT user_id, event_id, ts, event_type FROM events ORDER BY user_id, ts DESC, event_id DESC")
@@ -191,6 +208,18 @@ def f18(spark, sf):
     return found.withColumn("group_id", uuid5(_NS, F.concat_ws("/", "l_partkey", "l_linenumber")))
 
 
+@query(
+    "f18_units",
+    """WITH c AS (SELECT l_partkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_suppkey) > 1 AND count(DISTINCT l_orderkey) > 1)
+       SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN c.l_partkey IS NULL THEN 'extracted' ELSE 'conflicting' END AS status, c.l_partkey || '/' || c.l_linenumber AS conflict FROM lineitem LEFT JOIN c USING (l_partkey, l_linenumber)""",
+)
+def f18_units(spark, sf):
+    """Every unit with its status; those in conflict name the group that they share."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.lit("extracted").alias("status"))
+    marked = K.mark_conflicts(rows, ["l_partkey", "l_linenumber"], "l_suppkey", "l_orderkey", F.concat_ws("/", "l_partkey", "l_linenumber"))
+    return marked.select("l_orderkey", "l_linenumber", "l_suppkey", "status", F.col("group_id").alias("conflict"))
+
+
 @query("f19_review_precision", "SELECT source, count(*) AS n, round(avg(quality), 6) AS precision FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY 1")
 def f19(spark, sf):
     both = table(spark, sf, "labels").join(docs(spark, sf).select("doc_id", "source"), "doc_id")

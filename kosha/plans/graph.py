@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import retrieval as R
+from ..session import shared_folder
 from .registry import query
 from .tables import table
 from .text import docs
@@ -66,9 +71,9 @@ _NODES = """WITH u AS (SELECT 'p' || l_partkey AS key, 'part ' || l_linenumber A
     UNION ALL SELECT 's' || l_suppkey, 'supp ' || l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'mr' ELSE 'en' END, l_orderkey, l_shipdate, l_orderkey, l_linenumber FROM lineitem)"""
 
 
-def units(spark, sf):
+def units(spark, sf, live: str = "true"):
     c = F.col
-    return table(spark, sf, "lineitem").select(
+    return table(spark, sf, "lineitem").where(live).select(
         F.concat(F.lit("p"), "l_partkey").alias("subject"), F.concat(F.lit("part "), "l_linenumber").alias("subject_label"),
         F.concat(F.lit("s"), "l_suppkey").alias("object"), F.concat(F.lit("supp "), "l_linenumber").alias("object_label"),
         F.when(c("l_returnflag") == "R", "mr").otherwise("en").alias("language"), c("l_orderkey").alias("book"), c("l_shipdate").alias("ts"),
@@ -89,10 +94,13 @@ def g4(spark, sf):
     return concept_nodes(spark, sf).withColumn("books", F.size("books").cast("long"))
 
 
-@query("g5_edges", "SELECT l_partkey, l_suppkey, l_returnflag AS rel, max(l_orderkey) AS unit FROM lineitem GROUP BY 1, 2, 3")
+@query(
+    "g5_edges",
+    """SELECT l_partkey, l_suppkey, l_returnflag AS rel, max(l_orderkey) AS unit, arg_max(l_discount, (l_orderkey, l_linenumber)) AS confidence, count(*) AS evidence FROM lineitem GROUP BY 1, 2, 3""",
+)
 def g5(spark, sf):
-    rows = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", F.col("l_returnflag").alias("rel"), F.col("l_orderkey").alias("unit"))
-    return G.edges(rows, ["l_partkey", "l_suppkey", "rel"], "unit")
+    rows = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", F.col("l_returnflag").alias("rel"), F.col("l_orderkey").alias("unit"), "l_linenumber", F.col("l_discount").alias("confidence"))
+    return G.weighed_edges(rows, ["l_partkey", "l_suppkey", "rel"], "unit", "confidence", ["unit", "l_linenumber"])
 
 
 @query(
@@ -230,30 +238,42 @@ def g13_units(spark, sf):
 
 @query(
     "g14_beats",
-    f"""WITH c AS (SELECT DISTINCT dst AS node FROM {_EDGES} WHERE rel = 'FROM' ORDER BY 1 LIMIT 5), e AS (SELECT node, src AS other, rel, row_number() OVER (PARTITION BY node ORDER BY src) AS n FROM c JOIN {_EDGES} ON dst = node)
-        SELECT node, string_agg(other, ',' ORDER BY other) AS related, coalesce(min(rel), 'RELATES_TO') AS intent FROM e WHERE n <= 8 GROUP BY node""",
+    f"""WITH c AS (SELECT 'n' || n_nationkey AS node FROM nation WHERE contains(lower(n_name), '1') ORDER BY 1 LIMIT 5), b AS (SELECT src, dst, rel FROM {_EDGES} UNION SELECT dst, src, rel FROM {_EDGES}),
+        e AS (SELECT node, dst, rel, row_number() OVER (PARTITION BY node ORDER BY dst, rel) AS n FROM c JOIN b ON src = node), k AS (SELECT * FROM e WHERE n <= 10)
+        SELECT c.node, coalesce((SELECT string_agg(rel, ',' ORDER BY rel) FROM (SELECT DISTINCT rel FROM k WHERE k.node = c.node ORDER BY 1 LIMIT 3)), 'RELATES_TO') AS intent,
+        coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM (SELECT DISTINCT dst FROM k WHERE k.node = c.node ORDER BY 1 LIMIT 8)), '') AS related FROM c""",
 )
 def g14(spark, sf):
-    e = graph(spark, sf)
-    found = e.where("rel = 'FROM'").select(F.col("dst").alias("node")).distinct().orderBy("node").limit(5)
-    near = e.select(F.col("dst").alias("src"), F.col("src").alias("other"), "rel").join(found.withColumnRenamed("node", "src"), "src")
-    few = G.first_edges(near, 8, ["other"])
-    return few.groupBy(F.col("src").alias("node")).agg(F.array_join(F.sort_array(F.collect_list("other")), ",").alias("related"), F.coalesce(F.min("rel"), F.lit("RELATES_TO")).alias("intent"))
+    """Concepts whose label holds the searched text, and what surrounds them."""
+    named = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), "n_name")
+    found = named.where(F.contains(F.lower("n_name"), F.lit("1"))).orderBy("node").limit(5).select("node")
+    return G.beats(graph(spark, sf), found)
+
+
+_LABELLED = """(SELECT 'n' || n_nationkey AS node, n_name AS label, 'Region' AS type FROM nation UNION ALL SELECT 's' || s_suppkey, CASE WHEN s_acctbal > 0 THEN s_name END, NULL FROM supplier
+    UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_acctbal > 0 THEN c_name END, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END FROM customer)"""
+_SAME = "(SELECT 'c' || c_custkey AS src, 'c' || (c_custkey - 1) AS dst, 'SAME_AS' AS rel FROM customer WHERE c_custkey % 50 = 0 AND c_custkey > 0)"
+
+
+def labelled(spark, sf):
+    key = lambda p, c: F.concat(F.lit(p), F.col(c)).alias("node")
+    paid = lambda c, n: F.when(F.col(c) > 0, F.col(n)).alias("label")
+    nation = table(spark, sf, "nation").select(key("n", "n_nationkey"), F.col("n_name").alias("label"), F.lit("Region").alias("type"))
+    supplier = table(spark, sf, "supplier").select(key("s", "s_suppkey"), paid("s_acctbal", "s_name"), F.lit(None).cast("string").alias("type"))
+    customer = table(spark, sf, "customer").select(key("c", "c_custkey"), paid("c_acctbal", "c_name"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("type"))
+    return nation.unionByName(supplier).unionByName(customer)
 
 
 @query(
     "g15_quality",
-    f"""WITH n AS (SELECT 'n' || n_nationkey AS node FROM nation UNION SELECT 's' || s_suppkey FROM supplier UNION SELECT 'c' || c_custkey FROM customer), e AS (SELECT src AS node FROM {_EDGES} UNION SELECT dst FROM {_EDGES})
-        SELECT count(*) AS nodes, (SELECT count(*) FROM {_EDGES}) AS edges, round(avg((e.node IS NULL)::INT), 6) AS orphan_rate FROM n LEFT JOIN e ON n.node = e.node""",
+    f"""WITH e AS (SELECT * FROM {_EDGES} UNION ALL SELECT * FROM {_SAME}), l AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+        SELECT count(*) AS nodes, round(avg((l.node IS NULL)::INT), 6) AS orphan_rate, round(avg((coalesce(label, '') <> '')::INT), 6) AS label_coverage, round(avg((type IS NOT NULL)::INT), 6) AS type_coverage,
+        (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM e WHERE rel = 'SAME_AS') AS same_as FROM {_LABELLED} n LEFT JOIN l ON l.node = n.node""",
 )
 def g15(spark, sf):
-    e = graph(spark, sf)
-    known = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"))
-    known = known.union(table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey"))).union(table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey"))).distinct()
-    linked = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("linked", F.lit(1))
-    rows = known.join(linked, "node", "left").select(F.lit(1).alias("node"), F.lit(0).alias("edge"), F.col("linked").isNull().cast("int").alias("orphan"))
-    rows = rows.unionByName(e.select(F.lit(0).alias("node"), F.lit(1).alias("edge"), F.lit(None).cast("int").alias("orphan")))
-    return rows.agg(F.sum("node").alias("nodes"), F.sum("edge").alias("edges"), F.round(F.avg("orphan"), 6).alias("orphan_rate"))
+    c = F.col("c_custkey")
+    same = table(spark, sf, "customer").where("c_custkey % 50 = 0 and c_custkey > 0").select(F.concat(F.lit("c"), c).alias("src"), F.concat(F.lit("c"), c - 1).alias("dst"), F.lit("SAME_AS").alias("rel"))
+    return G.quality(labelled(spark, sf), graph(spark, sf).unionByName(same))
 
 
 @query("g16_orphans", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN (SELECT l_suppkey FROM lineitem)")
@@ -277,10 +297,24 @@ def g17(spark, sf):
 
 @query(
     "g18_rebuild",
-    """SELECT 'nodes' AS what, count(*) AS n FROM (SELECT 'p' || l_partkey FROM lineitem UNION SELECT 's' || l_suppkey FROM lineitem)
-       UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey, l_returnflag FROM lineitem)""",
+    """WITH live AS (SELECT * FROM lineitem WHERE l_linestatus <> 'F') SELECT 'nodes' AS what, count(*) AS n FROM (SELECT 'p' || l_partkey FROM live UNION SELECT 's' || l_suppkey FROM live)
+       UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey, l_returnflag FROM live) UNION ALL SELECT 'processes', count(DISTINCT l_orderkey) FROM live
+       UNION ALL SELECT 'steps', count(*) FROM live UNION ALL SELECT 'type ' || l_returnflag, count(*) FROM live GROUP BY 1""",
 )
 def g18(spark, sf):
-    made = concept_nodes(spark, sf).agg(F.lit("nodes").alias("what"), F.count("*").alias("n"))
-    links = G.edges(units(spark, sf), ["subject", "object", "l_returnflag"], "l_orderkey").agg(F.lit("edges").alias("what"), F.count("*").alias("n"))
-    return made.unionByName(links)
+    """Nodes, edges and processes of all live units as tables; what they hold is counted from the written tables."""
+    rows = units(spark, sf, "l_linestatus <> 'F'")
+    steps = rows.groupBy(F.col("l_orderkey").cast("string").alias("key")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "subject"))), lambda x: x["subject"]).alias("steps"))
+    made = {
+        "nodes": G.nodes(rows, [("subject", "subject_label"), ("object", "object_label")], ["l_orderkey", "l_linenumber"], ["en", "mr"]),
+        "edges": G.weighed_edges(rows, ["subject", "object", "l_returnflag"], "l_orderkey", "l_discount", ["l_orderkey", "l_linenumber"]),
+        "steps": G.steps(steps, "key", "steps"),
+        "types": rows.groupBy("l_returnflag").agg(F.count("*").alias("n")),
+    }
+    root = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    for name, df in made.items():
+        df.write.parquet(f"{root}/{name}")
+    kept = {name: spark.read.parquet(f"{root}/{name}") for name in made}
+    told = [kept[n].agg(F.lit(n).alias("what"), F.count("*").alias("n")) for n in ("nodes", "edges", "steps")]
+    told += [kept["steps"].agg(F.lit("processes").alias("what"), F.countDistinct("process").alias("n")), kept["types"].select(F.concat(F.lit("type "), "l_returnflag").alias("what"), "n")]
+    return functools.reduce(DataFrame.unionByName, told)

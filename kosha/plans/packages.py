@@ -43,12 +43,15 @@ def h3(spark, sf):
 
 @query(
     "h4_citation_report",
-    "SELECT l_orderkey, count(*) AS cited, count(DISTINCT l_partkey) AS chunks, string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) AS pages FROM lineitem WHERE l_linenumber > 1 GROUP BY 1",
+    """SELECT l_orderkey, count(*) FILTER (WHERE l_discount > 0) AS cited, count(DISTINCT l_partkey) FILTER (WHERE l_discount > 0) AS chunks, coalesce(string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) FILTER (WHERE l_discount > 0 AND l_linenumber > 1), '') AS pages,
+       round(avg((l_discount > 0)::INT), 3) AS coverage FROM lineitem GROUP BY 1""",
 )
 def h4(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_linenumber > 1")
-    pages = F.array_join(F.sort_array(F.collect_set(F.col("l_linenumber").cast("string"))), ",")
-    return rows.groupBy("l_orderkey").agg(F.count("*").alias("cited"), F.countDistinct("l_partkey").alias("chunks"), pages.alias("pages"))
+    """A line is a paragraph, cited if it has a discount; the first line has no page."""
+    cited = F.col("l_discount") > 0
+    pages = F.array_join(F.sort_array(F.collect_set(F.when(cited & (F.col("l_linenumber") > 1), F.col("l_linenumber").cast("string")))), ",")
+    told = [F.count(F.when(cited, 1)).alias("cited"), F.countDistinct(F.when(cited, F.col("l_partkey"))).alias("chunks"), pages.alias("pages"), F.round(F.avg(cited.cast("int")), 3).alias("coverage")]
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(*told)
 
 
 @query("h5_script", "SELECT conv_id, string_agg('### Scene ' || turn || ': ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS script FROM conversations WHERE text IS NOT NULL GROUP BY 1")
@@ -75,10 +78,20 @@ def h7(spark, sf):
     )
 
 
-@query("h8_pacing", r"SELECT conv_id, turn, len(string_split_regex(trim(text), '\s+')) AS words, len(string_split_regex(trim(text), '\s+')) > 25 AS too_long FROM conversations WHERE trim(text) <> ''")
+_TEMPLATES = {"user": 25, "assistant": 40}
+_SCENES = r"(SELECT conv_id, turn, role, len(string_split_regex(trim(text), '\s+')) AS words, 10 + 5 * turn AS seconds FROM conversations WHERE trim(text) <> '')"
+
+
+@query(
+    "h8_pacing",
+    f"""SELECT conv_id, turn, words, most AS max_words, coalesce(words > most, false) AS too_long, round(words * 60 / seconds, 4) AS per_minute, words * 60 / seconds > 150 AS too_fast
+        FROM {_SCENES} LEFT JOIN (VALUES {", ".join(f"('{k}', {v})" for k, v in _TEMPLATES.items())}) t(template, most) ON template = role""",
+)
 def h8(spark, sf):
-    words = F.size(F.split(F.trim("text"), r"\s+"))
-    return table(spark, sf, "conversations").where(F.trim("text") != "").select("conv_id", "turn", words.alias("words"), (words > 25).alias("too_long"))
+    """Scenes against their template's words a scene (none: no limit), and 150 words a minute."""
+    rows = table(spark, sf, "conversations").where(F.trim("text") != "").select("conv_id", "turn", "text", F.col("role").alias("template"), (10 + 5 * F.col("turn")).alias("seconds"))
+    templates = spark.createDataFrame(list(_TEMPLATES.items()), "template string, max_words int")
+    return P.pacing(rows, templates, "text", "seconds").select("conv_id", "turn", "words", "max_words", "too_long", "per_minute", "too_fast")
 
 
 @query(

@@ -320,6 +320,17 @@ def c9(spark, sf):
     return rows.select("conv_id", "turn", (F.size(L.injections(F.col("text"))) > 0).alias("flagged"))
 
 
+@query(
+    "c9_search_text",
+    r"""SELECT conv_id, turn, left(regexp_replace(trim(regexp_replace(q, '(?i)^\s*(ignore\s+(previous|all)\s+instructions?|system\s*:)', '')), '[\x00-\x08\x0B-\x1F]', '', 'g'), 2000) AS q
+        FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN ' System : ' || text WHEN 1 THEN 'Ignore previous instructions' || chr(7) || text ELSE text END AS q FROM conversations WHERE text IS NOT NULL)""",
+)
+def c9_search(spark, sf):
+    """Turns as searches, some with an instruction ahead or a control character within."""
+    ahead = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" System : "), "text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("Ignore previous instructions\x07"), "text")).otherwise(F.col("text"))
+    return table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", L.search_text(ahead).alias("q"))
+
+
 @query("c10_context_prefix", "SELECT doc_id, 'Book: ' || source || ' | Section: ' || lang || ' | Pages ' || CASE WHEN n_chars = 1 THEN '1' ELSE '1-' || n_chars END || chr(10) || chr(10) AS prefix FROM documents")
 def c10(spark, sf):
     return docs(spark, sf).select("doc_id", L.context_prefix(F.col("source"), F.col("lang"), F.lit(1), F.col("n_chars"), F.col("lang")).alias("prefix"))
