@@ -209,7 +209,8 @@ def first_edges(links: DataFrame, most: int, order: list[str]) -> DataFrame:
 
 
 def weighed_edges(units: DataFrame, key: list[str], unit: str, confidence: str, order: list[str]) -> DataFrame:
-    """(key, unit, confidence, evidence): of each edge key the last unit by order, its confidence, and how many units bear it.
+    """(key, unit, confidence, evidence): of each edge key the last unit by order, its confidence (the
+    greatest, of rows that tie), and how many units bear it.
 
     One partial aggregate: no task holds the units of an edge.
     """

@@ -96,7 +96,7 @@ def g4(spark, sf):
 
 @query(
     "g5_edges",
-    """SELECT l_partkey, l_suppkey, l_returnflag AS rel, max(l_orderkey) AS unit, arg_max(l_discount, (l_orderkey, l_linenumber)) AS confidence, count(*) AS evidence FROM lineitem GROUP BY 1, 2, 3""",
+    """SELECT l_partkey, l_suppkey, l_returnflag AS rel, max(l_orderkey) AS unit, arg_max(l_discount, (l_orderkey, l_linenumber, l_discount)) AS confidence, count(*) AS evidence FROM lineitem GROUP BY 1, 2, 3""",
 )
 def g5(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", F.col("l_returnflag").alias("rel"), F.col("l_orderkey").alias("unit"), "l_linenumber", F.col("l_discount").alias("confidence"))
