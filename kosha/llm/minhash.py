@@ -7,7 +7,8 @@ Two sets of Jaccard similarity s meet in no table with a probability of about 2
 values below at 0.8 and less above it.
 
 Texts with equal sets of shingles are one entry. A half that no other entry shares can be in no shared key, so only
-shared halves are combined. Buckets with the same members count once. A bucket of up to MOST_MATED members gives all
+shared halves are combined. A first half that more than MOST_HELD entries share is a bucket by itself, which holds all
+that its TABLES tables could bring together. Buckets with the same members count once. A bucket of up to MOST_MATED members gives all
 its pairs; in a larger one every member meets two of it, and if that does not make the bucket one group, its members
 are joined by a prefix filter over their whole sets, which misses none. Every candidate is confirmed on whole sets.
 """
@@ -28,6 +29,7 @@ from .simhash import alike, rare_mates, sets_of, shingle_hashes
 TABLES = 13
 HALF = 2
 MOST_MATED = 24
+MOST_HELD = 256
 #: Sets that hold over one in HOT rows are looked up by broadcast; there are fewer than HOT of them.
 HOT = 1000
 MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -66,15 +68,21 @@ def sketches(rows: DataFrame, words: int, tables: int = TABLES, half: int = HALF
     return rows.mapInArrow(run, f"rid string, doc_id {kind}, set_id long, n long, halves array<int>")
 
 
-def tensored(sets: DataFrame, tables: int = TABLES) -> DataFrame:
-    """(set_id, bucket) of sets (set_id, halves): the keys of the tables whose two halves other sets hold too."""
+def tensored(sets: DataFrame, scratch: Scratch, tables: int = TABLES, most_held: int = MOST_HELD) -> tuple[DataFrame, DataFrame]:
+    """Buckets (set_id, bucket) of sets (set_id, halves): those of the tables, and those of the frequent first halves.
+
+    Halves that no other set holds are in no table. A first half of over most_held sets is a bucket by itself and in no
+    table: its members are all that its tables could bring together.
+    """
     each = sets.select("set_id", F.posexplode("halves").alias("at", "value"))
-    shared = each.groupBy("at", "value").agg(F.count("*").alias("held")).where("held > 1").drop("held")
-    of = each.join(shared, ["at", "value"]).groupBy("set_id").agg(F.collect_list(F.struct("at", "value")).alias("found"))  # 2 * tables at most
-    first = F.filter("found", lambda x: x["at"] < tables)
+    shared = each.groupBy("at", "value").agg(F.count("*").alias("held")).where("held > 1")
+    found = F.collect_list(F.struct("at", "value", (F.col("held") > most_held).alias("frequent")))  # 2 * tables at most
+    of = scratch.keep(each.join(shared, ["at", "value"]).groupBy("set_id").agg(found.alias("found")))
+    first = lambda frequent: F.filter("found", lambda x: (x["at"] < tables) & (x["frequent"] == frequent))
     second = F.filter("found", lambda x: x["at"] >= tables)
-    one = of.select("set_id", F.explode(first).alias("one"), second.alias("second"))
-    return one.select("set_id", "one", F.explode("second").alias("two")).select("set_id", F.xxhash64("one.at", "one.value", "two.at", "two.value").alias("bucket"))
+    one = of.select("set_id", F.explode(first(False)).alias("one"), second.alias("second"))
+    keyed = one.select("set_id", "one", F.explode("second").alias("two")).select("set_id", F.xxhash64("one.at", "one.value", "two.at", "two.value").alias("bucket"))
+    return keyed, of.select("set_id", F.explode(first(True)).alias("one")).select("set_id", F.xxhash64("one.at", "one.value").alias("bucket"))
 
 
 def distinct_buckets(keyed: DataFrame, scratch: Scratch) -> DataFrame:
@@ -85,10 +93,15 @@ def distinct_buckets(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(keyed.join(once.select("bucket", "held", "low", "high"), "bucket"))
 
 
-def near_sets(sets: DataFrame, rows: DataFrame, words: int, similarity: float, scratch: Scratch, tables: int = TABLES, most_mated: int = MOST_MATED) -> DataFrame:
+def near_sets(
+    sets: DataFrame, rows: DataFrame, words: int, similarity: float, scratch: Scratch, tables: int = TABLES, most_mated: int = MOST_MATED, most_held: int = MOST_HELD
+) -> DataFrame:
     """(node, root): the sets (set_id, n, halves, best) that are linked to others, and the smallest of their component."""
-    held = distinct_buckets(scratch.keep(tensored(sets, tables)), scratch)
+    keyed, frequent = tensored(sets, scratch, tables, most_held)
+    held = distinct_buckets(scratch.keep(keyed), scratch)
     few, many = held.where(F.col("held") <= most_mated), held.where(F.col("held") > most_mated)
+    ends = frequent.groupBy("bucket").agg(F.count("*").alias("held"), F.min("set_id").alias("low"), F.max("set_id").alias("high"))
+    many = many.unionByName(scratch.keep(frequent.join(ends, "bucket")))
     mates = few.select("bucket", F.col("set_id").alias("a")).join(few.select("bucket", F.col("set_id").alias("b")), "bucket").where("a < b").select("a", "b")
     tied = many.select(F.col("set_id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
     sizes = sets.select("set_id", "n")
@@ -112,7 +125,9 @@ def near_sets(sets: DataFrame, rows: DataFrame, words: int, similarity: float, s
     return components(edges.unionByName(more), scratch)
 
 
-def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", tables: int = TABLES, most_mated: int = MOST_MATED) -> DataFrame:
+def near_groups(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", tables: int = TABLES, most_mated: int = MOST_MATED, most_held: int = MOST_HELD
+) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of docs, linked by the Jaccard similarity of word shingles.
 
     Words are runs of other characters than ASCII white space, A-Z lower-cased; a text of fewer words than a shingle is
@@ -129,7 +144,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: s
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
     told = filled.groupBy("set_id").agg(best.alias("best"), F.first("n").alias("n"), F.first("halves").alias("halves"), F.count("*").alias("copies"))
     sets = scratch.keep(told)
-    roots = near_sets(sets, rows, words, similarity, scratch, tables, most_mated)
+    roots = near_sets(sets, rows, words, similarity, scratch, tables, most_mated, most_held)
     named = sets.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "best", "copies", F.coalesce("root", "set_id").alias("group"))
     leads = named.groupBy("group").agg(F.min("best")["doc_id"].alias("component_id"))
     of = scratch.keep(named.join(leads, "group").select("set_id", "copies", "component_id"))

@@ -77,9 +77,9 @@ def edits(rng, base, n):
     return out
 
 
-@pytest.mark.parametrize("most_mated", [2, 24])
-def test_equals_brute_force_over_edited_families(spark, most_mated):
-    """Families of edits around the threshold, a shared passage, copies; also with all buckets on the exact way."""
+@pytest.mark.parametrize(("most_mated", "most_held"), [(2, 256), (24, 256), (24, 4)])
+def test_equals_brute_force_over_edited_families(spark, most_mated, most_held):
+    """Families of edits around the threshold, a shared passage, copies; also with all buckets on the exact way and with frequent halves."""
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(400)}"
     texts = []
@@ -91,7 +91,7 @@ def test_equals_brute_force_over_edited_families(spark, most_mated):
     rows = list(enumerate(texts, 1))
     rng.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert told(minhash.near_groups(docs, words=4, most_mated=most_mated)) == by_hand(rows)
+    assert told(minhash.near_groups(docs, words=4, most_mated=most_mated, most_held=most_held)) == by_hand(rows)
 
 
 def test_whole_tables_equal_sql(spark):
