@@ -13,7 +13,9 @@ exact for a radius of 2 and linear in the bucket. Work is done on distinct finge
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ MOST_MATED = 24
 #: Slots that shingles are counted in to tell rare from common ones (a power of two), and the sides of a block of pairs.
 SLOTS = 1 << 18
 BLOCK_SIDES = 256, 2048
+PARITIES = 4
 
 
 def fingerprint(text: str | None, words: int) -> int:
@@ -248,7 +251,8 @@ def rare_mates(texts: DataFrame, similarity: float, scratch: Scratch) -> DataFra
 
     Prefix filter: with shingles in one order for all, two similar sets share one of their first
     n - ceil(similarity n) + 1, and the first shared one leaves room for the overlap that similarity needs. Rare
-    shingles come first. A shingle's members are dealt out in blocks of pairs; those of its largest group so far need
+    shingles come first. Parity filter: PARITIES longs hold the parity of a set's shingles by bit; bits that differ are
+    at most the shingles of one set alone, of which similarity allows only so many. A shingle's members are dealt out in blocks of pairs; those of its largest group so far need
     no pairs among themselves.
     """
 
@@ -272,9 +276,13 @@ def rare_mates(texts: DataFrame, similarity: float, scratch: Scratch) -> DataFra
                 first = h[np.lexsort((h, often[h & (SLOTS - 1)]))[:k]]
                 arrays = [pa.array(np.full(len(first), x)) for x in (name, root)]
                 arrays += [pa.array(np.full(len(first), n, np.int32)), pa.array(np.arange(len(first), dtype=np.int32)), pa.array(first)]
-                yield pa.RecordBatch.from_arrays(arrays, ["set_id", "root", "n", "at", "h"])
+                odd = np.bincount((h >> 40) & (64 * PARITIES - 1), minlength=64 * PARITIES) & 1
+                arrays += [pa.array(np.full(len(first), x)) for x in np.packbits(odd.astype(np.uint8)).view(np.int64)]
+                yield pa.RecordBatch.from_arrays(arrays, ["set_id", "root", "n", "at", "h", *bits])
 
-    keyed = scratch.keep(texts.select("set_id", "root", "h").mapInArrow(prefixes, "set_id long, root long, n int, at int, h long"))
+    bits = [f"bits{i}" for i in range(PARITIES)]
+    schema = ", ".join(["set_id long, root long, n int, at int, h long", *(f"{b} long" for b in bits)])
+    keyed = scratch.keep(texts.select("set_id", "root", "h").mapInArrow(prefixes, schema))
     groups = keyed.groupBy("h", "root").agg(F.count("*").alias("n"))
     groups = groups.groupBy("h").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
     sides = [F.ceil(x / F.lit(most)).cast("int") for x, most in zip((F.col("all") - F.col("most.n"), F.col("all")), BLOCK_SIDES)]
@@ -283,10 +291,12 @@ def rare_mates(texts: DataFrame, similarity: float, scratch: Scratch) -> DataFra
     own = lambda n: F.pmod(F.xxhash64("set_id"), F.col(n)).cast("int")
     left = keyed.where("root <> most").withColumns({"i": own("down"), "j": every("across")})
     right = keyed.withColumns({"i": every("down"), "j": own("across")})
-    left, right = (t.select("h", "i", "j", *[F.col(c).alias(f"{c}_{x}") for c in ("set_id", "root", "n", "at")]) for t, x in ((left, "a"), (right, "b")))
+    left, right = (t.select("h", "i", "j", *[F.col(c).alias(f"{c}_{x}") for c in ("set_id", "root", "n", "at", *bits)]) for t, x in ((left, "a"), (right, "b")))
     room = 1 + F.least(F.expr("n_a - at_a - 1"), F.expr("n_b - at_b - 1"))
     near = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
     near = near & (room >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6) & F.expr("root_a <> root_b")
+    differ = reduce(operator.add, [F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in bits])
+    near = near & (differ <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6)
     return left.join(right, ["h", "i", "j"]).where(near).select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))
 
 
