@@ -32,6 +32,8 @@ MOST_MATED = 24
 MOST_HELD = 256
 #: Sets that hold over one in HOT rows are looked up by broadcast; there are fewer than HOT of them.
 HOT = 1000
+#: Shingles hashed by all functions at once.
+BLOCK = 512
 MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -39,13 +41,15 @@ def halves(hashes: np.ndarray, tables: int = TABLES, half: int = HALF) -> np.nda
     """Both collections of half keys of a set of shingle hashes, the second behind the first; none for an empty set."""
     if not len(hashes):
         return np.zeros(0, np.int32)
-    values = np.empty(2 * tables * half, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(len(values)):
-            x = (hashes ^ np.uint64(MIX[0] * (i + 1) & (2**64 - 1))) * np.uint64(MIX[1])
-            x ^= x >> np.uint64(32)
-            x *= np.uint64(MIX[1])
-            values[i] = (x ^ (x >> np.uint64(29))).min()
+    seeds = np.array([MIX[0] * (i + 1) & (2**64 - 1) for i in range(2 * tables * half)], np.uint64)[:, None]
+    values = np.full(len(seeds), 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), BLOCK):
+        x = hashes[at : at + BLOCK] ^ seeds
+        x *= np.uint64(MIX[1])
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(MIX[1])
+        x ^= x >> np.uint64(29)
+        np.minimum(values, x.min(axis=1), out=values)
     keys = [xxhash.xxh32_intdigest(v.tobytes()) for v in values.astype("<u8").reshape(-1, half)]
     return np.array(keys, np.uint32).view(np.int32)
 
