@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import without_images
+
 # Scripts, stop words, and the patterns of chunk kinds.
 DEVANAGARI = r"[ऀ-ॿ]"
 LATIN = r"[a-zA-Z]"
@@ -84,6 +86,11 @@ def majority_language(c: Column, lists: dict[str, list[str]] = STOPWORDS) -> Col
     )
 
 
+def document_language(c: Column, lists: dict[str, list[str]] = STOPWORDS, most: int = 8000) -> Column:
+    """Code of a whole document by its first `most` characters, embedded images left out; "unknown" without known words."""
+    return majority_language(F.substring(without_images(c), 1, most), lists)["language"]
+
+
 def chunk_kind(c: Column, kinds: dict[str, str] = KINDS, indic: dict[str, str] = KINDS_INDIC) -> Column:
     """The first kind whose pattern c holds; for text mostly in Devanagari its own patterns come first."""
     own = script_ratio(c) > 0.4

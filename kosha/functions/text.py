@@ -15,10 +15,14 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def without_images(c: Column) -> Column:
+    """Without images that are embedded as data."""
+    return F.regexp_replace(c, r"(?s)!\[[^\]]*\]\(data:[^)]+\)", "")
+
+
 def clean_page(c: Column) -> Column:
     """Without inline images, tags and heading markers; at most one blank line in a row."""
-    c = F.regexp_replace(c, r"(?s)!\[[^\]]*\]\(data:[^)]+\)", "")
-    c = F.regexp_replace(c, r"<[^>]+>", "")
+    c = F.regexp_replace(without_images(c), r"<[^>]+>", "")
     c = F.regexp_replace(c, r"(?m)^#{1,6}\s+", "")
     return F.trim(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 

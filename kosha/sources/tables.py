@@ -44,12 +44,15 @@ def read_golden(spark: SparkSession, path: str, schema: str = GOLDEN_QUERY) -> D
 
 
 def with_metadata(books: DataFrame, sidecar: DataFrame, pages: DataFrame) -> DataFrame:
-    """books (book_key, inferred) with language and pages_processed: from the sidecar, else inferred and counted."""
+    """books (book_key, inferred) with language and pages_processed: from the sidecar, else inferred and counted.
+
+    A sidecar's language of "unknown" counts as missing; what is in neither place is null, or 0 pages.
+    """
     counted = pages.groupBy("book_key").agg(F.count("*").alias("counted"))
     return (
         books.join(sidecar, "book_key", "left")
         .join(counted, "book_key", "left")
-        .select("book_key", F.coalesce("language", "inferred").alias("language"), F.coalesce("pages_processed", "counted", F.lit(0)).cast("long").alias("pages_processed"))
+        .select("book_key", F.coalesce(F.nullif("language", F.lit("unknown")), "inferred").alias("language"), F.coalesce("pages_processed", "counted", F.lit(0)).cast("long").alias("pages_processed"))
     )
 
 

@@ -44,6 +44,14 @@ def test_chunk_language(spark):
         assert one(spark, text, L.chunk_language).language == code, text
 
 
+def test_document_language(spark):
+    image = "![x](data:image/png;base64," + "the of and " * 1000 + ")"
+    told = [("le chat et la souris dans les champs", "fr"), (image + " der Hund und die Katze", "de"), ("x " * 4000 + "der und die", "unknown"), ("", "unknown")]
+    for text, code in told:
+        assert one(spark, text, L.document_language) == code, text[:40]
+    assert one(spark, None, L.document_language) in (None, "unknown")
+
+
 def test_script(spark):
     told = [("मराठी", "devanagari"), ("English", "latin"), ("123", "unknown"), ("abcd कखगघ", "mixed")]
     for text, script in told:
