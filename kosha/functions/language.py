@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import without_images
+from .text import bound, without_images
 
 # Scripts, stop words, and the patterns of chunk kinds.
 DEVANAGARI = r"[ऀ-ॿ]"
@@ -40,8 +40,12 @@ PREFIX_LABELS = {"en": ("Book:", "Section:", "Pages"), "mr": ("पुस्त
 
 def script_ratio(c: Column, script: str = DEVANAGARI) -> Column:
     """Letters of the script as a share of all letters; 0 without letters."""
-    letters = F.regexp_count(c, F.lit(r"\p{L}"))
-    return F.when(letters > 0, F.regexp_count(c, F.lit(rf"(?=\p{{L}}){script}")) / letters).otherwise(0.0)
+
+    def share(letters: Column) -> Column:
+        n = F.length(letters)
+        return F.when(n > 0, (n - F.length(F.regexp_replace(letters, script + "+", ""))) / n).otherwise(0.0)
+
+    return bound(F.regexp_replace(c, r"[^\p{L}]+", ""), share)
 
 
 def script_of(c: Column, script: str = DEVANAGARI, name: str = "devanagari") -> Column:
@@ -56,22 +60,37 @@ def distinct_hits(c: Column, words: list[str], low: bool = False) -> Column:
 
 
 def chunk_language(c: Column) -> Column:
-    """struct(language, confidence) by script share and stop words, as the chunk labels have it."""
-    ratio = script_ratio(c)
-    mr, hi, sa = (distinct_hits(c, w) for w in (STOPWORDS_MR, STOPWORDS_HI, MARKERS_SA))
-    none = (mr == 0) & (hi == 0)
-    said = lambda code, conf: F.struct(F.lit(code).alias("language"), F.lit(conf).cast("double").alias("confidence"))
-    share = lambda code, n: F.struct(F.lit(code).alias("language"), F.bround(0.5 + 0.5 * n / (mr + hi), 2).alias("confidence"))
-    return (
-        F.when((ratio > 0.6) & none & c.rlike("[।॥]"), said("sa", 0.82))
-        .when((ratio > 0.6) & none & (sa >= 2), said("sa", 0.75))
-        .when((ratio > 0.6) & none, said("mr", 0.70))
-        .when((ratio > 0.6) & (mr >= hi), share("mr", mr))
-        .when(ratio > 0.6, share("hi", hi))
-        .when(ratio > 0.15, F.struct(F.lit("mixed").alias("language"), F.bround(ratio, 2).alias("confidence")))
-        .when(ratio < 0.05, F.struct(F.lit("en").alias("language"), F.bround(1 - ratio * 4, 2).alias("confidence")))
-        .otherwise(said("unknown", 0.5))
-    )
+    """struct(language, confidence) by script share and stop words, as the chunk labels have it.
+
+    The share is computed once, and words are cut and counted only where it is high enough for them to matter.
+    """
+    said = lambda code, conf: F.struct(F.lit(code).alias("language"), conf.cast("double").alias("confidence"))
+
+    def by_words(hits: Column) -> Column:
+        mr, hi, sa = (hits[n] for n in ("mr", "hi", "sa"))
+        none = (mr == 0) & (hi == 0)
+        share = lambda n: F.bround(0.5 + 0.5 * n / (mr + hi), 2)
+        return (
+            F.when(none & c.rlike("[।॥]"), said("sa", F.lit(0.82)))
+            .when(none & (sa >= 2), said("sa", F.lit(0.75)))
+            .when(none, said("mr", F.lit(0.70)))
+            .when(mr >= hi, said("mr", share(mr)))
+            .otherwise(said("hi", share(hi)))
+        )
+
+    def hits(words: Column) -> Column:
+        count = lambda known: F.size(F.array_intersect(words, F.array(*map(F.lit, known))))
+        return F.struct(count(STOPWORDS_MR).alias("mr"), count(STOPWORDS_HI).alias("hi"), count(MARKERS_SA).alias("sa"))
+
+    def by_share(ratio: Column) -> Column:
+        return (
+            F.when(ratio > 0.6, bound(bound(F.array_distinct(F.split(c, r"(?U)\s+")), hits), by_words))
+            .when(ratio > 0.15, said("mixed", F.bround(ratio, 2)))
+            .when(ratio < 0.05, said("en", F.bround(1 - ratio * 4, 2)))
+            .otherwise(said("unknown", F.lit(0.5)))
+        )
+
+    return bound(script_ratio(c), by_share)
 
 
 def majority_language(c: Column, lists: dict[str, list[str]] = STOPWORDS) -> Column:
@@ -93,13 +112,16 @@ def document_language(c: Column, lists: dict[str, list[str]] = STOPWORDS, most:
 
 def chunk_kind(c: Column, kinds: dict[str, str] = KINDS, indic: dict[str, str] = KINDS_INDIC) -> Column:
     """The first kind whose pattern c holds; for text mostly in Devanagari its own patterns come first."""
-    own = script_ratio(c) > 0.4
-    out = F.when(F.lit(False), "")
-    for kind, pattern in indic.items():
-        out = out.when(own & c.rlike(pattern), kind)
-    for kind, pattern in kinds.items():
-        out = out.when(c.rlike(pattern), kind)
-    return out.otherwise("general")
+
+    def kind(own: Column) -> Column:
+        out = F.when(F.lit(False), "")
+        for kind, pattern in indic.items():
+            out = out.when(own & c.rlike(pattern), kind)
+        for kind, pattern in kinds.items():
+            out = out.when(c.rlike(pattern), kind)
+        return out.otherwise("general")
+
+    return bound(script_ratio(c) > 0.4, kind)
 
 
 def mapped(c: Column, names: dict[str, str], default: str) -> Column:

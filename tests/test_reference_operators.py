@@ -317,3 +317,15 @@ def test_folders_need_a_shared_place(spark):
     with pytest.raises(RuntimeError):
         shared_folder(Cluster)
     assert shared_folder(spark)
+
+
+def test_language_reads_a_text_once(spark):
+    """Letters are counted once for all branches, and a text is cut into words once."""
+    rows = spark.createDataFrame([("x",)], "c string")
+    for f, splits in ((L.chunk_language, 1), (L.chunk_kind, 0)):
+        plan = rows.select(f(F.col("c")).alias("r"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count(r"[^\p{L}]+") == 1 and plan.count("regexp_count") == 0 and plan.count("split(") == splits
+    told = [(None, "en", 1.0), ("abcdefgh " * 9 + "आणि", "en", None), ("मराठी आणि है abc", "mr", 0.75), ("है और आणि", "hi", 0.83), ("च वा", "mr", 1.0), ("तु एव", "sa", 0.75)]
+    for text, code, sure in told:
+        r = one(spark, text, L.chunk_language)
+        assert r.language == code and (sure is None or r.confidence == sure), (text, r)
