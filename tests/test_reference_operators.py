@@ -351,3 +351,21 @@ def test_search_holds_few_scores(spark):
         want = np.lexsort((np.arange(10_000), -np.round(sims, 9)))[:5]
         assert list(ids[rows == i]) == list(want) and np.allclose(score[rows == i], sims[want])
     assert list(rows) == sorted(rows) and len(R._best(q[:0], x, np.arange(10_000), 5)[0]) == 0
+
+
+def test_similar_pairs_shuffle_in_proportion(spark):
+    """Tables for a row stay the same from 10,000 to 1,000,000 rows, and sketches keep pairs that are at the threshold."""
+    assert R.plan_tables(10**4, 0.92, 0.999999)[1] == R.plan_tables(10**6, 0.92, 0.999999)[1]
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    u = rng.standard_normal((600, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w = rng.standard_normal((600, 64))
+    w -= (w * u).sum(axis=1, keepdims=True) * u
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    near = 0.921 * u + np.sqrt(1 - 0.921**2) * w
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([u, near]))], "vec_id long, v array<double>")
+    found = R.similar_pairs(rows, 0.92, 5, recall=0.999999)
+    assert "bit_count" in found._jdf.queryExecution().analyzed().toString()
+    assert {(r.a, r.b) for r in found.collect()} == {(i, i + 600) for i in range(600)}
