@@ -369,3 +369,14 @@ def test_similar_pairs_shuffle_in_proportion(spark):
     found = R.similar_pairs(rows, 0.92, 5, recall=0.999999)
     assert "bit_count" in found._jdf.queryExecution().analyzed().toString()
     assert {(r.a, r.b) for r in found.collect()} == {(i, i + 600) for i in range(600)}
+
+
+def test_bm25_brings_no_word_to_one_task(spark):
+    """Rows of a frequent word are counted and scored where their documents are: no shuffle by word but that of its counts."""
+    docs = spark.createDataFrame([(i, ["the", "soil" if i % 7 else "crop", "the"]) for i in range(5000)], "doc_id long, words array<string>")
+    asked = spark.createDataFrame([(q, ["the", "soil", None]) for q in range(3)], "query_id long, words array<string>")
+    scored = R.bm25(docs, asked)
+    assert scored.count() == 15_000
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert all("hashpartitioning(doc_id" in x or "hashpartitioning(w" in x for x in shuffles) and not any("query_id" in x for x in shuffles)
