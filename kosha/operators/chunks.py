@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 HEADING = r"(?m)^#{1,3}\s+(.+)$"
 MAX_CHARS, OVERLAP, LEAST_CHARS, SECTION_CHARS = 2000, 250, 50, 6000
+#: Characters of chunks that a task gathers before it passes them on.
+HELD_CHARS = 1 << 20
 _DANDA = re.compile("[।॥]")
 
 
@@ -68,7 +70,7 @@ def first_cut(c: Column, most: int) -> Column:
     return F.when(blank > most // 2, blank).when(danda > most // 2, danda + 1).when(stop > most // 2, stop + 1).otherwise(most)
 
 
-def windows(pages: list[tuple[int, str]], most: int, overlap: int) -> Iterator[tuple[int, int, str]]:
+def windows(pages: Iterable[tuple[int, str]], most: int, overlap: int) -> Iterator[tuple[int, int, str]]:
     """(page_start, page_end, text) of a section's pages: cut while the buffer is full, each cut keeping an overlap."""
     buffer, start, page = "", None, None
     for page, text in pages:
@@ -91,16 +93,25 @@ def window_chunks(sections: DataFrame, key: list[str], most: int = MAX_CHARS, ov
         raise ValueError("overlap must be at least 0 and less than half of the chunk size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, at = [], []
-            for i, pages in enumerate(batch.column(len(key)).to_pylist()):
-                for n, (a, b, text) in enumerate(windows([(p["page"], p["text"] or "") for p in pages or ()], most, overlap)):
-                    rows.append((n, a, b, text))
-                    at.append(i)
+        def told(batch: pa.RecordBatch, rows: list[tuple], at: list[int]) -> pa.RecordBatch:
             columns = list(zip(*rows)) or [()] * 4
             picked = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(key))]
             made = [pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.string()))]
-            yield pa.RecordBatch.from_arrays(picked + made, [*key, "chunk", "page_start", "page_end", "text"])
+            return pa.RecordBatch.from_arrays(picked + made, [*key, "chunk", "page_start", "page_end", "text"])
+
+        for batch in batches:
+            rows, at, held = [], [], 0
+            for i, section in enumerate(batch.column(len(key))):  # one section in Python at a time
+                pages = ((p["page"], p["text"] or "") for p in section.as_py() or ())
+                for n, (a, b, text) in enumerate(windows(pages, most, overlap)):
+                    rows.append((n, a, b, text))
+                    at.append(i)
+                    held += len(text)
+                    if held >= HELD_CHARS:
+                        yield told(batch, rows, at)
+                        rows, at, held = [], [], 0
+            if rows:
+                yield told(batch, rows, at)
 
     kinds = {f.name: f.dataType.simpleString() for f in sections.schema.fields}
     shape = F.transform("pages", lambda p: F.struct(p["page"].cast("int").alias("page"), p["text"].alias("text"))).alias("pages")
