@@ -119,3 +119,19 @@ def test_coverage_counts_a_mark_once(spark):
     found = spark.createDataFrame([("a", "x", 1), ("a", "x", 1), ("a", "y", 1), ("a", "y", 2)], "variant string, source string, mark int")
     got = {(r.variant, r.source, r.grouped): (r.chunks, r.mean_length, r.covered, r.share) for r in V.coverage_by_variant(chunks, found, 4, "source").collect()}
     assert got["a", None, 1] == (2, 3.0, 2, 50.0) and got["a", "y", 0] == (1, 2.0, 2, 50.0) and got["b", "x", 0] == (1, 1.0, 0, 0.0) and got["b", None, 1] == (1, 1.0, 0, 0.0)
+
+
+def test_vectors_come_without_a_join(spark):
+    """Sentences keep their row while they get a vector, and facts are written once before they are matched."""
+    from kosha.operators import retrieval as R
+    from kosha.plans import registry
+
+    registry.load()
+    sf = "/root/testdata/sf0.001"
+    plan = registry.QUERIES["j9_chunks"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("MapInArrow") == 1 and plan.count("ArrowEvalPython") == 1
+    plan = registry.QUERIES["j8_extraction"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" not in plan
+    rows = spark.createDataFrame([(1, "soil and water"), (2, "Rice rice")], "id long, s string")
+    one = {r.id: list(r.vector) for r in R.embed(rows, "id", "s").collect()}
+    assert {r.id: list(r.v) for r in rows.withColumn("v", R.hashed_words(F.col("s"))).collect()} == one
