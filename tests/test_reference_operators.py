@@ -294,6 +294,19 @@ def test_containing_any_mark(spark):
     assert got == {(1, 1), (2, 1), (2, 2), (7, 1), (7, 2), (3, 1), (3, 2), (4, 1), (4, 2), (4, 3)}
 
 
+def test_containing_many_marks_and_every_text(spark, monkeypatch):
+    """Marks of one automaton and more than it holds give the same rows; a text without a mark comes, too, if asked for."""
+    texts = spark.createDataFrame([(1, "ab cd ef gh"), (2, "xab c"), (3, ""), (4, None)], "k long, body string")
+    marks = spark.createDataFrame([(1, "b cd ef g"), (2, "ab"), (3, "b c"), (4, ""), (5, None), (6, "zz"), (7, "ab"), (8, "ab cd ef")], "m long, mark string")
+    told = lambda every: sorted(((r.k, r.m, r.mark) for r in R.containing(texts, "k", "body", marks, "m", "mark", every).collect()), key=str)
+    few = told(False), told(True)
+    assert few[1] == sorted(few[0] + [(k, None, None) for k in (1, 2, 3, 4)], key=str) and (1, 8, "ab cd ef") in few[0] and len(few[0]) == 11
+    plan = R.containing(texts, "k", "body", marks, "m", "mark")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("ArrowEvalPython") == 1
+    monkeypatch.setattr(R, "MARK_BLOCK", 2)
+    assert (told(False), told(True)) == few
+
+
 def test_merged_parts_of_one_large_book(spark):
     rows = [(i, "a" if i % 3 else "b", i % 4 + 1) for i in range(1000)] + [(5000, None, 2), (5001, None, 3)]
     got = {r.part: r.page_offset for r in S.merge_parts(spark.createDataFrame(rows, "part long, book string, pages long"), "book", "part", "pages").collect()}
